@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlace.llm import mixing, quality_rules
+from kinlace.llm import decontaminate, mixing, near_dup, quality_rules, token_store
 from kinlace.llm.tables import saved, scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,14 +17,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, that with the least id."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated to their target weights, and rows dealt into a global order."""
     return mixing.mix_sources(docs, mixing.WEIGHTS, copy_col=None, key_col=None)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("mix_sources", mix)]
+def store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids go to a content-addressed store; each document's recipe is read back and verified."""
+    path = scratch(spark, "token-store")
+    token_store.write_store(docs, path)
+    return token_store.document_summaries(spark, path)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", benchmark),
+    ("mix_sources", mix),
+    ("token_store", store),
+]
 
-#: SQL has neither zstandard nor the tokenizer.
+#: SQL has neither zstandard, banded alignment nor the tokenizer.
 ORACLE_SQL = None
 
 

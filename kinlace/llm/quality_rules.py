@@ -12,16 +12,14 @@ equal results; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinlace.llm import textkit as tk
-from kinlace.llm.tables import table
+from kinlace.llm.tables import annotate, filtered, table
 
 
 @dataclass(frozen=True)
@@ -107,39 +105,33 @@ def compression(s: tk.Slice, bands: Bands) -> dict[str, np.ndarray]:
     return {"whole_ratio": whole, "bad_chunk_share": share, "fine": fine}
 
 
-def judge(batches: Iterator[pa.RecordBatch], text_col: str, bands: Bands) -> Iterator[pa.RecordBatch]:
-    """Each batch with the columns of SCHEMA behind its own."""
-    for batch in batches:
-        parts = []
-        for s in tk.slices(batch.column(text_col)):
-            x = word_statistics(s)
-            x["base_failed"] = (x["n_words"] < 50) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
-            x |= compression(s, bands)
-            x["kept"] = ~x["base_failed"] & x.pop("fine")
-            parts.append(x)
-        new = [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], type=t) for k, t in _TYPES]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(k for k, _ in _TYPES)])
+def judge(texts: pa.Array, bands: Bands) -> dict[str, np.ndarray]:
+    parts = []
+    for s in tk.slices(texts):
+        x = word_statistics(s)
+        x["base_failed"] = (x["n_words"] < 50) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
+        x |= compression(s, bands)
+        x["kept"] = ~x["base_failed"] & x.pop("fine")
+        parts.append(x)
+    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k, _ in _TYPES}
 
 
-def quality_report(documents: DataFrame, bands: Bands | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the columns of SCHEMA for each row of documents, without a shuffle."""
+def quality_report(documents: DataFrame, bands: Bands | None = None, text_col: str = "text") -> DataFrame:
+    """All columns of documents and those of SCHEMA, without a shuffle."""
     bands = bands or Bands()
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(lambda b: judge(b, "__text", bands), f"doc_id {kind}, __text string, {SCHEMA}").drop("__text")
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        x = judge(texts, bands)
+        return [pa.array(x[k], type=t) for k, t in _TYPES]
+
+    return annotate(documents, text_col, work, SCHEMA)
 
 
 def quality_filter(documents: DataFrame, bands: Bands | None = None, text_col: str = "text") -> DataFrame:
     """The rows of documents that are kept, with their own columns only."""
     bands = bands or Bands()
-    names = documents.columns
-    inner = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    at = f"c{names.index(text_col)}"
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
-    keep = lambda b: (x.filter(x.column("kept")).select(inner_names) for x in judge(b, at, bands))
-    inner_names = inner.columns
-    return inner.mapInArrow(keep, fields).toDF(*names)
+    return filtered(documents, text_col, lambda texts: judge(texts, bands)["kept"].astype(bool))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality_report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

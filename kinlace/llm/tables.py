@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,41 @@ def saved(df: DataFrame, path: str) -> DataFrame:
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of a column's text, modulo n; a null counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def annotate(df: DataFrame, text_col: str, work: Callable[[pa.Array], list[pa.Array]], schema: str) -> DataFrame:
+    """df with new columns behind its own, made batch by batch from its text column, without a shuffle.
+
+    schema: "name type, ...". Inside, columns go by position, so names of df can't clash; a column of df
+    that has a new column's name is left out of the result."""
+    names = df.columns
+    fields = [x.strip().split(" ", 1) for x in schema.split(",")]
+    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index(text_col)
+    inner = inner.withColumn(f"c{len(names)}", F.col(f"c{at}").cast("string"))
+    outer = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields[:-1])), *(f"n{i} {kind}" for i, (_, kind) in enumerate(fields))])
+    labels = [f"c{i}" for i in range(len(names))] + [f"n{i}" for i in range(len(fields))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *work(batch.columns[-1])], names=labels)
+
+    made = inner.mapInArrow(run, outer)
+    new = [name for name, _ in fields]
+    return made.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in new], *[F.col(f"n{i}").alias(n) for i, n in enumerate(new)])
+
+
+def filtered(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of df for which keep(text column) is true, with all of df's columns."""
+    names = df.columns
+    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index(text_col)
+    plain = inner.schema.fields[at].dataType.simpleString() == "string"
+    wide = inner if plain else inner.withColumn("text", F.col(f"c{at}").cast("string"))
+    labels = [f"c{i}" for i in range(len(names))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at if plain else len(names))), pa.bool_())).select(labels)
+
+    return wide.mapInArrow(run, ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields))).toDF(*names)
