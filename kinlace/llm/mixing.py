@@ -103,7 +103,10 @@ def mix_sources(
     # the key is uniform, so equal ranges of it are equal partitions: no sampling pass is needed
     dealt = keyed.repartitionById(n, F.floor(F.col(key) / (float(1 << _BITS) / n)).cast("int")).sortWithinPartitions(key, id_col, copy)
     out = [F.col(c) for c in kept if c not in (copy_col, key_col)]
-    out += [F.col(copy).cast("long").alias(copy_col)] * bool(copy_col) + [F.col(key).alias(key_col)] * bool(key_col)
+    if copy_col:
+        out.append(F.col(copy).cast("long").alias(copy_col))
+    if key_col:
+        out.append(F.col(key).alias(key_col))
     return dealt.select(*out)
 
 
