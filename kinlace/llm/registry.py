@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kinlace.llm import chat_format, decontaminate, license_scan, mixing, near_dup, quality_rules, token_lengths, token_store
+from kinlace.llm import chat_format, decontaminate, license_scan, mixing, near_dup, quality_rules, token_lengths, token_store, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_near_dup": near_dup.op6_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,7 +57,7 @@ def annotate(df: DataFrame, text_col: str, work: Callable[[pa.Array], list[pa.Ar
     schema: "name type, ...". Inside, columns go by position, so names of df can't clash; a column of df
     that has a new column's name is left out of the result."""
     names = df.columns
-    fields = [x.strip().split(" ", 1) for x in schema.split(",")]
+    fields = [x.strip().split(" ", 1) for x in re.split(r",(?![^<]*>)", schema)]
     inner = df.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index(text_col)
     inner = inner.withColumn(f"c{len(names)}", F.col(f"c{at}").cast("string"))
