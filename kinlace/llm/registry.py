@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinlace.llm import chat_format, decontaminate, license_scan, mixing, near_dup, quality_rules, token_lengths, token_store, toxicity
+from kinlace.llm import chat_format, decontaminate, license_scan, lm_score, mixing, near_dup, quality_rules, token_lengths, token_store, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_near_dup": near_dup.op6_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_token_lengths": token_lengths.op9_token_lengths,
     "op10_token_store": token_store.op10_token_store,
 }

@@ -160,3 +160,36 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     total = int(lens.sum())
     first = np.cumsum(lens) - lens
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lens)
+
+
+class HashIndex:
+    """Numbers 0, 1, ... for 64-bit keys in the order they came; two sorted levels, the smaller of new keys."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.keys = [np.zeros(0, dtype=np.uint64)] * 2
+        self.numbers = [np.zeros(0, dtype=np.int64)] * 2
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers; -1 for new ones."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        for known, number in zip(self.keys, self.numbers, strict=True):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = number[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers for distinct keys that are all new."""
+        new = self.n + np.arange(len(keys), dtype=np.int64)
+        self.n += len(keys)
+        key, number = np.concatenate([self.keys[1], keys]), np.concatenate([self.numbers[1], new])
+        if len(key) > 20_000 + len(self.keys[0]) // 4:
+            key, number = np.concatenate([self.keys[0], key]), np.concatenate([self.numbers[0], number])
+            order = np.argsort(key, kind="stable")
+            self.keys, self.numbers = [key[order], key[:0]], [number[order], number[:0]]
+        else:
+            order = np.argsort(key, kind="stable")
+            self.keys[1], self.numbers[1] = key[order], number[order]
+        return new
