@@ -2,8 +2,9 @@
 
 A text is brought into a canonical form (case, punctuation, copyright lines, equivalent spellings),
 digested as a whole, and hash-joined to the digests of known licences. The same is done with each
-line, which finds one-line notices. Everything is DataFrame functions; the known digests are a table
-of the caller, which Spark broadcasts only while it is below the session's broadcast threshold.
+line, which finds one-line notices. The known digests are a table of the caller, which Spark broadcasts
+only while it is below the session's broadcast threshold; while they are at most `max_heads`, their
+first bytes go to the tasks too, so that lines that can't be known are not sent.
 
 Defined cases: a null or empty text, and one of which nothing stays, has no digest and no licence;
 if two known licences have equal digests, the least name stands; repeated documents each get a row;
@@ -12,12 +13,17 @@ other columns, also such as `digest`, are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlace.llm.tables import table
+from kinlace.llm import textkit as tk
+from kinlace.llm.tables import annotate, saved, scratch, table
 
-#: Pairs (pattern over canonical words, replacement): equivalent spellings, put to one form.
+#: Pairs (canonical words, their replacement): equivalent spellings, put to one form.
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
     ("licences", "licenses"),
@@ -84,43 +90,71 @@ KNOWN: dict[str, str] = {
 }
 
 _COPYRIGHT_LINE = r"(?m)^[ \t]*(?:(?i:copyright)(?:[ \t]|$)|\([cC]\)[ \t]|©|(?i:all rights reserved)).*$"
+_COPYRIGHT = re.compile(_COPYRIGHT_LINE.encode())
+_OPENS = (b"copyright", b"(c)", "©".encode(), b"all rights reserved")
+#: Letters go to lower case; ASCII but letters and digits goes to blanks.
+_WORDS = bytes(c + 32 if 0x41 <= c < 0x5B else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+_SPELL = [(f" {a} ".encode(), f" {b} ".encode()) for a, b in SPELLINGS]
 
 
-def canonical(text: Column, lines: bool = True) -> Column:
-    """Lower-case words of a-z, 0-9 and non-ASCII characters, a space between; `lines`: drop copyright lines."""
-    out = F.coalesce(text.cast("string"), F.lit(""))
-    if lines:
-        out = F.regexp_replace(out, _COPYRIGHT_LINE, "")
-    out = F.translate(out, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+def _spelled(words: bytes) -> bytes:
+    out = b" " + words + b" "
+    for a, b in _SPELL:
+        out = out.replace(a, b)
+    return out.strip(b" ")
 
 
-def digest(canon: Column) -> Column:
-    return F.when(canon != "", F.sha2(canon.cast("binary"), 256))
+def canonical(text: bytes) -> tuple[bytes, list[bytes]]:
+    """The whole text's canonical form without copyright lines, and those of its lines that have words."""
+    lines = text.split(b"\n")
+    kept = [x for x in lines if not (x.lstrip(b" \t")[:20].lower().startswith(_OPENS) and _COPYRIGHT.match(x))]
+    words = b" ".join(b"\n".join(kept).translate(_WORDS).split())
+    whole = _spelled(words)
+    plain = whole == words and len(kept) == len(lines)  # then no line has a spelling to change
+    each = (b" ".join(x.translate(_WORDS).split()) for x in lines)
+    return whole, [x if plain else _spelled(x) for x in each if x]
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """license, known_digest of a mapping name -> text."""
-    rows = spark.createDataFrame(list((known or KNOWN).items()), "license string, text string")
-    return rows.select(digest(canonical(F.col("text"))).alias("known_digest"), "license").groupBy("known_digest").agg(F.min("license").alias("license"))
+def digest(canon: bytes) -> bytes | None:
+    return hashlib.sha256(canon).digest() if canon else None
 
 
-def scan_licenses(documents: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, canonical_chars, digest, license (of the whole text, or null), notices (sorted array of the
+def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
+    """known_digest binary, license of a mapping name -> text."""
+    least: dict[bytes, str] = {}
+    for name, text in sorted((known or KNOWN).items(), reverse=True):
+        if d := digest(canonical(text.encode())[0]):
+            least[d] = name
+    return spark.createDataFrame(list(least.items()), "known_digest binary, license string")
+
+
+def _digests(texts: pa.Array, heads: frozenset[bytes] | None) -> list[pa.Array]:
+    """heads: beginnings of the known digests; other lines' digests need not travel."""
+    chars, whole, lines = [], [], []
+    for s in tk.slices(texts):
+        for i in range(s.n):
+            canon, each = canonical(s.text(i))
+            chars.append(len(canon.decode("utf-8", "replace")))
+            whole.append(digest(canon))
+            found = {digest(x) for x in each}
+            lines.append(list(found) if heads is None else [d for d in found if d[:8] in heads])
+    return [pa.array(chars, pa.int64()), pa.array(whole, pa.binary()), pa.array(lines, pa.list_(pa.binary()))]
+
+
+def scan_licenses(documents: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_heads: int = 1_000_000) -> DataFrame:
+    """doc_id, canonical_chars, digest (hex), license (of the whole text, or null), notices (sorted array of the
     licences whose text is one whole line), for each row of documents."""
+    spark = documents.sparkSession
+    heads = None
+    if known.count() <= max_heads:
+        heads = frozenset(bytes(r[0]) for r in known.select(F.substring("known_digest", 1, 8)).distinct().collect())
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    whole = docs.withColumn("canon", canonical(F.col("text"))).select(
-        "doc_id", F.length("canon").cast("long").alias("canonical_chars"), digest(F.col("canon")).alias("digest")
-    )
-    found = whole.join(known, F.col("digest") == F.col("known_digest"), "left").drop("known_digest")
-    # a line's rows go to the join as digests, not as texts; only hits are grouped by document
-    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    keyed = lines.select("doc_id", digest(canonical(F.col("line"), lines=False)).alias("line_digest")).filter("line_digest IS NOT NULL")
-    hits = keyed.join(known.withColumnRenamed("license", "notice"), F.col("line_digest") == F.col("known_digest")).groupBy("doc_id").agg(F.array_sort(F.collect_set("notice")).alias("notices"))
-    return found.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
+    made = annotate(docs, "text", lambda texts: _digests(texts, heads), "canonical_chars long, digest binary, lines array<binary>").drop("text")
+    made = saved(made, scratch(spark, "license-digests"))
+    whole = made.join(known, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "canonical_chars", F.lower(F.hex("digest")).alias("digest"), "license")
+    lines = made.select(F.col("doc_id").alias("hit_id"), F.explode("lines").alias("line"))
+    hits = lines.join(known, F.col("line") == F.col("known_digest")).groupBy("hit_id").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    return whole.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
         "doc_id", "canonical_chars", "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices")
     )
 
