@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlace.llm.tables import table
+from kinlace.llm.tables import saved, scratch, table
 
-BAND = 1024
+BAND = 128
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -49,7 +49,8 @@ def encoded_lengths(documents: DataFrame, text_col: str = "text", vocabulary_pat
 
 def length_histogram(documents: DataFrame, text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
     """length, n_docs: one row for each encoded length that occurs."""
-    return encoded_lengths(documents, text_col, vocabulary_path).groupBy("length").agg(F.count("*").alias("n_docs"))
+    counted = encoded_lengths(documents, text_col, vocabulary_path).groupBy("length").agg(F.count("*").alias("n_docs"))
+    return saved(counted, scratch(documents.sparkSession, "lengths"))  # it is read twice, and texts are encoded once
 
 
 def limit_answers(histogram: DataFrame) -> DataFrame:
