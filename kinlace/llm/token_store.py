@@ -14,7 +14,7 @@ sorted by document: recipes are small, and start offsets come from sums per part
 
 Defined cases: null and empty texts have the end id alone; null ids stand first; repeated ids stand
 side by side, ordered by root; an empty table gives an empty store; other columns are ignored.
-Words are cached by a 64-bit hash of their bytes. Blanks, tabs and line ends always part tokens here.
+Words are remembered by a 64-bit hash of their bytes.
 """
 
 from __future__ import annotations
@@ -37,61 +37,142 @@ END_ID = 2
 ROLL = 16
 MEAN_CHUNK = 512
 MAX_CHUNK = 4096
-CACHE_WORDS = 400_000
+#: Distinct words that a worker remembers, at some 30 bytes each.
+CACHE_WORDS = 1_000_000
 #: Text that is encoded together.
-ENCODE_BYTES = 8 << 20
-
-_PARTED = np.ones(256, dtype=bool)
-_PARTED[[0x09, 0x0A, 0x0D, 0x20]] = False
+ENCODE_BYTES = 1 << 20
+
+_BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_KIND = np.full(256, _MARK, dtype=np.uint8)
+_KIND[[0x09, 0x0A, 0x0D, 0x20]] = _BLANK
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x80:] = _OTHER
+_KIND[[*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]] = _OTHER
+_WHOLE = np.zeros(256, dtype=np.int8)
+_WHOLE[[0x27, 0x3C]] = 1
+#: Bytes of a-z and of the Latin-1 letters.
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[0x61:0x7B] = _PLAIN[0xC3] = _PLAIN[0x80:0xC0] = True
+_PLAIN[[0x97, 0xB7]] = False
+
+
+def pieces(s: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text bytes with ASCII in lower case, and starts, ends and rows of pieces that are encoded on their own.
+
+    The tokenizer parts tokens at blanks, and between ASCII letters, digits and marks wherever no apostrophe (whose
+    endings are tokens) or < (that may open a token string) is in the word; such words stay whole, and as they are."""
+    kind = _KIND[s.data]
+    starts, ends, rows = s.words(_KIND != _BLANK)
+    special = np.concatenate([[0], np.cumsum(_WHOLE[s.data], dtype=np.int64)])
+    odd = np.flatnonzero(special[ends] > special[starts])
+    data = tk._LOWER[s.data]
+    turn = (kind[1:] != kind[:-1]) & (kind[1:] < _OTHER) & (kind[:-1] < _OTHER) & (kind[1:] > _BLANK) & (kind[:-1] > _BLANK)
+    if len(odd):
+        inside = tk.ranges(starts[odd], ends[odd] - starts[odd])
+        data[inside] = s.data[inside]
+        turn[inside[inside < len(turn)]] = False
+    cuts = np.flatnonzero(turn) + 1
+    if len(cuts):
+        # a cut between two rows parts no word
+        cuts = cuts[s.off[np.searchsorted(s.off, cuts)] != cuts]
+        starts = np.sort(np.concatenate([starts, cuts]), kind="stable")
+        ends = np.sort(np.concatenate([ends, cuts]), kind="stable")
+        rows = s.row_of(starts)
+    return data, starts, ends, rows
 
 
 class Encoder:
-    """ids of texts, by way of their distinct words: a word's ids depend on the word alone."""
+    """ids of texts, by way of their distinct pieces, which a worker remembers."""
 
     def __init__(self, path: str | None) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        #: Each word's last id, and no other, is one of these.
+        self.last = np.zeros(size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = [np.zeros(0, dtype=np.uint32)]
+        self.index = tk.HashIndex()
+        self.ids = np.zeros(0, dtype=np.uint16 if self.width == 2 else np.uint32)
         self.off = np.zeros(1, dtype=np.int64)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        base = len(self.known)
-        self.known.update(zip(hashes.tolist(), range(base, base + len(got)), strict=True))
-        flat = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=int(lens.sum()))
-        self.ids = [np.concatenate([*self.ids, flat])]
+    def _encode_new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words, and their lengths."""
+        lens = ends - starts
+        first = np.cumsum(lens + 1) - lens - 1
+        text = np.full(int((lens + 1).sum()), 0x20, dtype=np.uint8)
+        at = tk.ranges(first, lens)
+        got = data[tk.ranges(starts, lens)]
+        text[at] = got
+        # words of plain letters are one token group each, so many are encoded as one text
+        bad = np.concatenate([[0], np.cumsum(~_PLAIN[got])])
+        leads, tails = (np.concatenate([[0], np.cumsum(x)]) for x in (got == 0xC3, (got >= 0x80) & (got < 0xC0)))
+        end = np.cumsum(lens)
+        begin = end - lens
+        plain = (bad[end] == bad[begin]) & (leads[end] - leads[begin] == tails[end] - tails[begin])
+        raw = text.tobytes()
+        spans = list(zip(first.tolist(), (first + lens).tolist(), strict=True))
+        found, sizes, begins, n = [], np.zeros(len(lens), dtype=np.int64), np.zeros(len(lens), dtype=np.int64), 0
+
+        def put(idx: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> None:
+            nonlocal n
+            found.append(ids)
+            begins[idx] = n + np.concatenate([[0], stops[:-1]])
+            sizes[idx] = np.diff(stops, prepend=0)
+            n += len(ids)
+
+        order = np.flatnonzero(plain)
+        step = 256
+        for a in range(0, len(order), step * 64):
+            batch = [order[b : b + step] for b in range(a, min(a + step * 64, len(order)), step)]
+            texts = [b" ".join([raw[slice(*spans[i])] for i in idx.tolist()]).decode("utf-8", "replace") for idx in batch]
+            for idx, enc in zip(batch, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(enc.ids, dtype=np.uint32)
+                stops = np.flatnonzero(self.last[ids]) + 1
+                if len(stops) == len(idx) and stops[-1] == len(ids):
+                    put(idx, ids, stops)
+                else:
+                    plain[idx] = False
+        rest = np.flatnonzero(~plain)
+        for a in range(0, len(rest), 4096):
+            idx = rest[a : a + 4096]
+            words = [raw[slice(*spans[i])].decode("utf-8", "replace") for i in idx.tolist()]
+            got_ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            put(idx, np.array([i for x in got_ids for i in x], dtype=np.uint32), np.cumsum([len(x) for x in got_ids]))
+        flat = np.concatenate([np.zeros(0, np.uint32), *found])
+        return flat[tk.ranges(begins, sizes)], sizes
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        flat, lens = self._encode_new(data, starts, ends)
+        self.ids = np.concatenate([self.ids, flat.astype(self.ids.dtype)])
         self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(lens)])
 
     def encode(self, s: tk.Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows, end_id behind each, and the rows' offsets in them."""
-        starts, ends, rows = s.words(_PARTED)
-        hashes, first, which = np.unique(tk.span_hashes(s.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > CACHE_WORDS:
+        data, starts, ends, rows = pieces(s)
+        hashes, first, which = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if self.index.n + len(hashes) > CACHE_WORDS:
             self._clear()
-        keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
-            raw = s.data.tobytes()
-            self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        number = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
-        at, lens = self.off[number], np.diff(self.off)[number]
-        word_lens = lens[which]
-        flat = self.ids[0][tk.ranges(at[which], word_lens)]
+        number = self.index.find(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self.index.add(hashes[new])
+            self._learn(data, starts[first[new]], ends[first[new]])
+        word_lens = (self.off[number + 1] - self.off[number])[which]
+        flat = self.ids[tk.ranges(self.off[number][which], word_lens)]
         row_lens = np.bincount(rows, weights=word_lens, minlength=s.n).astype(np.int64) + 1
         off = np.concatenate([[0], np.cumsum(row_lens)])
-        out = np.empty(int(off[-1]), dtype=np.uint32)
+        out = np.full(int(off[-1]), end_id, dtype=np.uint32)
         inner = np.ones(len(out), dtype=bool)
         inner[off[1:] - 1] = False
         out[inner] = flat
-        out[~inner] = end_id
         return out, off
 
 
