@@ -311,7 +311,7 @@ def _pieces(documents: DataFrame, id_col: str, text_col: str, vocabulary_path: s
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(["recipe"] * n),
-                        pa.array([int.from_bytes(r[:8], "little", signed=True) for r in roots], pa.int64()),
+                        pa.array([zlib.crc32(str(i).encode()) for i in doc_ids.to_pylist()], pa.int64()),
                         doc_ids,
                         pa.array(np.diff(off), pa.int64()),
                         rows,
