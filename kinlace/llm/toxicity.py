@@ -310,7 +310,7 @@ def score_texts(texts: pa.Array, model: Model, spans: bool = True) -> tuple[np.n
     return np.concatenate(scores or [np.zeros(0)]), np.concatenate(expected or [np.zeros(0)]), found
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2_000, max_clean: int = 4_000, max_bytes: int = 20_000) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1_500, max_clean: int = 3_000, max_bytes: int = 20_000) -> Model:
     """Train on the labelled rows of least hash of the id, at most so many of each label, of texts of at most max_bytes."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__y IN (0, 1) AND __id IS NOT NULL").distinct()
     pick = lambda y, n: known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
