@@ -1 +1 @@
-
+"""Scalar functions: text, identifiers and values, URLs."""

@@ -1,36 +1,10 @@
-"""Named queries over the tables of a directory, each with the SQL that gives the same rows."""
+"""Named queries over the tables of a directory, each with the SQL that gives the same rows where SQL can say it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kinlace.plans import library_queries, play_queries, resolution_queries, stream_queries
+from kinlace.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "set_overlap"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "counted_plays"
-
-#: Shortest play, in seconds, that counts.
-MIN_COUNTED_SECONDS = 10.0
-
-
-def query(sql: str | None = None):
-    """Register a function as the query of its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("SELECT user_id AS entry_id, count(*) AS plays FROM events WHERE value >= 10 GROUP BY user_id")
-def counted_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "events").filter(F.col("value") >= MIN_COUNTED_SECONDS).groupBy(F.col("user_id").alias("entry_id")).agg(F.count("*").alias("plays"))
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "library_queries", "play_queries", "resolution_queries", "stream_queries"]
