@@ -8,11 +8,13 @@ whole word sequences has at most (1 - similarity) * longer length edits. Classes
 components of all links.
 
 Equal sequences are put together first and go on as one text. Within a bucket (a sketch's texts), no
-pairs are emitted: the least id leads, all others are compared with it, and those that aren't linked
-go on to the next round with a leader of their own, until no bucket has two left. Two texts that were
-parted so can still be linked. As edits are a metric, that needs d(leader, x) + limit(x, y) >= d(leader, y):
-just the pairs (x linked, y not linked) of a bucket for which this holds are compared too, so no
-link between candidates is lost. Rounds are written to the shared folder.
+pairs are emitted: a text of the shortest length class leads, and the others are compared with it. The
+first few sketches alone make most classes; from then on, only buckets of texts of several classes count,
+and only texts of another class than the leader's are compared. A bucket can also come of a passage that
+many texts share. So each compared text gets fresh sketches of the k-mers that its leader has not, and
+those of one leader meet again by these, in buckets of the next round. What made the first bucket is out
+of the second, so buckets thin out until none holds two classes that weren't compared. No bucket is
+capped or dropped. Rounds are written to the shared folder.
 
 Defined cases: null, empty and wordless texts are a class each; a text of fewer than k words has one
 k-mer, all its words; equal texts are always of one class; a row with a null id has no class (null); rows
@@ -22,6 +24,7 @@ Words are compared by 32 bits of their hash in the alignment, and sequences by 1
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,18 +34,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlace.llm import textkit as tk
-from kinlace.llm.tables import annotate, saved, scratch, shared_dir, table
+from kinlace.llm.tables import annotate, key_filter, saved, scratch, shared_dir, table
 
 K = 5
 L = 2
 SKETCHES = 40
+#: Fresh sketches of what a text has and its leader has not.
+FRESH = 16
+#: Sketches of the first round.
+FIRST = 8
 SIMILARITY = 0.8
 
 _U = np.uint64
 
 
-def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = tk.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+def _seeds(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    base = tk.mix((np.arange(1, 2 * n + 1, dtype=np.uint64) + _U(salt << 32)) * _U(0x9E3779B97F4A7C15))
     return base[:n], base[n:] | _U(1)
 
 
@@ -66,36 +73,43 @@ def sketch_slice(s: tk.Slice, k: int, l: int, n_sketches: int) -> dict[str, np.n
     grams[: max(len(words) - k + 1, 0)] = tk.gram_hashes(words, k)
     short = size < k
     n_grams = np.where(short, 1, size - k + 1)
-    at = tk.ranges(first, n_grams)
-    g = grams[at]
-    g_first = np.cumsum(n_grams) - n_grams
-    g[g_first[short]] = out["h1"][full][short]
-    g_row = np.repeat(np.arange(len(full)), n_grams)
-    # occurrence labels: the rank among equal k-mers of the row
-    keys = tk.by_row(g, g_row)
+    g = grams[tk.ranges(first, n_grams)]
+    g[(np.cumsum(n_grams) - n_grams)[short]] = out["h1"][full][short]
+    out["sketches"][full] = order_min_hash(labelled(g, np.repeat(np.arange(len(full)), n_grams)), n_grams, l, n_sketches)
+    return out
+
+
+def labelled(grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """k-mer hashes that also tell how many equal ones stand before in the row."""
+    keys = tk.by_row(grams, rows)
     order = np.argsort(keys, kind="stable")
     run = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
     begin = np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))
     label = np.empty(len(order), dtype=np.uint64)
     label[order] = (np.arange(len(order)) - begin).astype(np.uint64)
-    g = tk.mix(g + label * _U(0xC2B2AE3D27D4EB4F))
+    return tk.mix(grams + label * _U(0xC2B2AE3D27D4EB4F))
+
+
+def order_min_hash(g: np.ndarray, n_grams: np.ndarray, l: int, n_sketches: int, salt: int = 0) -> np.ndarray:
+    """Sketches of rows of n_grams >= 1 labelled k-mers each; a row of fewer than l takes its first again."""
+    first = np.cumsum(n_grams) - n_grams
+    rows = np.repeat(np.arange(len(n_grams)), n_grams)
+    out = np.empty((len(n_grams), n_sketches), dtype=np.uint64)
     top = _U(2**64 - 1)
-    xors, odds = _seeds(n_sketches)
+    xors, odds = _seeds(n_sketches, salt)
     for j in range(n_sketches):
         h = (g ^ xors[j]) * odds[j]
         picks = []
         for _ in range(l):
-            least = np.minimum.reduceat(h, g_first)
+            least = np.minimum.reduceat(h, first)
             hit = np.flatnonzero(h == np.repeat(least, n_grams))
-            _, one = np.unique(g_row[hit], return_index=True)
-            pick = hit[one]
-            picks.append(np.where(least == top, g_first, pick))
-            h[pick] = top
-        picked = np.sort(np.stack(picks), axis=0)  # text order
-        value = np.full(len(full), _U(j + 1))
-        for p in picked:
+            _, one = np.unique(rows[hit], return_index=True)
+            picks.append(np.where(least == top, first, hit[one]))
+            h[hit[one]] = top
+        value = np.full(len(n_grams), _U(j + 1))
+        for p in np.sort(np.stack(picks), axis=0):  # text order
             value = tk.mix(value * _U(0x9FB21C651E98DF25) + g[p])
-        out["sketches"][full, j] = value
+        out[:, j] = value
     return out
 
 
@@ -115,19 +129,42 @@ def sketches(documents: DataFrame, text_col: str, k: int, l: int, n_sketches: in
     return annotate(documents, text_col, work, "n_words long, h1 long, h2 long, sketches array<long>")
 
 
-def sequences(documents: DataFrame, text_col: str) -> DataFrame:
-    """documents with seq binary: 32 bits of each word's hash."""
+def sequences(docs: DataFrame, wanted: tk.KeyFilter) -> DataFrame:
+    """id, seq (32 bits of each word's hash) of the rows of docs (id, text) that `wanted` (of xxhash64(id)) passes."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
+    kind = docs.schema["id"].dataType.simpleString()
 
-    def work(texts: pa.Array) -> list[pa.Array]:
-        out = []
-        for s in tk.slices(texts, lower=True):
-            starts, ends, rows = s.words(tk.ALNUM_WORDS)
-            words = (tk.span_hashes(s.data, starts, ends) >> _U(32)).astype("<u4")
-            cuts = np.searchsorted(rows, np.arange(s.n + 1))
-            out += [words[cuts[i] : cuts[i + 1]].tobytes() for i in range(s.n)]
-        return [pa.array(out, pa.binary())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(shared.value.has(batch.column(1).to_numpy())))
+            out = []
+            for s in tk.slices(some.column(2), lower=True):
+                starts, ends, rows = s.words(tk.ALNUM_WORDS)
+                words = (tk.span_hashes(s.data, starts, ends) >> _U(32)).astype("<u4")
+                cuts = np.searchsorted(rows, np.arange(s.n + 1))
+                out += [words[cuts[i] : cuts[i + 1]].tobytes() for i in range(s.n)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.binary())], names=["id", "seq"])
+
+    return docs.filter("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, f"id {kind}, seq binary")
+
+
+def shared_sketches(mine: DataFrame, wanted: tk.KeyFilter) -> DataFrame:
+    """rep, n, j, bucket: the sketches of mine (rep, n, sketches) that `wanted` passes, and each one's number j."""
+    shared = mine.sparkSession.sparkContext.broadcast(wanted)
+    kind = mine.schema["rep"].dataType.simpleString()
 
-    return annotate(documents, text_col, work, "seq binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            size = np.diff(np.asarray(lists.offsets))
+            flat = lists.flatten().to_numpy()
+            hit = np.flatnonzero(shared.value.has(flat))
+            row = np.repeat(np.arange(len(size)), size)[hit]
+            j = hit - np.repeat(np.cumsum(size) - size, size)[hit]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(j, pa.int32()), pa.array(flat[hit], pa.int64())], names=["rep", "n", "j", "bucket"])
+
+    return mine.mapInArrow(run, f"rep {kind}, n long, j int, bucket long")
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
@@ -194,44 +231,40 @@ def edit_limit(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def _align(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b, na, nb, distance (exact up to what another link through a could need, else null), linked."""
+def rest_sketches(leader: np.ndarray, text: np.ndarray, k: int, l: int, n_sketches: int) -> np.ndarray:
+    """Sketches of the labelled k-mers of a text that its leader has not; none if there is no such k-mer."""
+
+    def grams(words: np.ndarray) -> np.ndarray:
+        w = tk.mix(words.astype(np.uint64) + _U(1))
+        g = tk.gram_hashes(w, k) if len(w) >= k else tk.gram_hashes(w, len(w))
+        return labelled(g, np.zeros(len(g), dtype=np.int64))
+
+    mine = grams(text)
+    mine = mine[~np.isin(mine, grams(leader))]
+    if not len(mine):
+        return np.zeros(0, dtype=np.uint64)
+    return order_min_hash(mine, np.array([len(mine)]), l, n_sketches, salt=1)[0]
+
+
+def _align(pairs: DataFrame, similarity: float, k: int, l: int, n_fresh: int) -> DataFrame:
+    """a, b, nb (words of b), linked, fresh: sketches of what b has and a has not; a leads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            linked, sizes, fresh = [], [], []
             for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
                 limit = edit_limit(max(len(x), len(y)), similarity)
-                d = banded_distance(x, y, limit)
-                linked = d <= limit
-                if not linked:
-                    # a text that is linked to both must lie within reach
-                    far = reach(min(len(x), len(y)), similarity)
-                    d = banded_distance(x, y, far) if far > limit else d
-                    d = None if d > far else d
-                out.append((len(x), len(y), d, linked))
+                linked.append(banded_distance(x, y, limit) <= limit)
+                sizes.append(len(y))
+                fresh.append(rest_sketches(x, y, k, l, n_fresh).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.bool_())))],
-                names=["a", "b", "na", "nb", "distance", "linked"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(fresh, pa.list_(pa.int64()))],
+                names=["a", "b", "nb", "linked", "fresh"],
             )
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "seq_a", "seq_b").mapInArrow(run, f"a {kind}, b {kind}, na int, nb int, distance int, linked boolean")
-
-
-def reach(n: int, similarity: float) -> int:
-    """The largest distance of two texts, one of n words, at which a text with links to both may exist."""
-    x = n / similarity
-    y = x / similarity
-    return int((1 - similarity) * x + (1 - similarity) * y) + 2
-
-
-def _with_sequences(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """a, b with seq_a, seq_b. A sequence is one row of seqs, so Spark can split the pairs of a hot one."""
-    sa = seqs.select(F.col("id").alias("a"), F.col("seq").alias("seq_a"))
-    sb = seqs.select(F.col("id").alias("b"), F.col("seq").alias("seq_b"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "seq_a", "seq_b")
+    return pairs.select("a", "b", "seq_a", "seq_b").mapInArrow(run, f"a {kind}, b {kind}, nb long, linked boolean, fresh array<long>")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -255,8 +288,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 class NearDuplicates:
     """The steps, with their tables in a folder that all executors share."""
 
-    def __init__(self, documents: DataFrame, id_col: str, text_col: str, k: int = K, l: int = L, n_sketches: int = SKETCHES, similarity: float = SIMILARITY) -> None:
-        self.spark, self.similarity = documents.sparkSession, similarity
+    def __init__(self, documents: DataFrame, id_col: str, text_col: str, k: int = K, l: int = L, n_sketches: int = SKETCHES, similarity: float = SIMILARITY, n_fresh: int = FRESH) -> None:
+        self.spark, self.similarity, self.k, self.l, self.n_fresh = documents.sparkSession, similarity, k, l, n_fresh
         shared_dir(self.spark)
         self.folder = scratch(self.spark, "near-dup")
         self.docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -270,52 +303,71 @@ class NearDuplicates:
         worded = self.sketched.filter((F.col("n_words") > 0) & F.col("id").isNotNull())
         return saved(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep")), self._path("reps"))
 
-    def links(self, reps: DataFrame) -> DataFrame:
-        """a, b: all links between different texts that share a sketch, but those within a class that other links make."""
+    def labels(self, reps: DataFrame) -> DataFrame:
+        """node, label: the least text of its class for each text that any other is linked to."""
         mine = self.sketched.join(reps, ["h1", "h2"]).filter(F.col("id") == F.col("rep"))
-        rows = mine.select("rep", F.explode(F.array_distinct("sketches")).alias("sketch")).distinct()
-        rows = saved(rows, self._path("rows-0"))
-        leaders = self._leaders(rows, 0)
-        cand = self._candidates(rows, leaders, 0)
-        ids = cand.select(F.col("rep").alias("id")).unionByName(cand.select(F.col("leader").alias("id"))).distinct()
-        chosen = self.docs.join(saved(ids, self._path("ids")), "id", "left_semi")
-        one = Window.partitionBy("id").orderBy(F.hash("text"), "text")
-        chosen = chosen.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n")
-        seqs = saved(sequences(chosen, "text").drop("text"), self._path("seqs"))
-        found, n = [], 0
+        mine = saved(mine.select("rep", F.col("n_words").alias("n"), "sketches"), self._path("mine"))
+        every = mine.select("rep", F.explode("sketches").alias("bucket"))
+        shared = every.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
+        shared = saved(shared, self._path("shared"))
+        # few sketches are shared, so the others go before the join moves them
+        rows = shared_sketches(mine, key_filter(shared)).join(shared, "bucket")
+        rows = saved(rows, self._path("rows"))
+        # texts that share no sketch are done; the others' sequences are made once
+        ids = saved(rows.select(F.col("rep").alias("id")).distinct(), self._path("ids"))
+        self.seqs = saved(sequences(self.docs, key_filter(ids.select(F.xxhash64("id")))), self._path("seqs"))
+        repeated = self.seqs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+        if not repeated.isEmpty():  # rows of one id: the least sequence stands for all
+            one = Window.partitionBy("id").orderBy("seq")
+            self.seqs = saved(self.seqs.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n"), self._path("seqs-once"))
+        aligned = [self._compare(self._candidates(rows.filter(F.col("j") < FIRST), None, "first"), None, "first")]
+        labels = self._labels(aligned)
+        aligned.append(self._compare(self._candidates(rows.filter(F.col("j") >= FIRST), labels, "rest"), aligned, "rest"))
+        labels = self._labels(aligned)
+        fresh = aligned
         while True:
-            pairs = cand.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-            if n:
-                pairs = pairs.join(reduce(DataFrame.unionByName, found).select("a", "b"), ["a", "b"], "left_anti")
-            found.append(saved(_align(_with_sequences(pairs, seqs), self.similarity), self._path(f"aligned-{n}")))
-            known = reduce(DataFrame.unionByName, found).select(F.col("a").alias("leader"), F.col("b").alias("rep"), "na", "nb", "distance", "linked")
-            judged = saved(cand.join(known, ["leader", "rep"]), self._path(f"judged-{n}"))
-            parted = judged.filter(~F.col("linked") & F.col("distance").isNotNull())
-            if not parted.isEmpty():
-                x = judged.filter("linked").select("sketch", "leader", F.col("rep").alias("x"), F.col("nb").alias("nx"), F.col("distance").alias("dx"))
-                y = parted.select("sketch", "leader", F.col("rep").alias("y"), F.col("nb").alias("ny"), F.col("distance").alias("dy"))
-                near = x.join(y, ["sketch", "leader"]).filter(F.col("dx") + F.floor((1 - self.similarity) * F.greatest("nx", "ny") + 1e-9) >= F.col("dy"))
-                pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-                found.append(saved(_align(_with_sequences(pairs, seqs), self.similarity), self._path(f"bridged-{n}")))
-            rest = judged.filter(~F.col("linked")).select("rep", "sketch")
-            n += 1
-            rows = rest
-            leaders = self._leaders(rows, n)
-            if leaders.isEmpty():
-                return reduce(DataFrame.unionByName, found).filter("linked").select("a", "b")
-            cand = self._candidates(rows, leaders, n)
-
-    def _leaders(self, rows: DataFrame, n: int) -> DataFrame:
-        return saved(rows.groupBy("sketch").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size"), self._path(f"leaders-{n}"))
-
-    def _candidates(self, rows: DataFrame, leaders: DataFrame, n: int) -> DataFrame:
-        return saved(rows.join(leaders, "sketch").filter(F.col("rep") != F.col("leader")), self._path(f"cand-{n}"))
+            again = reduce(DataFrame.unionByName, fresh).select(F.col("b").alias("rep"), F.col("nb").alias("n"), F.explode("fresh").alias("sketch"), "a")
+            cand = self._candidates(again.select("rep", "n", F.xxhash64("a", "sketch").alias("bucket")), labels, f"fresh-{len(aligned)}")
+            made = self._compare(cand, aligned, f"fresh-{len(aligned)}")
+            if made.isEmpty():
+                return labels
+            aligned.append(made)
+            fresh = [made]
+            if not made.filter("linked").isEmpty():
+                labels = self._labels(aligned)
+
+    def _labels(self, aligned: list[DataFrame]) -> DataFrame:
+        edges = reduce(DataFrame.unionByName, aligned).filter("linked").select("a", "b")
+        return components(edges, self._path(f"labels-after-{len(aligned)}"))
+
+    def _candidates(self, rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+        """a, b: the leader of each bucket with each of its texts of another class. rows: rep, n, bucket; labels: node, label."""
+        known = rows.join(labels, F.col("rep") == F.col("node"), "left").drop("node") if labels is not None else rows.withColumn("label", F.col("rep"))
+        known = known.withColumn("label", F.coalesce("label", "rep"))
+        some = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        full = saved(known.join(saved(some.select("bucket"), self._path(f"buckets-{name}")), "bucket"), self._path(f"members-{name}"))
+        # the struct's least is taken within tasks first, so a hot bucket is a row a task
+        place = F.floor(F.log("n") / math.log(1 / self.similarity))
+        lead = saved(full.groupBy("bucket").agg(F.min(F.struct(place.alias("place"), "rep", "label")).alias("lead")), self._path(f"leaders-{name}"))
+        both = full.join(lead, "bucket").filter(F.col("label") != F.col("lead.label"))
+        return saved(both.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), self._path(f"candidates-{name}"))
+
+    def _compare(self, pairs: DataFrame, before: list[DataFrame] | None, name: str) -> DataFrame:
+        """Alignments of pairs that weren't compared before."""
+        if before:
+            pairs = saved(pairs.join(reduce(DataFrame.unionByName, before).select("a", "b"), ["a", "b"], "left_anti"), self._path(f"new-{name}"))
+        return saved(_align(self._with_sequences(pairs), self.similarity, self.k, self.l, self.n_fresh), self._path(f"aligned-{name}"))
+
+    def _with_sequences(self, pairs: DataFrame) -> DataFrame:
+        """pairs with seq_a, seq_b. A text is one row of its side, so Spark can split the pairs of a hot one."""
+        sa = self.seqs.select(F.col("id").alias("a"), F.col("seq").alias("seq_a"))
+        sb = self.seqs.select(F.col("id").alias("b"), F.col("seq").alias("seq_b"))
+        return pairs.join(sa, "a").join(sb, "b").select("a", "b", "seq_a", "seq_b")
 
     def classes(self) -> DataFrame:
         """id, n_words, class_id for each row of documents."""
         reps = self.representatives()
-        labels = components(self.links(reps), self._path("components"))
-        rep_class = saved(reps.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_id")), self._path("classes"))
+        rep_class = saved(reps.join(self.labels(reps), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_id")), self._path("classes"))
         rows = self.sketched.select("id", "n_words", F.when(F.col("n_words") > 0, F.col("h1")).alias("h1"), "h2")
         return rows.join(rep_class, ["h1", "h2"], "left").select("id", "n_words", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
@@ -326,11 +378,18 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that give their class its id, with all their columns: one row of each class stays."""
+    """The documents that give their class its id, with all their columns: one row of each class stays, and rows without an id."""
     spark, names = documents.sparkSession, documents.columns
-    classes = near_duplicate_classes(documents, id_col, text_col, similarity)
+    classes = saved(near_duplicate_classes(documents, id_col, text_col, similarity), scratch(spark, "classes"))
+    key = F.col(id_col)
     gone = saved(classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct(), scratch(spark, "gone"))
-    return documents.join(gone, F.col(id_col) == F.col("__gone"), "left_anti").select(*names)
+    kept = documents.join(gone, key == F.col("__gone"), "left_anti")
+    again = saved(classes.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).filter("n > 1").select("__again"), scratch(spark, "again"))
+    if not again.isEmpty():  # rows of one id are one document: the least row stands
+        place = F.row_number().over(Window.partitionBy(id_col).orderBy(*[F.col(c).cast("string") for c in names]))
+        once = kept.join(again, key == F.col("__again"), "left_semi").withColumn("__n", place).filter("__n = 1").drop("__n")
+        kept = kept.join(again, key == F.col("__again"), "left_anti").unionByName(once)
+    return kept.select(*names)
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

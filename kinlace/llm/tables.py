@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinlace.llm import textkit as tk
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,3 +90,33 @@ def filtered(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray
             yield batch.filter(pa.array(keep(batch.column(at if plain else len(names))), pa.bool_())).select(labels)
 
     return wide.mapInArrow(run, ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields))).toDF(*names)
+
+
+def key_filter(keys: DataFrame) -> tk.KeyFilter:
+    """A filter of a frame's one long column: bitmaps of the tasks, joined by OR over chunks. Its size does not depend on the keys."""
+    chunk = tk.KeyFilter.CHUNK // 8
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = tk.KeyFilter()
+        for batch in batches:
+            mine.add(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        parts = mine.packed.reshape(-1, chunk)
+        live = np.flatnonzero(parts.any(axis=1))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), pa.array([pack(parts[i].tobytes()) for i in live], pa.binary())], names=["chunk", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(unpack(bits), dtype=np.uint8)
+                total[c] = total[c] | x if c in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "bits"])
+
+    schema = "chunk long, bits binary"
+    out = tk.KeyFilter()
+    for r in keys.mapInArrow(mark, schema).repartition(n, "chunk").mapInArrow(join, schema).collect():  # at most the filter's size
+        out.packed[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out

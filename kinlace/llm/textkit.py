@@ -193,3 +193,25 @@ class HashIndex:
             order = np.argsort(key, kind="stable")
             self.keys[1], self.numbers[1] = key[order], number[order]
         return new
+
+
+class KeyFilter:
+    """A bitmap of fixed size over 64-bit keys: never misses a key that was added, and passes few others while it is sparse."""
+
+    BITS = 25
+    CHUNK = 1 << 16
+
+    def __init__(self, packed: np.ndarray | None = None) -> None:
+        self.packed = np.zeros((1 << self.BITS) // 8, dtype=np.uint8) if packed is None else packed
+
+    @classmethod
+    def places(cls, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(np.uint64)) >> _U(64 - cls.BITS)).astype(np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        at = self.places(keys)
+        np.bitwise_or.at(self.packed, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
