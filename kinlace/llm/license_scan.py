@@ -89,7 +89,8 @@ KNOWN: dict[str, str] = {
     )
 }
 
-_COPYRIGHT_LINE = r"(?m)^[ \t]*(?:(?i:copyright)(?:[ \t]|$)|\([cC]\)[ \t]|©|(?i:all rights reserved)).*$"
+#: Not any line that begins with the word: in a wrapped licence, that may be the licence's own text.
+_COPYRIGHT_LINE = r"(?m)^[ \t]*(?:(?i:copyright)[ \t:]*(?:\([cC]\)|©|[0-9]{4}|(?i:by)[ \t])|\([cC]\)[ \t]*(?:(?i:copyright)|[0-9]{4})|©|(?i:all rights reserved)).*$"
 _COPYRIGHT = re.compile(_COPYRIGHT_LINE.encode())
 _OPENS = (b"copyright", b"(c)", "©".encode(), b"all rights reserved")
 #: Letters go to lower case; ASCII but letters and digits goes to blanks.
