@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -523,7 +524,8 @@ def train(vocab: DataFrame, training: DataFrame, id_col: str, text_col: str, sam
     return model
 
 
-_SCORERS: dict[int, Scorer] = {}
+#: The scorer of the last model that a worker has seen.
+_SCORERS: dict[str, Scorer] = {}
 
 SCORED = "row long, n_tokens long, n_bytes long, ln double, hot_score double, hot_known long, cold array<long>, times array<long>"
 
@@ -542,7 +544,7 @@ def score_documents(documents: DataFrame, is_training: Column, id_col: str = "do
     shared = spark.sparkContext.broadcast((model, *hot_words(vocab, hot)))  # 2**20 words and the tables, whatever the input
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     id_type = docs.schema["id"].dataType.simpleString()
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
