@@ -169,7 +169,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of documents without any hit, with their own columns only."""
     spark = documents.sparkSession
-    for index, _ in benchmark_blocks(benchmark, block_bytes=block_bytes):
+    for k, (index, _) in enumerate(benchmark_blocks(benchmark, block_bytes=block_bytes)):
+        if k:  # the index before goes; only one block is held at a time
+            documents = saved(documents, scratch(spark, "decontaminated"))
         shared = spark.sparkContext.broadcast(index)
         documents = filtered(documents, text_col, lambda texts, shared=shared: np.array([not len(x[1]) for x in shared.value.scan(texts)], dtype=bool))
     return documents
