@@ -370,6 +370,12 @@ def _merkle_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [tree.n], "n_tokens": [tokens], "root": [tree.root()]})
 
 
+def _blobs(spark: SparkSession, path: str, kind: str, columns: str) -> DataFrame:
+    """Rows of one kind; a store without any has no folder of that kind."""
+    return spark.read.schema(f"{columns}, kind string").parquet(f"{path}/blobs").filter(F.col("kind") == kind).drop("kind")
+
+
+CHUNK_COLUMNS = "digest binary, payload binary, n_ids int"
 MANIFEST = "part long, n_docs long, n_tokens long, root binary"
 
 
@@ -380,7 +386,8 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", text_co
     pieces = _pieces(documents, id_col, text_col, vocabulary_path, end_id).repartition(n, "part")
     unique = pieces.mapInArrow(_unique, pieces.schema)
     unique.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{path}/blobs")
-    recipes = spark.read.schema(pieces.schema).parquet(f"{path}/blobs/kind=recipe").select("doc_id", "n_tokens", "digests", "sizes", "root")
+    id_type = pieces.schema["doc_id"].dataType.simpleString()
+    recipes = _blobs(spark, path, "recipe", f"doc_id {id_type}, n_tokens long, digests array<binary>, sizes array<int>, root binary")
     # dealt by id and root, as an id alone may be in many rows
     order = ["doc_id", "root"]
     sorted_rows = recipes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
@@ -413,8 +420,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(zlib.crc32(wide))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), batch.column(2)], names=["digest", "crc", "n_ids"])
 
-    schema = "digest binary, payload binary, n_ids int"
-    return spark.read.schema(schema).parquet(f"{path}/blobs/kind=chunk").select("digest", "payload", "n_ids").mapInArrow(run, "digest binary, crc long, n_ids int")
+    return _blobs(spark, path, "chunk", CHUNK_COLUMNS).mapInArrow(run, "digest binary, crc long, n_ids int")
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,7 +471,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
     recipes = spark.read.parquet(f"{path}/recipes")
-    chunks = spark.read.schema("digest binary, payload binary, n_ids int").parquet(f"{path}/blobs/kind=chunk")
+    chunks = _blobs(spark, path, "chunk", CHUNK_COLUMNS)
     refs = recipes.select("start", F.posexplode("digests").alias("pos", "digest")).join(chunks, "digest")
     grouped = refs.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", "payload", "n_ids"))).alias("chunks"))
     rows = recipes.select("doc_id", "start").join(grouped, "start").select("doc_id", "start", "chunks")
