@@ -334,3 +334,44 @@ def original_anchors(performances: DataFrame, length_tolerance_ms: int = 2_000)
     near = ranked.join(top, "work_id")
     twin = (F.col("first_date") == F.col("d")) & (F.abs(F.col("length_ms") - F.col("l")) <= length_tolerance_ms) & (fold(F.col("title")) == F.col("f"))
     return near.filter((F.col("rank") == 1) | twin).select("work_id", "recording_id")
+
+
+# --- two libraries, settings ------------------------------------------------------------------------------
+
+
+def fold_in(left: DataFrame, right: DataFrame, ids: DataFrame) -> DataFrame:
+    """entry_source of two libraries as one: ids (side, entry_id, new_id) as graph.merged_ids gives them; of a pair that both have, the
+    row that was fetched last stands, the left one among equals."""
+    both = left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right")), allowMissingColumns=True)
+    moved = both.join(ids, ["side", "entry_id"]).withColumn("entry_id", F.col("new_id")).drop("new_id")
+    return latest(moved, PAIR, F.desc_nulls_last("fetched_at"), F.col("side")).drop("side")
+
+
+def checked_fold(merged: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """merged, or an error if a pair was lost or stands twice."""
+    want = left.select(*PAIR).unionByName(right.select(*PAIR)).distinct()
+    if not merged.groupBy(*PAIR).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("a pair stands twice")
+    if not want.join(merged, PAIR, "left_anti").isEmpty():
+        raise ValueError("a pair was lost")
+    return merged
+
+
+def set_preference(stored: DataFrame, components: DataFrame, entry_id: int, weight: float) -> DataFrame:
+    """preferred (entry_id, weight) after one was set: one a component, none for a weight of 0."""
+    mine = components.join(components.filter(F.col("entry_id") == entry_id).select("component"), "component", "left_semi").select("entry_id")
+    kept = stored.join(mine, "entry_id", "left_anti")
+    return kept if weight == 0 else kept.unionByName(stored.sparkSession.createDataFrame([(entry_id, float(weight))], stored.select("entry_id", "weight").schema))
+
+
+def record_feedback(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ledger with new judgments; each supersedes the newest one of its pair. Both have id, entry_a, entry_b, created_at, supersedes_id."""
+    newest = latest(ledger, ["entry_a", "entry_b"], F.desc("created_at"), F.desc("id")).select("entry_a", "entry_b", F.col("id").alias("__old"))
+    fresh = rows.drop("supersedes_id").join(newest, ["entry_a", "entry_b"], "left").withColumnRenamed("__old", "supersedes_id")
+    return ledger.unionByName(fresh, allowMissingColumns=True)
+
+
+def barrier_violations(members: DataFrame, sources: DataFrame) -> DataFrame:
+    """entry_id, anchors: entries that hold pairs of several anchors, which have to be regrouped. members: PAIR, anchor."""
+    held = members.join(sources.select(*PAIR, "entry_id"), PAIR).groupBy("entry_id").agg(F.array_sort(F.collect_set("anchor")).alias("anchors"))
+    return held.filter(F.size("anchors") > 1)

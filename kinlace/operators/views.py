@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinlace.functions import text
+from kinlace.functions import text, urls
 from kinlace.functions import values as V
 from kinlace.operators.resolve import PAIR, latest
 
@@ -260,3 +262,83 @@ def anchors(pairs: DataFrame, rank: dict[str, int], key: str = "entry_id") -> Da
 def with_counts(playlists: DataFrame, items: DataFrame) -> DataFrame:
     n = items.groupBy(F.col("playlist_id").alias("id")).agg(F.count("*").alias("item_count"))
     return playlists.join(n, "id", "left").na.fill(0, ["item_count"])
+
+
+# --- composed views ---------------------------------------------------------------------------------------
+
+
+def phrase_search(aliases: DataFrame, entries: DataFrame, query: str, entry_type: str | None = None, limit: int = 50) -> DataFrame:
+    """entry_id, score: entries with an alias that holds a phrase of three characters or more, by the phrase's share of the alias."""
+    if len(query) < 3:
+        return search(aliases, entries, query, entry_type, limit)
+    low = F.lower("name")
+    hits = aliases.filter(low.contains(query.lower())).select("entry_id", (1 - F.lit(len(query)) / F.length("name")).alias("score"))
+    kept = entries if entry_type is None else entries.filter(F.col("entry_type") == entry_type)
+    return hits.join(kept.select("entry_id"), "entry_id", "left_semi").groupBy("entry_id").agg(F.min("score").alias("score")).orderBy("score", "entry_id").limit(limit)
+
+
+@F.pandas_udf(T.IntegerType())
+def _n_songs(songs: pd.Series) -> pd.Series:
+    return songs.map(lambda x: len(V.merge_songs([list(s) for s in x])) if x is not None else 0)
+
+
+def multi_song_entries(sources: DataFrame) -> DataFrame:
+    """entry_id, n: entries whose pairs perform more than one song; songs that share a work are one. sources: entry_id, songs."""
+    all_songs = sources.filter("songs IS NOT NULL").groupBy("entry_id").agg(F.flatten(F.collect_list("songs")).alias("songs"))
+    return all_songs.select("entry_id", _n_songs("songs").alias("n")).filter("n > 1")
+
+
+def entry_summary(entries: DataFrame, aliases: DataFrame, sources: DataFrame, components: DataFrame, editions: DataFrame, credits: DataFrame) -> DataFrame:
+    """One row for each component: title, pairs, member entries, the other editions of its group, and main artists in order.
+    components: entry_id, component; editions: entry_id, group_id of identities; credits: entry_id, artist_id, position."""
+    of = components.select("entry_id", "component")
+    named = aliases.join(of, "entry_id").withColumn("entry_id", F.col("component"))
+    titles = best_title(named.select("entry_id", "source", "name", "primary")).withColumnRenamed("entry_id", "component")
+    pairs = sources.join(of, "entry_id").groupBy("component").agg(F.array_sort(F.collect_set(F.struct(*PAIR))).alias("pairs"))
+    members = of.join(entries.select("entry_id"), "entry_id", "left_semi").groupBy("component").agg(F.array_sort(F.collect_list("entry_id")).alias("members"))
+    group = editions.select(F.col("entry_id").alias("component"), "group_id")
+    others = group.join(group.select(F.col("component").alias("other"), "group_id"), "group_id").filter("component <> other").groupBy("component").agg(F.array_sort(F.collect_set("other")).alias("editions"))
+    artists = credits.join(of, "entry_id").groupBy("component").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("position", F.lit(1_000_000)).alias("position"), "artist_id"))).alias("x"))
+    artists = artists.select("component", F.transform("x", lambda a: a["artist_id"]).alias("artists"))
+    out = members
+    for part in (titles, pairs, others, artists):
+        out = out.join(part, "component", "left")
+    return out
+
+
+def source_credits(sources: DataFrame, contributions: DataFrame) -> DataFrame:
+    """entry_id, source, artist_identifier, roles: credits as each source gives them; nothing is taken over from other releases or editions."""
+    met = contributions.join(sources.select(*PAIR, "entry_id"), PAIR)
+    return met.groupBy("entry_id", "source", "artist_identifier").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+
+
+def lookup(sources: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query, entry_id: by the canonical pair of a page, else by the raw identifier. wanted: query."""
+    asked = wanted.select("query", urls.canonicalize(F.col("query")).alias("c"))
+    known = sources.select(F.col("source").alias("s"), F.col("identifier").alias("i"), "entry_id")
+    by_page = asked.join(known, (F.col("c.source") == F.col("s")) & (F.col("c.identifier") == F.col("i"))).select("query", "entry_id", F.lit(0).alias("rank"))
+    raw = asked.join(known, F.col("query") == F.col("i")).select("query", "entry_id", F.lit(1).alias("rank"))
+    return latest(by_page.unionByName(raw), ["query"], F.asc("rank"), F.asc("entry_id")).drop("rank")
+
+
+def identity_view(sources: DataFrame, links: DataFrame, barriers: DataFrame) -> DataFrame:
+    """PAIR, entry_id, links (other pairs of the entry it is linked to), anchor: what an unmerge shows."""
+    of = sources.select(*PAIR, "entry_id")
+    both = links.select("a_source", "a_identifier", "b_source", "b_identifier").unionByName(links.select(F.col("b_source").alias("a_source"), F.col("b_identifier").alias("a_identifier"), F.col("a_source").alias("b_source"), F.col("a_identifier").alias("b_identifier")))
+    mine = both.join(of.toDF("a_source", "a_identifier", "ea"), ["a_source", "a_identifier"]).join(of.toDF("b_source", "b_identifier", "eb"), ["b_source", "b_identifier"]).filter("ea = eb")
+    met = mine.groupBy(F.col("a_source").alias("source"), F.col("a_identifier").alias("identifier")).agg(F.array_sort(F.collect_set(F.struct("b_source", "b_identifier"))).alias("links"))
+    anchor = barriers.groupBy(*PAIR).agg(F.min("anchor").alias("anchor"))
+    return of.join(met, PAIR, "left").join(anchor, PAIR, "left")
+
+
+def structural_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """parent_id, child_id: containment one step around nodes (entry_id)."""
+    n = nodes.select("entry_id").distinct()
+    up = edges.join(n.withColumnRenamed("entry_id", "child_id"), "child_id", "left_semi")
+    down = edges.join(n.withColumnRenamed("entry_id", "parent_id"), "parent_id", "left_semi")
+    return up.select("parent_id", "child_id").unionByName(down.select("parent_id", "child_id")).distinct()
+
+
+def roots(update_roots: DataFrame, sources: DataFrame) -> DataFrame:
+    """update_roots (PAIR, ...) with the entry that each has become, if any."""
+    return update_roots.join(sources.select(*PAIR, "entry_id"), PAIR, "left")

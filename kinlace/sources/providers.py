@@ -115,6 +115,58 @@ def nicovideo_video(x: Column) -> list[Column]:
     return _entity("nicovideo", F.concat(F.lit("https://www.nicovideo.jp/watch/"), x["display_id"]), "track", x["title"], date, x["duration"] * 1000, artists=owner)
 
 
+def _pages(form: str, items: Column) -> Column:
+    return F.transform(items, lambda i: _child(F.concat(F.lit(form), i["id"].cast("string")), i["title"]))
+
+
+def musicbrainz_artist(x: Column) -> list[Column]:
+    return _entity("musicbrainz", F.concat(F.lit(f"{_MB}artist/"), x["id"]), "artist", x["name"], children=_pages(f"{_MB}release-group/", x["release-groups"]))
+
+
+def musicbrainz_work(x: Column) -> list[Column]:
+    """A work's performances, as children; original_anchors tells the original among them."""
+    rows = F.filter(x["relations"], lambda r: (r["target-type"] == "recording") & (r["type"] == "performance"))
+    return _entity("musicbrainz", F.concat(F.lit(f"{_MB}work/"), x["id"]), "track", x["title"], children=F.transform(rows, lambda r, n: _child(F.concat(F.lit(f"{_MB}recording/"), r["recording"]["id"]), r["recording"]["title"], track_no=n, duration_ms=r["recording"]["length"])))
+
+
+def spotify_artist(x: Column) -> list[Column]:
+    albums = F.transform(x["albums"], lambda i: _child(F.concat(F.lit(f"{_SP}album/"), i["id"]), i["name"]))
+    return _entity("spotify", F.concat(F.lit(f"{_SP}artist/"), x["id"]), "artist", x["name"], children=albums)
+
+
+def spotify_playlist(x: Column) -> list[Column]:
+    tracks = F.transform(F.filter(x["tracks"]["items"], lambda i: i["track"]["id"].isNotNull()), lambda i, n: _child(F.concat(F.lit(f"{_SP}track/"), i["track"]["id"]), i["track"]["name"], track_no=n + 1, duration_ms=i["track"]["duration_ms"]))
+    return _entity("spotify", F.concat(F.lit(f"{_SP}playlist/"), x["id"]), "release", x["name"], children=tracks)
+
+
+def discogs_master(x: Column) -> list[Column]:
+    own = F.concat(F.lit(f"{_DC}master/"), x["id"].cast("string"))
+    return _entity("discogs", own, "release_group", x["title"], F.when(x["year"] > 0, x["year"]), artists=_artists(x["artists"], f"{_DC}artist/"), children=_pages(f"{_DC}release/", x["versions"]))
+
+
+def youtube_playlist(x: Column) -> list[Column]:
+    videos = F.transform(x["items"], lambda i: _child(F.concat(F.lit("https://youtu.be/"), i["snippet"]["resourceId"]["videoId"]), i["snippet"]["title"], track_no=i["snippet"]["position"] + 1))
+    return _entity("youtube", F.concat(F.lit("https://www.youtube.com/playlist?list="), x["id"]), "release", x["snippet"]["title"], children=videos)
+
+
+def youtube_channel(x: Column) -> list[Column]:
+    return _entity("youtube", F.concat(F.lit("https://www.youtube.com/channel/"), x["id"]), "artist", x["snippet"]["title"])
+
+
+def _ytdlp_list(source: str, entry_type: str):
+    """A listing as yt-dlp gives it: its entries in order."""
+
+    def columns(x: Column) -> list[Column]:
+        items = F.transform(x["entries"], lambda e, n: _child(e["url"], e["title"], track_no=n + 1))
+        return _entity(source, x["webpage_url"], entry_type, F.coalesce(x["title"], x["uploader"]), children=items)
+
+    return columns
+
+
+_YTDLP = "struct<webpage_url:string,title:string,uploader:string,entries:array<struct<url:string,title:string>>>"
+_MB_LIST = "array<struct<id:string,title:string>>"
+_SP_TRACKS = "struct<items:array<struct<track:struct<id:string,name:string,duration_ms:bigint>>>>"
+
 #: kind -> (schema of a document, columns of ENTITY).
 PARSERS: dict[str, tuple[str, Callable[[Column], list[Column]]]] = {
     "musicbrainz_recording": (f"struct<id:string,title:string,`first-release-date`:string,length:bigint,video:boolean,isrcs:array<string>,{_MB_CREDIT}>", musicbrainz_recording),
@@ -127,6 +179,18 @@ PARSERS: dict[str, tuple[str, Callable[[Column], list[Column]]]] = {
     "youtube_video": ("struct<id:string,snippet:struct<title:string,channelId:string,channelTitle:string,publishedAt:string>,contentDetails:struct<duration:string>>", youtube_video),
     "soundcloud_track": ("struct<webpage_url:string,title:string,uploader:string,duration:double>", soundcloud_track),
     "nicovideo_video": ("struct<display_id:string,title:string,uploader:string,uploader_id:string,upload_date:string,duration:bigint>", nicovideo_video),
+    "musicbrainz_artist": (f"struct<id:string,name:string,`release-groups`:{_MB_LIST}>", musicbrainz_artist),
+    "musicbrainz_work": ("struct<id:string,title:string,relations:array<struct<`type`:string,`target-type`:string,recording:struct<id:string,title:string,length:bigint>>>>", musicbrainz_work),
+    "spotify_artist": ("struct<id:string,name:string,albums:array<struct<id:string,name:string>>>", spotify_artist),
+    "spotify_playlist": (f"struct<id:string,name:string,tracks:{_SP_TRACKS}>", spotify_playlist),
+    "discogs_master": ("struct<id:bigint,title:string,year:int,artists:array<struct<id:bigint,name:string>>,versions:array<struct<id:bigint,title:string>>>", discogs_master),
+    "youtube_playlist": ("struct<id:string,snippet:struct<title:string>,items:array<struct<snippet:struct<title:string,position:int,resourceId:struct<videoId:string>>>>>", youtube_playlist),
+    "youtube_channel": ("struct<id:string,snippet:struct<title:string>>", youtube_channel),
+    "soundcloud_playlist": (_YTDLP, _ytdlp_list("soundcloud", "release")),
+    "soundcloud_artist": (_YTDLP, _ytdlp_list("soundcloud", "artist")),
+    "nicovideo_series": (_YTDLP, _ytdlp_list("nicovideo", "release")),
+    "nicovideo_mylist": (_YTDLP, _ytdlp_list("nicovideo", "release")),
+    "nicovideo_user": (_YTDLP, _ytdlp_list("nicovideo", "artist")),
 }
 
 

@@ -462,3 +462,72 @@ def test_guards(spark):
     assert one(scoring.isrc_guard(arr(), arr(1))) and one(scoring.isrc_guard(arr(1_000), arr(6_000))) and not one(scoring.isrc_guard(arr(1_000), arr(6_001)))
     t = spark.createDataFrame([(1, [["a"]], [1_200_000]), (2, [["a"], ["b"]], []), (3, None, [1_200_001]), (4, None, None)], "entry_id long, songs array<array<string>>, durations array<long>")
     assert {r["entry_id"]: r["guarded"] for r in scoring.edition_guard(t).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+# --- the whole match, composed views ----------------------------------------------------------------------
+
+INFO = PREPARED + ", aliases array<string>, child_ids array<long>"
+
+
+def test_whole_match(spark):
+    from kinlace.operators import match
+
+    def entry(i, name, source, dur):
+        return (i, "track", [(source, name)], [(source, f"{i}")], [dur], [5], [], [name], [])
+
+    rows = [entry(1, "Blue Sky", "musicbrainz", 200_000), entry(2, "Blue Sky", "spotify", 200_500), entry(3, "Blue Sky (Live)", "discogs", 210_000), entry(4, "Far Hill", "spotify", 90_000), entry(5, "Blue Sky", "spotify", 200_100)]
+    entries = spark.createDataFrame(rows, INFO)
+    none = spark.createDataFrame([], RELATION)
+    pair = lambda *x: spark.createDataFrame(list(x), "a long, b long")
+    run = lambda **k: match.match(entries, none, pair((1, 5)), spark.createDataFrame([], "entry_id long, anchor string"), spark.createDataFrame([], "entry_id long"), **k)
+    out = run(settings=match.Settings(max_block=10))
+    rel = {(r["entry_a"], r["entry_b"], r["kind"]): r for r in out.relations.collect()}
+    assert rel[(1, 2, "same_identity")]["confidence"] == 1.0 or rel[(2, 5, "same_identity")]["confidence"] == 1.0
+    assert not {(1, 2, "same_identity"), (2, 5, "same_identity")} <= set(rel)  # 1 and 5 were judged apart
+    assert rel[(1, 3, "derived_from")]["extra"].startswith('{"derived_entry":3')
+    assert {r["skip"] for r in out.candidates.filter("a = 1 AND b = 5").collect()} == {"different"}
+    assert out.feedback.filter("judgment = 'merge'").count() >= 2
+    only = run(focus=spark.createDataFrame([(4,)], "entry_id long"))
+    assert only.candidates.count() == 0
+    stored = spark.createDataFrame([], "entry_id long, entry_type string, text string, model string, vector array<float>")
+    vectors = match.maintain_vectors(stored, entries, match.Plugin())
+    assert vectors.count() == 5 and match.maintain_vectors(vectors, entries.filter("entry_id < 3"), match.Plugin()).count() == 2
+    near = run(vectors=vectors, settings=match.Settings(max_block=10)).candidates.filter("channels & 64 <> 0")
+    assert {(r["a"], r["b"]) for r in near.collect()} >= {(1, 2), (2, 5)}
+
+
+def test_composed_views(spark):
+    p = "source string, identifier string, entry_id long"
+    sources = spark.createDataFrame([("youtube", "https://youtu.be/abcdefghijk", 1), ("s", "x", 2), ("s", "y", 2)], p)
+    asked = spark.createDataFrame([("https://www.youtube.com/watch?v=abcdefghijk",), ("x",), ("nothing",)], "query string")
+    assert dict(views.lookup(sources, asked).collect()) == {asked.collect()[0][0]: 1, "x": 2}
+    songs_ = spark.createDataFrame([(1, [["a"], ["b"]]), (2, [["a", "b"]]), (2, [["b", "c"]])], "entry_id long, songs array<array<string>>")
+    assert [tuple(r) for r in views.multi_song_entries(songs_).collect()] == [(1, 2)]
+    links = spark.createDataFrame([("s", "x", "s", "y")], "a_source string, a_identifier string, b_source string, b_identifier string")
+    got = {r["identifier"]: r for r in views.identity_view(sources, links, spark.createDataFrame([("s", "y", "Z")], "source string, identifier string, anchor string")).collect()}
+    assert got["x"]["links"][0]["b_identifier"] == "y" and got["y"]["anchor"] == "Z" and got["x"]["anchor"] is None
+    entries = spark.createDataFrame([(1,), (2,)], "entry_id long")
+    aliases = spark.createDataFrame([(1, "s", "A", True), (2, "s", "B", False)], "entry_id long, source string, name string, primary boolean")
+    comps = spark.createDataFrame([(1, 1), (2, 1)], "entry_id long, component long")
+    eds = spark.createDataFrame([(1, 1), (9, 1)], "entry_id long, group_id long")
+    r = views.entry_summary(entries, aliases, sources, comps, eds, spark.createDataFrame([(2, 7, 1), (1, 8, 0)], "entry_id long, artist_id long, position int")).first()
+    assert (r["title"], r["members"], r["editions"], r["artists"], len(r["pairs"])) == ("A", [1, 2], [9], [8, 7], 3)
+
+
+def test_fold_in_and_settings(spark):
+    schema = "source string, identifier string, entry_id long, fetched_at long"
+    left = spark.createDataFrame([("s", "1", 1, 5), ("s", "2", 2, None)], schema)
+    right = spark.createDataFrame([("s", "2", 1, 3), ("s", "9", 1, 1)], schema)
+    ids = graph.merged_ids(left.drop("fetched_at"), right.drop("fetched_at"))
+    out = resolve.checked_fold(resolve.fold_in(left, right, ids), left, right)
+    assert {r["identifier"]: (r["entry_id"], r["fetched_at"]) for r in out.collect()} == {"1": (1, 5), "2": (2, 3), "9": (2, 1)}
+    with pytest.raises(ValueError):
+        resolve.checked_fold(left, left, right)
+    pref = spark.createDataFrame([(1, 1.0), (5, 2.0)], "entry_id long, weight double")
+    comps = spark.createDataFrame([(1, 1), (2, 1), (5, 5)], "entry_id long, component long")
+    assert dict(resolve.set_preference(pref, comps, 2, 3.0).collect()) == {5: 2.0, 2: 3.0}
+    assert dict(resolve.set_preference(pref, comps, 2, 0).collect()) == {5: 2.0}
+    ledger = spark.createDataFrame([(1, 1, 2, 10, None)], "id long, entry_a long, entry_b long, created_at long, supersedes_id long")
+    rows = spark.createDataFrame([(2, 1, 2, 20, None), (3, 4, 5, 20, None)], ledger.schema)
+    assert {r["id"]: r["supersedes_id"] for r in resolve.record_feedback(ledger, rows).collect()} == {1: None, 2: 1, 3: None}
+    assert resolve.barrier_violations(spark.createDataFrame([("s", "1", "x"), ("s", "2", "y")], "source string, identifier string, anchor string"), spark.createDataFrame([("s", "1", 1), ("s", "2", 1)], "source string, identifier string, entry_id long")).first()["anchors"] == ["x", "y"]

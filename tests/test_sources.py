@@ -82,3 +82,17 @@ def test_library(spark, tmp_path):
     assert info[1]["positions"][0]["track_no"] == 4 and info[2]["peer_ids"] == [1]
     only = library.entry_infos(lib, spark.createDataFrame([(1,)], "entry_id long"))
     assert only.count() == 1 and only.select(F.size("peer_ids")).first()[0] == 1
+
+
+def test_more_providers(spark):
+    work = {"id": "w", "title": "W", "relations": [{"type": "performance", "target-type": "recording", "recording": {"id": "r", "title": "R", "length": 5}}, {"type": "based on", "target-type": "work"}]}
+    assert [c["identifier"] for c in providers.parse(doc(spark, work), "musicbrainz_work").first()["children"]] == ["https://musicbrainz.org/recording/r"]
+    lists = {"webpage_url": "https://soundcloud.com/u/sets/l", "title": "L", "uploader": "U", "entries": [{"url": "https://soundcloud.com/u/a", "title": "A"}]}
+    r = providers.parse(doc(spark, lists), "soundcloud_playlist").first()
+    assert (r["entry_type"], r["children"][0]["track_no"]) == ("release", 1)
+    page = {"id": "PL1", "snippet": {"title": "P"}, "items": [{"snippet": {"title": "V", "position": 0, "resourceId": {"videoId": "abcdefghijk"}}}]}
+    assert providers.parse(doc(spark, page), "youtube_playlist").first()["children"][0]["identifier"] == "https://youtu.be/abcdefghijk"
+    for kind in providers.PARSERS:
+        assert providers.parse(spark.createDataFrame([("{}",)], "value string"), kind).count() == 0, kind
+    master = {"id": 4, "title": "M", "year": 0, "artists": [], "versions": [{"id": 9, "title": "V"}]}
+    assert providers.parse(doc(spark, master), "discogs_master").first()["release_date"] is None
