@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlace.functions import values as V
-from kinlace.operators import resolve, views
+from kinlace.operators import graph, resolve, views
 from kinlace.plans.registry import query, seconds, t
 
 
@@ -316,3 +316,68 @@ def top_outgoing(spark, d):
     n = t(spark, d, "part").groupBy(F.col("p_brand").alias("entry_id"), F.col("p_type").alias("kind")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("n"), "kind"))
     return n.withColumn("rank", rank).filter("rank <= 3").drop("rank")
+
+
+@query(
+    """SELECT p_partkey AS entry_id, round(1 - 4 / length(p_name), 6) AS score FROM part WHERE contains(lower(p_name), 'ring')
+    ORDER BY score, entry_id LIMIT 50"""
+)
+def phrase_search(spark, d):
+    p = t(spark, d, "part")
+    aliases = p.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name"))
+    out = views.phrase_search(aliases, aliases.select("entry_id"), "Ring")
+    return out.select("entry_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """SELECT l_orderkey AS entry_id, count(DISTINCT l_returnflag || l_linestatus) AS n FROM lineitem GROUP BY 1 HAVING n > 1"""
+)
+def multi_song_entries(spark, d):
+    """Each line is a song of one work, its flags; lines of one work are one song."""
+    songs = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.array(F.array(F.concat("l_returnflag", "l_linestatus"))).alias("songs"))
+    return views.multi_song_entries(songs).select("entry_id", F.col("n").cast("long").alias("n"))
+
+
+@query(
+    """WITH x AS (SELECT s_nationkey AS e, s_suppkey::VARCHAR AS i, s_acctbal > 0 AS l, s_acctbal < 5000 AS r FROM supplier)
+    SELECT i AS identifier, CASE WHEN l AND NOT r THEN 1 WHEN r THEN 2 ELSE 1 END AS fetched_at FROM x WHERE l OR r"""
+)
+def library_fold_in(spark, d):
+    """Two libraries of suppliers, of which many are in both; the right one was fetched later."""
+    s = t(spark, d, "supplier").select(F.lit("supplier").alias("source"), F.col("s_suppkey").cast("string").alias("identifier"), F.col("s_nationkey").cast("long").alias("entry_id"), "s_acctbal")
+    left = s.filter("s_acctbal > 0").select("source", "identifier", "entry_id", F.lit(1).alias("fetched_at"))
+    right = s.filter("s_acctbal < 5000").select("source", "identifier", "entry_id", F.lit(2).alias("fetched_at"))
+    ids = graph.merged_ids(left.drop("fetched_at"), right.drop("fetched_at"))
+    return resolve.fold_in(left, right, ids).select("identifier", "fetched_at")
+
+
+@query(
+    """SELECT l_orderkey AS entry_id, l_returnflag AS source, l_suppkey::VARCHAR AS artist_identifier, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS roles FROM lineitem GROUP BY 1, 2, 3"""
+)
+def source_credits(spark, d):
+    line = t(spark, d, "lineitem")
+    sources = line.select(F.col("l_returnflag").alias("source"), F.col("l_orderkey").cast("string").alias("identifier"), F.col("l_orderkey").alias("entry_id")).distinct()
+    rows = line.select(F.col("l_returnflag").alias("source"), F.col("l_orderkey").cast("string").alias("identifier"), F.col("l_suppkey").cast("string").alias("artist_identifier"), F.col("l_linestatus").alias("role"))
+    return views.source_credits(sources, rows).withColumn("roles", F.array_join("roles", ","))
+
+
+@query(
+    """SELECT DISTINCT o_custkey AS parent_id, l_partkey + 10000000 AS child_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size = 50 OR o_totalprice > 499000"""
+)
+def structural_edges(spark, d):
+    j = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = j.select(F.col("o_custkey").alias("parent_id"), (F.col("l_partkey") + 10_000_000).alias("child_id"), "o_totalprice")
+    sized = t(spark, d, "part").filter("p_size = 50").select((F.col("p_partkey") + 10_000_000).alias("entry_id"))
+    return views.structural_edges(edges.drop("o_totalprice"), sized).unionByName(edges.filter("o_totalprice > 499000").drop("o_totalprice")).distinct()
+
+
+@query()
+def edition_facts(spark, d):
+    """A JSON document for each order: its tracklist and durations."""
+    line = t(spark, d, "lineitem")
+    name = lambda c: F.col(c).cast("string")
+    sources = t(spark, d, "orders").select(F.lit("order").alias("source"), name("o_orderkey").alias("identifier"), F.floor("o_totalprice").alias("duration_ms"))
+    aliases = t(spark, d, "orders").select(F.lit("order").alias("source"), name("o_orderkey").alias("identifier"), F.col("o_orderpriority").alias("name"))
+    children = line.select(F.lit("order").alias("parent_source"), name("l_orderkey").alias("parent_identifier"), F.lit("part").alias("child_source"), name("l_partkey").alias("child_identifier"), F.lit(None).cast("int").alias("disc_no"), F.col("l_linenumber").alias("track_no"))
+    credits = line.select(F.lit("part").alias("source"), name("l_partkey").alias("identifier"), F.lit("order").alias("artist_source"), name("l_orderkey").alias("artist_identifier"), F.col("l_returnflag").alias("role"))
+    return views.pair_facts(sources, aliases, children, credits)

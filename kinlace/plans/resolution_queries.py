@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlace.functions import text, urls
 from kinlace.functions import values as V
-from kinlace.operators import blocking, graph, knn, resolve, rules, scoring
+from kinlace.operators import blocking, graph, knn, match, resolve, rules, scoring
 from kinlace.plans.registry import query, t
 
 _NONE = "array<bigint>"
@@ -465,3 +465,26 @@ def resolved_import(spark, d):
     anchors = s.filter("s_acctbal > 9000").select(F.lit("supplier").alias("source"), name("s_suppkey").alias("identifier"), name("s_nationkey").alias("anchor"))
     classes = resolve.labelled_classes(pairs, links, existing, anchors)
     return resolve.assign_entries(classes, existing).select(F.col("class_id.s").alias("source"), F.col("class_id.i").alias("identifier"), "entry_id", F.size("merged").alias("merged"))
+
+
+@query()
+def whole_match(spark, d):
+    """Suppliers are matched as artists of their nation: candidates, skips, verdicts, and the relations to write."""
+    sup = t(spark, d, "supplier")
+    name = F.concat_ws(" ", F.lit("The"), F.element_at(F.split("s_name", "#"), 1), F.col("s_nationkey").cast("string"))
+    none = F.array().cast(_NONE)
+    entries = sup.select(
+        F.col("s_suppkey").alias("entry_id"),
+        F.lit("artist").alias("entry_type"),
+        F.array(F.struct(F.lit("musicbrainz").alias("source"), name.alias("name"))).alias("sourced_aliases"),
+        F.array(F.struct(F.lit("musicbrainz").alias("source"), F.col("s_name").alias("identifier"))).alias("pairs"),
+        none.alias("durations"),
+        F.array(F.col("s_nationkey").cast("bigint")).alias("peer_ids"),
+        F.array().cast("array<struct<release_id:bigint,disc_no:int,track_no:int>>").alias("positions"),
+        F.array(name).alias("aliases"),
+        none.alias("child_ids"),
+    )
+    empty = lambda schema: spark.createDataFrame([], schema)
+    relations = empty("entry_a long, entry_b long, kind string, confidence double, origin string, enabled boolean, extra string")
+    out = match.match(entries, relations, empty("a long, b long"), empty("entry_id long, anchor string"), empty("entry_id long"))
+    return out.relations
