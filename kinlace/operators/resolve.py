@@ -196,6 +196,7 @@ def labelled_classes(pairs: DataFrame, links: DataFrame, existing: DataFrame, an
 
     def run(batches):
         for pdf in batches:
+            out = []
             for g in pdf.itertuples():
                 t = lambda x: (x["s"], x["i"])
                 parent = {t(m): t(m) for m in g.members}
@@ -218,8 +219,8 @@ def labelled_classes(pairs: DataFrame, links: DataFrame, existing: DataFrame, an
                     parent[gone] = root
                     if la is not None or lb is not None:
                         anchor[root] = la if la is not None else lb
-                out = [({"s": x[0], "i": x[1]}, {"s": find(x)[0], "i": find(x)[1]}) for x in parent]
-                yield pd.DataFrame(out, columns=["node", "component"])
+                out += [({"s": x[0], "i": x[1]}, {"s": find(x)[0], "i": find(x)[1]}) for x in parent]
+            yield pd.DataFrame(out, columns=["node", "component"])
 
     solved = packed.join(members, "component").mapInPandas(run, f"node {kind}, component {kind}")
     easy = free.join(torn.select("component"), "component", "left_anti").select("node", "component")

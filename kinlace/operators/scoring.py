@@ -86,7 +86,8 @@ def _features(x: Column, y: Column) -> dict[str, Column]:
         "title_sim": F.when(both_empty, 1.0).when(one_empty, 0.0).otherwise(text.string_similarity(x["title"], y["title"])),
         "markers_conflict": (F.size(x["markers"]) > 0) & (F.size(y["markers"]) > 0) & ~F.arrays_overlap(x["markers"], y["markers"]),
         "title_exact": F.coalesce(F.arrays_overlap(x["names"], y["names"]), F.lit(False)),
-        "alias_sim": text.alias_similarity(x["aliases"], y["aliases"]),
+        # only artists are compared by it, and the UDF is quick on nulls
+        "alias_sim": text.alias_similarity(*(F.when(x["entry_type"] == "artist", s["aliases"]) for s in (x, y))),
         "dur_known": (F.size(x["durations"]) > 0) & (F.size(y["durations"]) > 0),
         "dur_gap": F.array_min(gaps),
         "artist_overlap": F.when(all_peers > 0, shared / all_peers).otherwise(0.0),
@@ -197,14 +198,14 @@ def apply_merges(ordered: DataFrame, identities: DataFrame, apart: DataFrame, gr
 
     def run(batches):
         for pdf in batches:
+            out = []
             for g in pdf.itertuples():
                 foe = [(f["a"], f["b"]) for f in (g.foes if g.foes is not None else ())]
                 sets = Blocked({r[k] for r in g.rows for k in ("a", "b")}, foe)
-                out = []
                 for r in g.rows:
                     fine = sets.find(r["a"]) != sets.find(r["b"]) if r["verdict"] != "merge" else sets.union(r["a"], r["b"]) is None
                     out.append((r["a"], r["b"], r["verdict"] in ("merge", "relate") and fine))
-                yield pd.DataFrame(out, columns=["a", "b", "applied"])
+            yield pd.DataFrame(out, columns=["a", "b", "applied"])
 
     done = rows.mapInPandas(run, "a long, b long, applied boolean")
     return ordered.join(done, ["a", "b"])
