@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Ids and hosts of the providers' pages.
 _END = r"(?:[/?#].*)?$"
 _MBID = "([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 _LIST = r"((?:PL|LL|EC|UU|FL|RD|UL|TL|PU|OLAK5uy_)[0-9A-Za-z_\-]{10,}|RDMM|WL|LL|LM)"
@@ -36,7 +37,7 @@ def _discogs(kind: str, entry: str) -> Shape:
     return Shape("discogs", entry, rf"^https?://(?:www\.)?discogs\.com/{kind}/(\d+)(?:[/?#-].*)?$", f"https://www.discogs.com/{kind}/{{}}")
 
 
-#: In this order; the first that matches stands.
+#: Kinds of pages and their canonical forms. In this order; the first that matches stands.
 SHAPES: tuple[Shape, ...] = (
     Shape("youtube", "track", rf"(?i){_YT}(?:(?:v|embed|e|shorts|live)/(?!videoseries|live_stream)|(?:(?:watch|movie)(?:_popup)?(?:\.php)?/?)?(?:\?|#!?)(?:.*?[&;])??v=)([0-9A-Za-z_\-]{{11}})(?:[?#&].*)?$", "https://youtu.be/{}"),
     Shape("youtube", "track", r"(?i)^https?://youtu\.be/([0-9A-Za-z_\-]{11})(?:[?#&].*)?$", "https://youtu.be/{}"),
