@@ -30,7 +30,7 @@ from kinlace.llm.tables import annotate, filtered, saved, scratch, table
 
 WINDOW = 10
 GRAM = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _FLAG_BITS = 20
 
 
