@@ -407,6 +407,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                 raw = w.data.tobytes()
                 words = [bytes([END]), *(raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(w.hashes.view(np.int64)), pa.array(words, pa.binary()), pa.array(count, pa.int64())], names=["h", "word", "c"])
+        tk.release()
 
     return texts.mapInArrow(run, "h long, word binary, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
@@ -565,6 +566,7 @@ def score_documents(documents: DataFrame, is_training: Column, id_col: str = "do
                     ],
                     names=["id", *(f.split(" ")[0] for f in SCORED.split(", "))],
                 )
+        tk.release()
 
     scored = saved(docs.mapInArrow(run, f"id {id_type}, {SCORED}"), f"{folder}/scored")
     # the rest of the words meet their counts; a word's counts are one row, so Spark can split a hot word's documents

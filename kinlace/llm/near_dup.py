@@ -144,6 +144,7 @@ def sequences(docs: DataFrame, wanted: tk.KeyFilter) -> DataFrame:
                 cuts = np.searchsorted(rows, np.arange(s.n + 1))
                 out += [words[cuts[i] : cuts[i + 1]].tobytes() for i in range(s.n)]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.binary())], names=["id", "seq"])
+        tk.release()
 
     return docs.filter("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, f"id {kind}, seq binary")
 

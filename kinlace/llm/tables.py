@@ -70,6 +70,7 @@ def annotate(df: DataFrame, text_col: str, work: Callable[[pa.Array], list[pa.Ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *work(batch.columns[-1])], names=labels)
+        tk.release()
 
     made = inner.mapInArrow(run, outer)
     new = [name for name, _ in fields]
@@ -88,6 +89,7 @@ def filtered(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at if plain else len(names))), pa.bool_())).select(labels)
+        tk.release()
 
     return wide.mapInArrow(run, ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields))).toDF(*names)
 

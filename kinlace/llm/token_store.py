@@ -338,6 +338,7 @@ def _pieces(documents: DataFrame, id_col: str, text_col: str, vocabulary_path: s
                     ],
                     names=names,
                 )
+        tk.release()
 
     schema = f"kind string, part long, doc_id {id_type}, n_tokens long, digests array<binary>, sizes array<int>, root binary, digest binary, payload binary, n_ids int"
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -353,6 +354,7 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if d is not None:
                 seen.add(d)
         yield batch.filter(pa.array(fresh, pa.bool_()))
+    tk.release()
 
 
 def _merkle_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
