@@ -7,13 +7,13 @@ Texts that share any sketch are candidates. A candidate pair is a link if a band
 whole word sequences has at most (1 - similarity) * longer length edits. Classes are the connected
 components of all links.
 
-Equal sequences are put together first and go on as one text. Within a bucket (a sketch's texts), no
-pairs are emitted: a text of the shortest length class leads, and the others are compared with it. The
-first few sketches alone make most classes; from then on, only buckets of texts of several classes count,
-and only texts of another class than the leader's are compared. A bucket can also come of a passage that
-many texts share. So each compared text gets fresh sketches of the k-mers that its leader has not, and
-those of one leader meet again by these, in buckets of the next round. What made the first bucket is out
-of the second, so buckets thin out until none holds two classes that weren't compared. No bucket is
+Equal sequences are put together first and go on as one text. Within a bucket (a sketch's texts), a text
+of the shortest length class leads first, and those of another class are compared with it. The first few
+sketches alone make most classes; from then on, only buckets of texts of several classes count. What these
+still hold is then compared in full: all pairs of a bucket that are of unlike classes and whose lengths
+allow a link. For that, a bucket of many texts is dealt by length and salt into blocks, and each task
+compares two blocks, first by the words that two texts can have in common at most. So texts that share a
+sketch are parted only by an alignment or a bound on it, never by the choice of a leader, and no bucket is
 capped or dropped. Rounds are written to the shared folder.
 
 Defined cases: null, empty and wordless texts are a class each; a text of fewer than k words has one
@@ -30,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlace.llm import textkit as tk
@@ -39,11 +39,12 @@ from kinlace.llm.tables import annotate, key_filter, saved, scratch, shared_dir,
 K = 5
 L = 2
 SKETCHES = 40
-#: Fresh sketches of what a text has and its leader has not.
-FRESH = 16
 #: Sketches of the first round.
 FIRST = 8
 SIMILARITY = 0.8
+#: Most texts of a block on average, and most words of them.
+BLOCK_TEXTS = 128
+BLOCK_WORDS = 1 << 22
 
 _U = np.uint64
 
@@ -232,40 +233,83 @@ def edit_limit(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def rest_sketches(leader: np.ndarray, text: np.ndarray, k: int, l: int, n_sketches: int) -> np.ndarray:
-    """Sketches of the labelled k-mers of a text that its leader has not; none if there is no such k-mer."""
-
-    def grams(words: np.ndarray) -> np.ndarray:
-        w = tk.mix(words.astype(np.uint64) + _U(1))
-        g = tk.gram_hashes(w, k) if len(w) >= k else tk.gram_hashes(w, len(w))
-        return labelled(g, np.zeros(len(g), dtype=np.int64))
-
-    mine = grams(text)
-    mine = mine[~np.isin(mine, grams(leader))]
-    if not len(mine):
-        return np.zeros(0, dtype=np.uint64)
-    return order_min_hash(mine, np.array([len(mine)]), l, n_sketches, salt=1)[0]
-
-
-def _align(pairs: DataFrame, similarity: float, k: int, l: int, n_fresh: int) -> DataFrame:
-    """a, b, nb (words of b), linked, fresh: sketches of what b has and a has not; a leads."""
+def _align(pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b, linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, sizes, fresh = [], [], []
+            linked = []
             for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
                 limit = edit_limit(max(len(x), len(y)), similarity)
                 linked.append(banded_distance(x, y, limit) <= limit)
-                sizes.append(len(y))
-                fresh.append(rest_sketches(x, y, k, l, n_fresh).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(fresh, pa.list_(pa.int64()))],
-                names=["a", "b", "nb", "linked", "fresh"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "seq_a", "seq_b").mapInArrow(run, f"a {kind}, b {kind}, nb long, linked boolean, fresh array<long>")
+    return pairs.select("a", "b", "seq_a", "seq_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
+
+
+def word_counts(seqs: list[np.ndarray]) -> np.ndarray:
+    """A row a sequence: how many of its words fall to each bin. The sum of two rows' least is at least the
+    number of words that the sequences have in common."""
+    longest = max(len(x) for x in seqs)
+    bins = min(1 << (2 * longest).bit_length(), 1 << 16)
+    kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
+    return np.stack([np.bincount(x & (bins - 1), minlength=bins).astype(kind) for x in seqs])
+
+
+def block_links(labels: list, seqs: list[np.ndarray], buckets: list[set[int]], bucket: int, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Linked pairs of texts of unlike labels, one of `left` and one of `right` (of each two, if these are the
+    same), that join labels which no pair before has joined. Two texts are compared in the least bucket that both have."""
+    parent: dict = {x: x for x in labels}
+
+    def find(x):  # noqa: ANN001, ANN202
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.array([len(x) for x in seqs])
+    limits = np.array([edit_limit(int(x), similarity) for x in size])
+    least = size - limits  # of words in common, if this one is the longer
+    names = {x: i for i, x in enumerate(parent)}
+    classes = np.array([names[x] for x in labels])
+    counts = word_counts(seqs)
+    one = left is right
+    out = []
+    for at, i in enumerate(left.tolist()):
+        others = right[at + 1 :] if one else right
+        longer = np.where(size[others] > size[i], least[others], least[i])
+        others, longer = (x[(classes[others] != classes[i]) & (np.minimum(size[others], size[i]) >= longer)] for x in (others, longer))
+        if not len(others):
+            continue
+        common = np.minimum(counts[others], counts[i]).sum(axis=1, dtype=np.int64)
+        for j in others[common >= longer].tolist():
+            if min(buckets[i] & buckets[j]) != bucket or find(labels[i]) == find(labels[j]):
+                continue
+            limit = int(max(limits[i], limits[j]))
+            if banded_distance(seqs[i], seqs[j], limit) <= limit:
+                parent[find(labels[i])] = find(labels[j])
+                out.append((i, j))
+    return out
+
+
+def _links(blocks: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the links that block_links finds. blocks: bucket, p, i, q, j (the two blocks), place, salt (the text's own), rep, label, buckets, seq."""
+    kind = blocks.schema["rep"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        p, i, q, j = (t.column(c)[0].as_py() for c in ("p", "i", "q", "j"))
+        place, salt = t.column("place").to_numpy(), t.column("salt").to_numpy()
+        left = np.flatnonzero((place == p) & (salt == i))
+        right = left if (p, i) == (q, j) else np.flatnonzero((place == q) & (salt == j))
+        seqs = [np.frombuffer(x, "<u4") for x in t.column("seq").to_pylist()]
+        buckets = [set(x) for x in t.column("buckets").to_pylist()]
+        found = block_links(t.column("label").to_pylist(), seqs, buckets, t.column("bucket")[0].as_py(), left, right, similarity)
+        rep = t.column("rep").combine_chunks()
+        return pa.table({"a": rep.take(pa.array([x for x, _ in found], pa.int64())), "b": rep.take(pa.array([y for _, y in found], pa.int64()))})
+
+    return blocks.groupBy("bucket", "p", "i", "q", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -289,8 +333,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 class NearDuplicates:
     """The steps, with their tables in a folder that all executors share."""
 
-    def __init__(self, documents: DataFrame, id_col: str, text_col: str, k: int = K, l: int = L, n_sketches: int = SKETCHES, similarity: float = SIMILARITY, n_fresh: int = FRESH) -> None:
-        self.spark, self.similarity, self.k, self.l, self.n_fresh = documents.sparkSession, similarity, k, l, n_fresh
+    def __init__(self, documents: DataFrame, id_col: str, text_col: str, k: int = K, l: int = L, n_sketches: int = SKETCHES, similarity: float = SIMILARITY) -> None:
+        self.spark, self.similarity = documents.sparkSession, similarity
         shared_dir(self.spark)
         self.folder = scratch(self.spark, "near-dup")
         self.docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -325,30 +369,65 @@ class NearDuplicates:
         labels = self._labels(aligned)
         aligned.append(self._compare(self._candidates(rows.filter(F.col("j") >= FIRST), labels, "rest"), aligned, "rest"))
         labels = self._labels(aligned)
-        fresh = aligned
-        while True:
-            again = reduce(DataFrame.unionByName, fresh).select(F.col("b").alias("rep"), F.col("nb").alias("n"), F.explode("fresh").alias("sketch"), "a")
-            cand = self._candidates(again.select("rep", "n", F.xxhash64("a", "sketch").alias("bucket")), labels, f"fresh-{len(aligned)}")
-            made = self._compare(cand, aligned, f"fresh-{len(aligned)}")
-            if made.isEmpty():
-                return labels
-            aligned.append(made)
-            fresh = [made]
-            if not made.filter("linked").isEmpty():
-                labels = self._labels(aligned)
+        found = saved(_links(self._blocks(rows, labels), self.similarity), self._path("links"))
+        if found.isEmpty():
+            return labels
+        return self._labels([*aligned, found.withColumn("linked", F.lit(True))])
 
     def _labels(self, aligned: list[DataFrame]) -> DataFrame:
         edges = reduce(DataFrame.unionByName, aligned).filter("linked").select("a", "b")
         return components(edges, self._path(f"labels-after-{len(aligned)}"))
 
-    def _candidates(self, rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
-        """a, b: the leader of each bucket with each of its texts of another class. rows: rep, n, bucket; labels: node, label."""
+    def _members(self, rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+        """rows (rep, n, bucket) with label, of the buckets of texts of several classes. labels: node, label."""
         known = rows.join(labels, F.col("rep") == F.col("node"), "left").drop("node") if labels is not None else rows.withColumn("label", F.col("rep"))
         known = known.withColumn("label", F.coalesce("label", "rep"))
         some = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        full = saved(known.join(saved(some.select("bucket"), self._path(f"buckets-{name}")), "bucket"), self._path(f"members-{name}"))
+        return saved(known.join(saved(some.select("bucket"), self._path(f"buckets-{name}")), "bucket"), self._path(f"members-{name}"))
+
+    def _place(self) -> Column:
+        """The length class: texts of a link are of the same or of neighbouring ones."""
+        return F.floor(F.log("n") / math.log(1 / self.similarity) + 1e-9).cast("int")
+
+    def _blocks(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """What _links asks for: each text of a bucket of several classes, once for each two blocks that it is in."""
+        full = self._members(rows.select("rep", "n", "bucket").distinct(), labels, "blocks")
+        lists = saved(full.groupBy("rep").agg(F.collect_set("bucket").alias("buckets")), self._path("bucket-lists"))
+        # a bucket that fits is one block; of others, each length class is dealt into blocks
+        size = full.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter(f"m > {BLOCK_TEXTS} OR words > {BLOCK_WORDS}").select("bucket")
+        size = saved(size, self._path("large-buckets"))
+        small = full.join(size, "bucket", "left_anti").withColumn("place", F.lit(0)).withColumn("salt", F.lit(0))
+        small = small.withColumn("pair", F.struct(*[F.lit(0).alias(c) for c in "piqj"]))
+        large = full.join(size, "bucket").withColumn("place", self._place())
+        counted = large.groupBy("bucket", "place").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("s"))
+        counted = saved(counted.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("blocks")), self._path("blocks"))
+        large = large.join(counted, "bucket")
+        n_blocks = lambda at: F.coalesce(F.try_element_at("blocks", F.col("place") + at), F.lit(0))
+        large = large.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), n_blocks(F.lit(0))).cast("int"))
+        pair = lambda *x: F.struct(*[v.cast("int").alias(c) for c, v in zip("piqj", x, strict=True)])
+        place, salt = F.col("place"), F.col("salt")
+        upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        large = large.withColumn(
+            "pair",
+            F.explode(
+                F.concat(
+                    F.transform(upto(n_blocks(F.lit(0))), lambda j: pair(place, F.least(salt, j), place, F.greatest(salt, j))),
+                    F.transform(upto(n_blocks(F.lit(1))), lambda j: pair(place, salt, place + 1, j)),
+                    F.transform(upto(n_blocks(F.lit(-1))), lambda j: pair(place - 1, j, place, salt)),
+                )
+            ),
+        ).drop("blocks")
+        both = saved(small.unionByName(large).select("bucket", "pair.*", "place", "salt", "rep", "label"), self._path("block-members"))
+        key = ["bucket", "p", "i", "q", "j"]
+        some = both.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(*key)
+        some = saved(some, self._path("block-pairs"))
+        return both.join(some, key, "left_semi").join(lists, "rep").join(self.seqs.withColumnRenamed("id", "rep"), "rep")
+
+    def _candidates(self, rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+        """a, b: the leader of each bucket with each of its texts of another class."""
+        full = self._members(rows, labels, name)
         # the struct's least is taken within tasks first, so a hot bucket is a row a task
-        place = F.floor(F.log("n") / math.log(1 / self.similarity))
+        place = self._place()
         lead = saved(full.groupBy("bucket").agg(F.min(F.struct(place.alias("place"), "rep", "label")).alias("lead")), self._path(f"leaders-{name}"))
         both = full.join(lead, "bucket").filter(F.col("label") != F.col("lead.label"))
         return saved(both.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), self._path(f"candidates-{name}"))
@@ -357,7 +436,7 @@ class NearDuplicates:
         """Alignments of pairs that weren't compared before."""
         if before:
             pairs = saved(pairs.join(reduce(DataFrame.unionByName, before).select("a", "b"), ["a", "b"], "left_anti"), self._path(f"new-{name}"))
-        return saved(_align(self._with_sequences(pairs), self.similarity, self.k, self.l, self.n_fresh), self._path(f"aligned-{name}"))
+        return saved(_align(self._with_sequences(pairs), self.similarity), self._path(f"aligned-{name}"))
 
     def _with_sequences(self, pairs: DataFrame) -> DataFrame:
         """pairs with seq_a, seq_b. A text is one row of its side, so Spark can split the pairs of a hot one."""

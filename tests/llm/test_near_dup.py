@@ -122,6 +122,40 @@ def test_chain_of_versions(spark):
     assert got == {0}
 
 
+def shared_sketch_classes(ids, texts, n_sketches):
+    """Classes by comparing all pairs that share a sketch."""
+    seqs, label = words_of(texts), {i: i for i in ids}
+    x = np.concatenate([n.sketch_slice(s, n.K, n.L, n_sketches)["sketches"] for s in tk.slices(pa.array(texts), lower=True)])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        limit = n.edit_limit(max(len(seqs[i]), len(seqs[j])), 0.8)
+        if label[ids[i]] != label[ids[j]] and np.isin(x[i], x[j]).any() and n.banded_distance(seqs[i], seqs[j], limit) <= limit:
+            new, old = sorted((label[ids[i]], label[ids[j]]))
+            label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+def substituted(rng, words, share):
+    out = list(words)
+    for i in rng.choice(len(words), int(share * len(words)), replace=False):
+        out[i] = f"x{rng.integers(0, 10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("texts_a_block", [128, 16])
+def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch, texts_a_block):
+    """200 copies of 0 to 20 % edits, which aren't all linked to one leader, and pairs within a passage that many texts share."""
+    monkeypatch.setattr(n, "BLOCK_TEXTS", texts_a_block)
+    rng = np.random.default_rng(12)
+    base, passage = random_text(rng, 200), random_text(rng, 100)
+    texts = [" ".join(substituted(rng, base, rng.uniform(0, 0.2))) for _ in range(200)]
+    for _ in range(60):
+        own = random_text(rng, 100)
+        texts += [" ".join(passage + own), " ".join(passage + substituted(rng, own, 0.38))]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    got = {r["doc_id"]: r["class_id"] for r in n.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == shared_sketch_classes([r[0] for r in rows], [r[1] for r in rows], n.SKETCHES)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "!!!"), (4, "One two."), (5, "one, TWO"), (6, "one two three"), (None, "one two"), (None, None), (8, "solo"), (8, "solo"), (9, "solo!")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(0)).withColumn("class_id", F.lit("x")).withColumn("n_words", F.lit("y"))
