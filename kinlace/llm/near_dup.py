@@ -38,12 +38,12 @@ from kinlace.llm.tables import annotate, key_filter, saved, scratch, shared_dir,
 
 K = 5
 L = 2
-SKETCHES = 40
+SKETCHES = 96
 #: Sketches of the first round.
 FIRST = 8
 SIMILARITY = 0.8
 #: Most texts of a block on average, and most words of them.
-BLOCK_TEXTS = 128
+BLOCK_TEXTS = 1024
 BLOCK_WORDS = 1 << 22
 
 _U = np.uint64
@@ -392,6 +392,9 @@ class NearDuplicates:
     def _blocks(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """What _links asks for: each text of a bucket of several classes, once for each two blocks that it is in."""
         full = self._members(rows.select("rep", "n", "bucket").distinct(), labels, "blocks")
+        # of buckets of the same texts, one stands for all
+        same = full.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("again"))).alias("y"))
+        full = saved(full.join(saved(same.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), self._path("unlike-buckets")), "bucket"), self._path("full"))
         lists = saved(full.groupBy("rep").agg(F.collect_set("bucket").alias("buckets")), self._path("bucket-lists"))
         # a bucket that fits is one block; of others, each length class is dealt into blocks
         size = full.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter(f"m > {BLOCK_TEXTS} OR words > {BLOCK_WORDS}").select("bucket")

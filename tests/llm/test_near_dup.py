@@ -99,6 +99,13 @@ def test_planted_copies_and_shared_passages(spark):
         assert {got[i] for i in group} == {min(group)}
 
 
+def substituted(rng, words, share):
+    out = list(words)
+    for i in rng.choice(len(words), int(share * len(words)), replace=False):
+        out[i] = f"x{rng.integers(0, 10**9)}"
+    return out
+
+
 @pytest.mark.parametrize("share,least", [(0.05, 0.99), (0.10, 0.97)])
 def test_recall_of_sketches(share, least):
     """Chance that a pair with such a share of edits shares a sketch."""
@@ -111,6 +118,19 @@ def test_recall_of_sketches(share, least):
     assert hits / 150 >= least
 
 
+@pytest.mark.parametrize("edit", [edited, substituted])
+@pytest.mark.parametrize("share,least", [(0.15, 0.98), (0.20, 0.94)])
+def test_recall_of_sketches_at_the_edge(edit, share, least):
+    """As above, up to the most edits that a link may have."""
+    rng = np.random.default_rng(7)
+    hits = 0
+    for _ in range(150):
+        a = random_text(rng, 250)
+        x = [n.sketch_slice(s, n.K, n.L, n.SKETCHES)["sketches"] for s in tk.slices(pa.array([" ".join(a), " ".join(edit(rng, a, share))]))][0]
+        hits += bool((x[0] == x[1]).any())
+    assert hits / 150 >= least
+
+
 def test_chain_of_versions(spark):
     """Each version differs by 8 % from the one before: ends are far apart, but one class."""
     rng = np.random.default_rng(9)
@@ -134,14 +154,7 @@ def shared_sketch_classes(ids, texts, n_sketches):
     return label
 
 
-def substituted(rng, words, share):
-    out = list(words)
-    for i in rng.choice(len(words), int(share * len(words)), replace=False):
-        out[i] = f"x{rng.integers(0, 10**9)}"
-    return out
-
-
-@pytest.mark.parametrize("texts_a_block", [128, 16])
+@pytest.mark.parametrize("texts_a_block", [1024, 16])
 def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch, texts_a_block):
     """200 copies of 0 to 20 % edits, which aren't all linked to one leader, and pairs within a passage that many texts share."""
     monkeypatch.setattr(n, "BLOCK_TEXTS", texts_a_block)
