@@ -48,6 +48,15 @@ def test_query(spark):
     assert all(r["kept"] for r in rows if r["doc_id"] in good and not r["base_failed"])
 
 
+def test_limits_part_labelled_texts(spark):
+    """Of texts that pass the base rule: how many of bad quality the bands find, and how many good ones they reject."""
+    labels = spark.read.parquet(f"{DATA}/../sf0.1/labels.parquet").filter("quality IS NOT NULL")
+    rows = q.op2_quality_rules(spark, f"{DATA}/../sf0.1").join(labels, "doc_id").filter("NOT base_failed")
+    found = {(r["quality"], r["kept"]): r["n"] for r in rows.groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    assert found[0, False] >= 0.65 * (found[0, False] + found[0, True])
+    assert found.get((1, False), 0) <= 0.002 * found[1, True]
+
+
 def test_bands():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
