@@ -89,6 +89,40 @@ KNOWN: dict[str, str] = {
     )
 }
 
+#: Other ways to say a licence's name, and to say that it holds; each is a notice of its own name, as in notice:MIT:released-1.
+_SPOKEN: dict[str, tuple[str, ...]] = {
+    "MIT": ("the MIT License", "MIT"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "BSD-3-Clause"),
+    "ISC": ("the ISC License", "ISC"),
+    "Zlib": ("the zlib License", "Zlib"),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL-2.0"),
+    "Unlicense": ("the Unlicense",),
+    "CC0-1.0": ("CC0 1.0", "CC0-1.0"),
+} | {
+    f"{short}-{v}": (f"the GNU {long} General Public License, version {v[:-2] if v.endswith('.0') else v}".replace("  ", " "), f"the GNU {long} General Public License v{v}".replace("  ", " "), f"{short}-{v}")
+    for short, long, versions in (("GPL", "", ("2.0", "3.0")), ("LGPL", "Lesser", ("2.1", "3.0")), ("AGPL", "Affero", ("3.0",)))
+    for v in versions
+} | {f"CC-{kind}-4.0": (f"CC {kind} 4.0", f"CC-{kind}-4.0") for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")}
+_SAID = {
+    "licensed": "Licensed under {}.",
+    "released": "Released under {}.",
+    "distributed": "Distributed under {}.",
+    "work": "This work is licensed under {}.",
+    "software": "This software is licensed under {}.",
+    "project": "This project is licensed under {}.",
+}
+_plain = lambda text: " ".join(re.findall("[a-z0-9]+", text.lower()))
+_have = {_plain(t) for t in KNOWN.values()}
+for _name, _forms in _SPOKEN.items():
+    for _how, _said in _SAID.items():
+        for _i, _form in enumerate(_forms, 1):
+            _text = _said.format(_form)
+            if _plain(_text) not in _have:  # the first name of a text stands
+                _have.add(_plain(_text))
+                KNOWN[f"notice:{_name}:{_how}-{_i}"] = _text
+
 #: Not any line that begins with the word: in a wrapped licence, that may be the licence's own text.
 _COPYRIGHT_LINE = r"(?m)^[ \t]*(?:(?i:copyright)[ \t:]*(?:\([cC]\)|©|[0-9]{4}|(?i:by)[ \t])|\([cC]\)[ \t]*(?:(?i:copyright)|[0-9]{4})|©|(?i:all rights reserved)).*$"
 _COPYRIGHT = re.compile(_COPYRIGHT_LINE.encode())

@@ -23,6 +23,11 @@ def test_whole_texts_in_other_clothes(spark):
     assert got[7]["license"] == "notice:CC-BY-SA-4.0"
 
 
+def test_notices_of_the_tables(spark):
+    got = scan(spark, ["x\nThis work is licensed under the GNU General Public License, version 3.", "x\nReleased under the MIT License.", "x\nDistributed under the BSD 3-Clause License"])
+    assert [got[i]["notices"][0].split(":")[1] for i in range(3)] == ["GPL-3.0", "MIT", "BSD-3-Clause"]
+
+
 def test_without_heads_and_ties(spark):
     texts = ["x\nLicensed under the MIT License", "x\nLicensed under the MIT License"]
     assert scan(spark, texts, max_heads=0)[1]["notices"] == scan(spark, texts)[0]["notices"] == ["notice:MIT"]
