@@ -9,12 +9,15 @@ components of all links.
 
 Equal sequences are put together first and go on as one text. Within a bucket (a sketch's texts), a text
 of the shortest length class leads first, and those of another class are compared with it. The first few
-sketches alone make most classes; from then on, only buckets of texts of several classes count. What these
-still hold is then compared in full: all pairs of a bucket that are of unlike classes and whose lengths
-allow a link. For that, a bucket of many texts is dealt by length and salt into blocks, and each task
-compares two blocks, first by the words that two texts can have in common at most. So texts that share a
-sketch are parted only by an alignment or a bound on it, never by the choice of a leader, and no bucket is
-capped or dropped. Rounds are written to the shared folder.
+sketches alone make most classes; from then on, only buckets of texts of several classes count. After each
+round, links between texts become links between classes, so what is joined in the next rounds are classes.
+
+What several classes then still share is compared in full. Buckets with the same least text are one
+bundle, and all pairs of a bundle that are of unlike classes and whose lengths allow a link are compared:
+a bundle of many texts is dealt by length and salt into blocks, and each task compares two blocks, first by
+the words that two texts can have in common at most. So texts that share a sketch are parted only by an
+alignment or a bound on it, never by the choice of a leader, and no bucket is capped or dropped. Rounds are
+written to the shared folder.
 
 Defined cases: null, empty and wordless texts are a class each; a text of fewer than k words has one
 k-mer, all its words; equal texts are always of one class; a row with a null id has no class (null); rows
@@ -34,17 +37,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlace.llm import textkit as tk
-from kinlace.llm.tables import annotate, key_filter, saved, scratch, shared_dir, table
+from kinlace.llm.tables import annotate, drop_scratch, key_filter, saved, scratch, shared_dir, table
 
 K = 5
 L = 2
 SKETCHES = 96
-#: Sketches of the first round.
-FIRST = 8
+#: Sketches of the rounds of leaders: those below each number that were in no round before, then all others.
+ROUNDS = (2, 8)
 SIMILARITY = 0.8
 #: Most texts of a block on average, and most words of them.
 BLOCK_TEXTS = 1024
 BLOCK_WORDS = 1 << 22
+#: Most pairs of one leader that a task gets from one place.
+LEADER_PAIRS = 512
+#: Most bytes of the word counts of a task's texts.
+COUNT_BYTES = 64 << 20
 
 _U = np.uint64
 
@@ -234,33 +241,35 @@ def edit_limit(n: int, similarity: float) -> int:
 
 
 def _align(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b, linked."""
+    """a, b, la, lb, linked of pairs (a, b, their labels la, lb, seq_a, seq_b)."""
+    names = ["a", "b", "la", "lb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 x, y = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
                 limit = edit_limit(max(len(x), len(y)), similarity)
                 linked.append(banded_distance(x, y, limit) <= limit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_())], names=[*names, "linked"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "seq_a", "seq_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
+    return pairs.select(*names, "seq_a", "seq_b").mapInArrow(run, ", ".join(f"{c} {kind}" for c in names) + ", linked boolean")
 
 
 def word_counts(seqs: list[np.ndarray]) -> np.ndarray:
     """A row a sequence: how many of its words fall to each bin. The sum of two rows' least is at least the
     number of words that the sequences have in common."""
     longest = max(len(x) for x in seqs)
-    bins = min(1 << (2 * longest).bit_length(), 1 << 16)
     kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
+    most = max(COUNT_BYTES // (len(seqs) * np.dtype(kind).itemsize), 256)
+    bins = min(1 << (2 * longest).bit_length(), 1 << (most.bit_length() - 1), 1 << 16)
     return np.stack([np.bincount(x & (bins - 1), minlength=bins).astype(kind) for x in seqs])
 
 
-def block_links(labels: list, seqs: list[np.ndarray], buckets: list[set[int]], bucket: int, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def block_links(labels: list, seqs: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Linked pairs of texts of unlike labels, one of `left` and one of `right` (of each two, if these are the
-    same), that join labels which no pair before has joined. Two texts are compared in the least bucket that both have."""
+    same), that join labels which no pair before has joined."""
     parent: dict = {x: x for x in labels}
 
     def find(x):  # noqa: ANN001, ANN202
@@ -285,7 +294,7 @@ def block_links(labels: list, seqs: list[np.ndarray], buckets: list[set[int]], b
             continue
         common = np.minimum(counts[others], counts[i]).sum(axis=1, dtype=np.int64)
         for j in others[common >= longer].tolist():
-            if min(buckets[i] & buckets[j]) != bucket or find(labels[i]) == find(labels[j]):
+            if find(labels[i]) == find(labels[j]):
                 continue
             limit = int(max(limits[i], limits[j]))
             if banded_distance(seqs[i], seqs[j], limit) <= limit:
@@ -295,8 +304,8 @@ def block_links(labels: list, seqs: list[np.ndarray], buckets: list[set[int]], b
 
 
 def _links(blocks: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the links that block_links finds. blocks: bucket, p, i, q, j (the two blocks), place, salt (the text's own), rep, label, buckets, seq."""
-    kind = blocks.schema["rep"].dataType.simpleString()
+    """la, lb: the labels that block_links joins. blocks: bundle, p, i, q, j (the two blocks), place, salt (the text's own), label, seq."""
+    kind = blocks.schema["label"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
         p, i, q, j = (t.column(c)[0].as_py() for c in ("p", "i", "q", "j"))
@@ -304,12 +313,11 @@ def _links(blocks: DataFrame, similarity: float) -> DataFrame:
         left = np.flatnonzero((place == p) & (salt == i))
         right = left if (p, i) == (q, j) else np.flatnonzero((place == q) & (salt == j))
         seqs = [np.frombuffer(x, "<u4") for x in t.column("seq").to_pylist()]
-        buckets = [set(x) for x in t.column("buckets").to_pylist()]
-        found = block_links(t.column("label").to_pylist(), seqs, buckets, t.column("bucket")[0].as_py(), left, right, similarity)
-        rep = t.column("rep").combine_chunks()
-        return pa.table({"a": rep.take(pa.array([x for x, _ in found], pa.int64())), "b": rep.take(pa.array([y for _, y in found], pa.int64()))})
+        found = block_links(t.column("label").to_pylist(), seqs, left, right, similarity)
+        label = t.column("label").combine_chunks()
+        return pa.table({"la": label.take(pa.array([x for x, _ in found], pa.int64())), "lb": label.take(pa.array([y for _, y in found], pa.int64()))})
 
-    return blocks.groupBy("bucket", "p", "i", "q", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return blocks.groupBy("bundle", "p", "i", "q", "j").applyInArrow(run, f"la {kind}, lb {kind}")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -365,46 +373,51 @@ class NearDuplicates:
         if not repeated.isEmpty():  # rows of one id: the least sequence stands for all
             one = Window.partitionBy("id").orderBy("seq")
             self.seqs = saved(self.seqs.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n"), self._path("seqs-once"))
-        aligned = [self._compare(self._candidates(rows.filter(F.col("j") < FIRST), None, "first"), None, "first")]
-        labels = self._labels(aligned)
-        aligned.append(self._compare(self._candidates(rows.filter(F.col("j") >= FIRST), labels, "rest"), aligned, "rest"))
-        labels = self._labels(aligned)
+        drop_scratch(self.spark, self._path("mine"))
+        labels, aligned, at = None, [], 0
+        for to in (*ROUNDS, None):
+            some = rows.filter((F.col("j") >= at) & (F.col("j") < to if to else F.lit(True)))
+            aligned.append(self._compare(self._candidates(some, labels, f"{at}"), aligned, f"{at}"))
+            labels = self._merged(labels, aligned[-1].filter("linked"), f"{at}")
+            at = to
         found = saved(_links(self._blocks(rows, labels), self.similarity), self._path("links"))
-        if found.isEmpty():
-            return labels
-        return self._labels([*aligned, found.withColumn("linked", F.lit(True))])
-
-    def _labels(self, aligned: list[DataFrame]) -> DataFrame:
-        edges = reduce(DataFrame.unionByName, aligned).filter("linked").select("a", "b")
-        return components(edges, self._path(f"labels-after-{len(aligned)}"))
-
-    def _members(self, rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
-        """rows (rep, n, bucket) with label, of the buckets of texts of several classes. labels: node, label."""
+        return self._merged(labels, found, "blocks")
+
+    def _merged(self, labels: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+        """node, label after links (la, lb) between labels."""
+        links = links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).filter("a <> b").distinct()
+        found = components(links, self._path(f"components-{name}"))
+        if labels is None:
+            return found
+        moved = labels.join(found.toDF("label", "least"), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+        lone = found.join(labels.select("node"), "node", "left_anti")  # had no link before
+        return saved(moved.unionByName(lone), self._path(f"labels-{name}"))
+
+    def _members(self, rows: DataFrame, labels: DataFrame | None, lead: Column, name: str) -> DataFrame:
+        """rows (rep, n, bucket) with label, of the buckets of texts of several classes, and the least of `lead` in the bucket. labels: node, label."""
         known = rows.join(labels, F.col("rep") == F.col("node"), "left").drop("node") if labels is not None else rows.withColumn("label", F.col("rep"))
         known = known.withColumn("label", F.coalesce("label", "rep"))
-        some = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        return saved(known.join(saved(some.select("bucket"), self._path(f"buckets-{name}")), "bucket"), self._path(f"members-{name}"))
+        # least values are taken within tasks first, so a hot bucket is a row a task
+        some = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(lead).alias("lead")).filter("lo <> hi")
+        return saved(known.join(saved(some.select("bucket", "lead"), self._path(f"buckets-{name}")), "bucket"), self._path(f"members-{name}"))
 
     def _place(self) -> Column:
         """The length class: texts of a link are of the same or of neighbouring ones."""
         return F.floor(F.log("n") / math.log(1 / self.similarity) + 1e-9).cast("int")
 
     def _blocks(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """What _links asks for: each text of a bucket of several classes, once for each two blocks that it is in."""
-        full = self._members(rows.select("rep", "n", "bucket").distinct(), labels, "blocks")
-        # of buckets of the same texts, one stands for all
-        same = full.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("again"))).alias("y"))
-        full = saved(full.join(saved(same.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), self._path("unlike-buckets")), "bucket"), self._path("full"))
-        lists = saved(full.groupBy("rep").agg(F.collect_set("bucket").alias("buckets")), self._path("bucket-lists"))
-        # a bucket that fits is one block; of others, each length class is dealt into blocks
-        size = full.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter(f"m > {BLOCK_TEXTS} OR words > {BLOCK_WORDS}").select("bucket")
-        size = saved(size, self._path("large-buckets"))
-        small = full.join(size, "bucket", "left_anti").withColumn("place", F.lit(0)).withColumn("salt", F.lit(0))
+        """What _links asks for: each text of a bundle of buckets of several classes, once for each two blocks that it is in."""
+        full = self._members(rows.select("rep", "n", "bucket").distinct(), labels, F.col("rep"), "blocks")
+        full = saved(full.select(F.col("lead").alias("bundle"), "rep", "n", "label").distinct(), self._path("bundles"))
+        # a bundle that fits is one block; of others, each length class is dealt into blocks
+        size = full.groupBy("bundle").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter(f"m > {BLOCK_TEXTS} OR words > {BLOCK_WORDS}").select("bundle")
+        size = saved(size, self._path("large-bundles"))
+        small = full.join(size, "bundle", "left_anti").withColumn("place", F.lit(0)).withColumn("salt", F.lit(0))
         small = small.withColumn("pair", F.struct(*[F.lit(0).alias(c) for c in "piqj"]))
-        large = full.join(size, "bucket").withColumn("place", self._place())
-        counted = large.groupBy("bucket", "place").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("s"))
-        counted = saved(counted.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("blocks")), self._path("blocks"))
-        large = large.join(counted, "bucket")
+        large = full.join(size, "bundle").withColumn("place", self._place())
+        counted = large.groupBy("bundle", "place").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("s"))
+        counted = saved(counted.groupBy("bundle").agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("blocks")), self._path("blocks"))
+        large = large.join(counted, "bundle")
         n_blocks = lambda at: F.coalesce(F.try_element_at("blocks", F.col("place") + at), F.lit(0))
         large = large.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), n_blocks(F.lit(0))).cast("int"))
         pair = lambda *x: F.struct(*[v.cast("int").alias(c) for c, v in zip("piqj", x, strict=True)])
@@ -420,32 +433,32 @@ class NearDuplicates:
                 )
             ),
         ).drop("blocks")
-        both = saved(small.unionByName(large).select("bucket", "pair.*", "place", "salt", "rep", "label"), self._path("block-members"))
-        key = ["bucket", "p", "i", "q", "j"]
+        both = saved(small.unionByName(large).select("bundle", "pair.*", "place", "salt", "rep", "label"), self._path("block-members"))
+        key = ["bundle", "p", "i", "q", "j"]
         some = both.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(*key)
         some = saved(some, self._path("block-pairs"))
-        return both.join(some, key, "left_semi").join(lists, "rep").join(self.seqs.withColumnRenamed("id", "rep"), "rep")
+        return both.join(some, key, "left_semi").join(self.seqs.withColumnRenamed("id", "rep"), "rep")
 
     def _candidates(self, rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
-        """a, b: the leader of each bucket with each of its texts of another class."""
-        full = self._members(rows, labels, name)
-        # the struct's least is taken within tasks first, so a hot bucket is a row a task
-        place = self._place()
-        lead = saved(full.groupBy("bucket").agg(F.min(F.struct(place.alias("place"), "rep", "label")).alias("lead")), self._path(f"leaders-{name}"))
-        both = full.join(lead, "bucket").filter(F.col("label") != F.col("lead.label"))
-        return saved(both.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), self._path(f"candidates-{name}"))
-
-    def _compare(self, pairs: DataFrame, before: list[DataFrame] | None, name: str) -> DataFrame:
+        """a, b, la, lb: the leader of each bucket with each of its texts of another class, and their labels."""
+        full = self._members(rows, labels, F.struct(self._place().alias("place"), "rep", "label"), name).filter(F.col("label") != F.col("lead.label"))
+        pairs = full.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb"))
+        return saved(pairs.distinct(), self._path(f"candidates-{name}"))
+
+    def _compare(self, pairs: DataFrame, before: list[DataFrame], name: str) -> DataFrame:
         """Alignments of pairs that weren't compared before."""
         if before:
             pairs = saved(pairs.join(reduce(DataFrame.unionByName, before).select("a", "b"), ["a", "b"], "left_anti"), self._path(f"new-{name}"))
-        return saved(_align(self._with_sequences(pairs), self.similarity), self._path(f"aligned-{name}"))
-
-    def _with_sequences(self, pairs: DataFrame) -> DataFrame:
-        """pairs with seq_a, seq_b. A text is one row of its side, so Spark can split the pairs of a hot one."""
-        sa = self.seqs.select(F.col("id").alias("a"), F.col("seq").alias("seq_a"))
-        sb = self.seqs.select(F.col("id").alias("b"), F.col("seq").alias("seq_b"))
-        return pairs.join(sa, "a").join(sb, "b").select("a", "b", "seq_a", "seq_b")
+        return saved(_align(self._with_sequences(pairs, name), self.similarity), self._path(f"aligned-{name}"))
+
+    def _with_sequences(self, pairs: DataFrame, name: str) -> DataFrame:
+        """pairs with seq_a, seq_b. The pairs of a leader of many are dealt by salt, and its sequence goes to each salt once."""
+        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_PAIRS).alias("salts"))
+        dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
+        dealt = saved(dealt.drop("salts"), self._path(f"dealt-{name}"))
+        leaders = dealt.select("a", "salt").distinct().join(self.seqs.select(F.col("id").alias("a"), F.col("seq").alias("seq_a")), "a")
+        members = dealt.join(self.seqs.select(F.col("id").alias("b"), F.col("seq").alias("seq_b")), "b")
+        return members.join(leaders, ["a", "salt"])
 
     def classes(self) -> DataFrame:
         """id, n_words, class_id for each row of documents."""
