@@ -7,7 +7,7 @@ Texts that share any sketch are candidates. A candidate pair is a link if a band
 whole word sequences has at most (1 - similarity) * longer length edits. Classes are the connected
 components of all links.
 
-Equal sequences are put together first and go on as one text. Within a bucket (a sketch's texts), a text
+Equal sequences are one node, by a hash, from the start. Within a bucket (a sketch's texts), a text
 of the shortest length class leads first, and those of another class are compared with it. The first few
 sketches alone make most classes; from then on, only buckets of texts of several classes count. After each
 round, links between texts become links between classes, so what is joined in the next rounds are classes.
@@ -22,7 +22,8 @@ written to the shared folder.
 Defined cases: null, empty and wordless texts are a class each; a text of fewer than k words has one
 k-mer, all its words; equal texts are always of one class; a row with a null id has no class (null); rows
 of equal id are one document; an empty table gives no rows; other columns are ignored.
-Words are compared by 32 bits of their hash in the alignment, and sequences by 128 bits.
+Words are compared by 32 bits of their hash in the alignment, and sequences by 128 bits: a node is 64 bits of
+these, and texts that share them by chance are parted.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ K = 5
 L = 2
 SKETCHES = 96
 #: Sketches of the rounds of leaders: those below each number that were in no round before, then all others.
-ROUNDS = (2, 8)
+ROUNDS = (6,)
 SIMILARITY = 0.8
 #: Most texts of a block on average, and most words of them.
 BLOCK_TEXTS = 1024
@@ -72,10 +73,7 @@ def sketch_slice(s: tk.Slice, k: int, l: int, n_sketches: int) -> dict[str, np.n
         return out
     size = n_words[full]
     first = np.cumsum(size) - size
-    place = np.arange(len(words), dtype=np.int64) - np.repeat(first, size)
-    power = tk._POWERS.upto(int(size.max()) + 1)
-    for name, turn in (("h1", words), ("h2", tk.mix(words ^ _U(0xA5A5A5A5A5A5A5A5)))):
-        out[name][full] = tk.mix(np.add.reduceat(turn * power[place], first) + size.astype(np.uint64))
+    out["h1"][full], out["h2"][full] = sequence_hashes(words, size)
     # k-mers: k words, or all of a shorter text
     grams = np.zeros(len(words), dtype=np.uint64)
     grams[: max(len(words) - k + 1, 0)] = tk.gram_hashes(words, k)
@@ -87,6 +85,25 @@ def sketch_slice(s: tk.Slice, k: int, l: int, n_sketches: int) -> dict[str, np.n
     return out
 
 
+def sequence_hashes(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's whole sequence; every row has words."""
+    first = np.cumsum(size) - size
+    power = tk._POWERS.upto(int(size.max()) + 1)[np.arange(len(words), dtype=np.int64) - np.repeat(first, size)]
+    one, two = (np.add.reduceat(turn * power, first) + size.astype(np.uint64) for turn in (words, tk.mix(words ^ _U(0xA5A5A5A5A5A5A5A5))))
+    return tk.mix(one), tk.mix(two)
+
+
+def node_of(h1: np.ndarray, h2: np.ndarray, twice: dict[int, int]) -> np.ndarray:
+    """h1, but h2 where another sequence has the same h1. twice: h1 -> the h2 that keeps it."""
+    out = h1.view(np.int64).copy()
+    if twice:
+        h2 = h2.view(np.int64)
+        for i in np.flatnonzero(np.isin(out, np.array(list(twice), dtype=np.int64))).tolist():
+            if h2[i] != twice[int(out[i])]:
+                out[i] = h2[i]
+    return out
+
+
 def labelled(grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """k-mer hashes that also tell how many equal ones stand before in the row."""
     keys = tk.by_row(grams, rows)
@@ -137,33 +154,51 @@ def sketches(documents: DataFrame, text_col: str, k: int, l: int, n_sketches: in
     return annotate(documents, text_col, work, "n_words long, h1 long, h2 long, sketches array<long>")
 
 
-def sequences(docs: DataFrame, wanted: tk.KeyFilter) -> DataFrame:
-    """id, seq (32 bits of each word's hash) of the rows of docs (id, text) that `wanted` (of xxhash64(id)) passes."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
-    kind = docs.schema["id"].dataType.simpleString()
+def sequences(texts: DataFrame, wanted: tk.KeyFilter, twice: dict[int, int]) -> DataFrame:
+    """node, seq (32 bits of each word's hash) of the texts whose node `wanted` passes, once a batch."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(shared.value.has(batch.column(1).to_numpy())))
-            out = []
-            for s in tk.slices(some.column(2), lower=True):
+            nodes, out = [np.zeros(0, dtype=np.int64)], []
+            for s in tk.slices(batch.column(0), lower=True):
                 starts, ends, rows = s.words(tk.ALNUM_WORDS)
-                words = (tk.span_hashes(s.data, starts, ends) >> _U(32)).astype("<u4")
-                cuts = np.searchsorted(rows, np.arange(s.n + 1))
-                out += [words[cuts[i] : cuts[i + 1]].tobytes() for i in range(s.n)]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.binary())], names=["id", "seq"])
+                if not len(rows):
+                    continue
+                words = tk.span_hashes(s.data, starts, ends)
+                size = np.bincount(rows, minlength=s.n)
+                node = node_of(*sequence_hashes(words, size[size > 0]), twice)
+                cuts = np.concatenate([[0], np.cumsum(size[size > 0])])
+                words = (words >> _U(32)).astype("<u4")
+                node, first = np.unique(node, return_index=True)
+                kept = np.flatnonzero(shared.value.has(node))
+                nodes.append(node[kept])
+                out += [words[cuts[i] : cuts[i + 1]].tobytes() for i in first[kept].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(out, pa.binary())], names=["node", "seq"])
         tk.release()
 
-    return docs.filter("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, f"id {kind}, seq binary")
+    return texts.mapInArrow(run, "node long, seq binary")
 
 
-def shared_sketches(mine: DataFrame, wanted: tk.KeyFilter) -> DataFrame:
-    """rep, n, j, bucket: the sketches of mine (rep, n, sketches) that `wanted` passes, and each one's number j."""
-    shared = mine.sparkSession.sparkContext.broadcast(wanted)
-    kind = mine.schema["rep"].dataType.simpleString()
+def filtered_nodes(df: DataFrame, wanted: tk.KeyFilter) -> DataFrame:
+    """The rows of df (node, seq) whose node `wanted` passes."""
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy())))
+
+    return df.select("node", "seq").mapInArrow(run, "node long, seq binary")
+
+
+def shared_sketches(nodes: DataFrame, wanted: tk.KeyFilter) -> DataFrame:
+    """node, n, j, bucket: the sketches of nodes (node, n, sketches) that `wanted` passes, and each one's number j, once a batch."""
+    shared = nodes.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            batch = batch.take(pa.array(first))
             lists = batch.column(2)
             size = np.diff(np.asarray(lists.offsets))
             flat = lists.flatten().to_numpy()
@@ -171,9 +206,9 @@ def shared_sketches(mine: DataFrame, wanted: tk.KeyFilter) -> DataFrame:
             row = np.repeat(np.arange(len(size)), size)[hit]
             j = hit - np.repeat(np.cumsum(size) - size, size)[hit]
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(j, pa.int32()), pa.array(flat[hit], pa.int64())], names=["rep", "n", "j", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(j, pa.int32()), pa.array(flat[hit], pa.int64())], names=["node", "n", "j", "bucket"])
 
-    return mine.mapInArrow(run, f"rep {kind}, n long, j int, bucket long")
+    return nodes.mapInArrow(run, "node long, n long, j int, bucket long")
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
@@ -240,21 +275,21 @@ def edit_limit(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def _align(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b, la, lb, linked of pairs (a, b, their labels la, lb, seq_a, seq_b)."""
-    names = ["a", "b", "la", "lb"]
+def _align(ends: DataFrame, similarity: float) -> DataFrame:
+    """a, b, la, lb, linked. ends: a, salt (a group), node, la, lb, seq; a group's leader is the row whose node is a."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                x, y = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
-                limit = edit_limit(max(len(x), len(y)), similarity)
-                linked.append(banded_distance(x, y, limit) <= limit)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_())], names=[*names, "linked"])
+    def run(t: pa.Table) -> pa.Table:
+        node, a = t.column("node").to_numpy(), t.column("a")[0].as_py()
+        lead = np.frombuffer(t.column("seq")[int(np.flatnonzero(node == a)[0])].as_py(), "<u4")
+        others = t.filter(pa.array(node != a))
+        linked = []
+        for q in others.column("seq"):
+            y = np.frombuffer(q.as_py(), "<u4")
+            limit = edit_limit(max(len(lead), len(y)), similarity)
+            linked.append(banded_distance(lead, y, limit) <= limit)
+        return pa.table({"a": others.column("a"), "b": others.column("node"), "la": others.column("la"), "lb": others.column("lb"), "linked": pa.array(linked, pa.bool_())})
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select(*names, "seq_a", "seq_b").mapInArrow(run, ", ".join(f"{c} {kind}" for c in names) + ", linked boolean")
+    return ends.groupBy("a", "salt").applyInArrow(run, "a long, b long, la long, lb long, linked boolean")
 
 
 def word_counts(seqs: list[np.ndarray]) -> np.ndarray:
@@ -305,7 +340,6 @@ def block_links(labels: list, seqs: list[np.ndarray], left: np.ndarray, right: n
 
 def _links(blocks: DataFrame, similarity: float) -> DataFrame:
     """la, lb: the labels that block_links joins. blocks: bundle, p, i, q, j (the two blocks), place, salt (the text's own), label, seq."""
-    kind = blocks.schema["label"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
         p, i, q, j = (t.column(c)[0].as_py() for c in ("p", "i", "q", "j"))
@@ -317,7 +351,7 @@ def _links(blocks: DataFrame, similarity: float) -> DataFrame:
         label = t.column("label").combine_chunks()
         return pa.table({"la": label.take(pa.array([x for x, _ in found], pa.int64())), "lb": label.take(pa.array([y for _, y in found], pa.int64()))})
 
-    return blocks.groupBy("bundle", "p", "i", "q", "j").applyInArrow(run, f"la {kind}, lb {kind}")
+    return blocks.groupBy("bundle", "p", "i", "q", "j").applyInArrow(run, "la long, lb long")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -345,35 +379,35 @@ class NearDuplicates:
         self.spark, self.similarity = documents.sparkSession, similarity
         shared_dir(self.spark)
         self.folder = scratch(self.spark, "near-dup")
-        self.docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        self.sketched = saved(sketches(self.docs, "text", k, l, n_sketches).drop("text"), f"{self.folder}/sketched")
+        docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        self.texts = docs.filter("id IS NOT NULL").select("text")
+        sketched = saved(sketches(docs, "text", k, l, n_sketches).drop("text"), self._path("sketched"))
+        worded = (F.col("n_words") > 0) & F.col("id").isNotNull()
+        clash = sketched.filter(worded).groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("lo <> hi")
+        self.twice = {r["h1"]: r["lo"] for r in clash.collect()}  # chance alone makes these: some 70 of 5e10 texts
+        node = F.col("h1")
+        if self.twice:
+            lo = F.create_map(*[F.lit(x).cast("long") for pair in self.twice.items() for x in pair])[F.col("h1")]
+            node = F.when(F.col("h2") != lo, F.col("h2")).otherwise(F.col("h1"))
+        self.rows = saved(sketched.select("id", "n_words", F.when(worded, node).alias("node")), self._path("ids"))
+        self.sketched = sketched.filter(worded).select(node.alias("node"), F.col("n_words").alias("n"), "sketches")
 
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def representatives(self) -> DataFrame:
-        """h1, h2, rep: the least id with each sequence."""
-        worded = self.sketched.filter((F.col("n_words") > 0) & F.col("id").isNotNull())
-        return saved(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep")), self._path("reps"))
-
-    def labels(self, reps: DataFrame) -> DataFrame:
-        """node, label: the least text of its class for each text that any other is linked to."""
-        mine = self.sketched.join(reps, ["h1", "h2"]).filter(F.col("id") == F.col("rep"))
-        mine = saved(mine.select("rep", F.col("n_words").alias("n"), "sketches"), self._path("mine"))
-        every = mine.select("rep", F.explode("sketches").alias("bucket"))
-        shared = every.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
+    def labels(self) -> DataFrame:
+        """node, label: the least node of its class for each node that any other is linked to."""
+        every = self.sketched.select("node", F.explode("sketches").alias("bucket"))
+        shared = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("bucket")
         shared = saved(shared, self._path("shared"))
         # few sketches are shared, so the others go before the join moves them
-        rows = shared_sketches(mine, key_filter(shared)).join(shared, "bucket")
-        rows = saved(rows, self._path("rows"))
-        # texts that share no sketch are done; the others' sequences are made once
-        ids = saved(rows.select(F.col("rep").alias("id")).distinct(), self._path("ids"))
-        self.seqs = saved(sequences(self.docs, key_filter(ids.select(F.xxhash64("id")))), self._path("seqs"))
-        repeated = self.seqs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-        if not repeated.isEmpty():  # rows of one id: the least sequence stands for all
-            one = Window.partitionBy("id").orderBy("seq")
-            self.seqs = saved(self.seqs.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n"), self._path("seqs-once"))
-        drop_scratch(self.spark, self._path("mine"))
+        rows = saved(shared_sketches(self.sketched, key_filter(shared)).join(shared, "bucket").distinct(), self._path("rows"))
+        drop_scratch(self.spark, self._path("sketched"))
+        # nodes that share no sketch are done; the others' sequences are made once
+        self.seqs = saved(sequences(self.texts, key_filter(rows.select("node")), self.twice).dropDuplicates(["node"]), self._path("seqs"))
+        # rows of one id are one document
+        several = self.rows.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+        same = saved(self.rows.filter("node IS NOT NULL").join(several, "id").select(F.col("lo").alias("la"), F.col("node").alias("lb")), self._path("same-id"))
         labels, aligned, at = None, [], 0
         for to in (*ROUNDS, None):
             some = rows.filter((F.col("j") >= at) & (F.col("j") < to if to else F.lit(True)))
@@ -381,7 +415,8 @@ class NearDuplicates:
             labels = self._merged(labels, aligned[-1].filter("linked"), f"{at}")
             at = to
         found = saved(_links(self._blocks(rows, labels), self.similarity), self._path("links"))
-        return self._merged(labels, found, "blocks")
+        labels = self._merged(labels, found, "blocks")
+        return labels if same.isEmpty() else self._merged(labels, same, "ids")
 
     def _merged(self, labels: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
         """node, label after links (la, lb) between labels."""
@@ -394,9 +429,8 @@ class NearDuplicates:
         return saved(moved.unionByName(lone), self._path(f"labels-{name}"))
 
     def _members(self, rows: DataFrame, labels: DataFrame | None, lead: Column, name: str) -> DataFrame:
-        """rows (rep, n, bucket) with label, of the buckets of texts of several classes, and the least of `lead` in the bucket. labels: node, label."""
-        known = rows.join(labels, F.col("rep") == F.col("node"), "left").drop("node") if labels is not None else rows.withColumn("label", F.col("rep"))
-        known = known.withColumn("label", F.coalesce("label", "rep"))
+        """rows (node, n, bucket) with label, of the buckets of texts of several classes, and the least of `lead` in the bucket. labels: node, label."""
+        known = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else rows.withColumn("label", F.col("node"))
         # least values are taken within tasks first, so a hot bucket is a row a task
         some = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(lead).alias("lead")).filter("lo <> hi")
         return saved(known.join(saved(some.select("bucket", "lead"), self._path(f"buckets-{name}")), "bucket"), self._path(f"members-{name}"))
@@ -407,8 +441,8 @@ class NearDuplicates:
 
     def _blocks(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """What _links asks for: each text of a bundle of buckets of several classes, once for each two blocks that it is in."""
-        full = self._members(rows.select("rep", "n", "bucket").distinct(), labels, F.col("rep"), "blocks")
-        full = saved(full.select(F.col("lead").alias("bundle"), "rep", "n", "label").distinct(), self._path("bundles"))
+        full = self._members(rows.select("node", "n", "bucket").distinct(), labels, F.col("node"), "blocks")
+        full = saved(full.select(F.col("lead").alias("bundle"), "node", "n", "label").distinct(), self._path("bundles"))
         # a bundle that fits is one block; of others, each length class is dealt into blocks
         size = full.groupBy("bundle").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter(f"m > {BLOCK_TEXTS} OR words > {BLOCK_WORDS}").select("bundle")
         size = saved(size, self._path("large-bundles"))
@@ -419,7 +453,7 @@ class NearDuplicates:
         counted = saved(counted.groupBy("bundle").agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("blocks")), self._path("blocks"))
         large = large.join(counted, "bundle")
         n_blocks = lambda at: F.coalesce(F.try_element_at("blocks", F.col("place") + at), F.lit(0))
-        large = large.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), n_blocks(F.lit(0))).cast("int"))
+        large = large.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), n_blocks(F.lit(0))).cast("int"))
         pair = lambda *x: F.struct(*[v.cast("int").alias(c) for c, v in zip("piqj", x, strict=True)])
         place, salt = F.col("place"), F.col("salt")
         upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -433,39 +467,44 @@ class NearDuplicates:
                 )
             ),
         ).drop("blocks")
-        both = saved(small.unionByName(large).select("bundle", "pair.*", "place", "salt", "rep", "label"), self._path("block-members"))
+        both = saved(small.unionByName(large).select("bundle", "pair.*", "place", "salt", "node", "label"), self._path("block-members"))
         key = ["bundle", "p", "i", "q", "j"]
         some = both.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(*key)
         some = saved(some, self._path("block-pairs"))
-        return both.join(some, key, "left_semi").join(self.seqs.withColumnRenamed("id", "rep"), "rep")
+        both = both.join(some, key, "left_semi")
+        return both.join(self._needed(both), "node")
 
     def _candidates(self, rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
         """a, b, la, lb: the leader of each bucket with each of its texts of another class, and their labels."""
-        full = self._members(rows, labels, F.struct(self._place().alias("place"), "rep", "label"), name).filter(F.col("label") != F.col("lead.label"))
-        pairs = full.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb"))
+        full = self._members(rows, labels, F.struct(self._place().alias("place"), "node", "label"), name).filter(F.col("label") != F.col("lead.label"))
+        pairs = full.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb"))
         return saved(pairs.distinct(), self._path(f"candidates-{name}"))
 
     def _compare(self, pairs: DataFrame, before: list[DataFrame], name: str) -> DataFrame:
-        """Alignments of pairs that weren't compared before."""
+        """Alignments of pairs (a, b, la, lb) that weren't compared before."""
         if before:
             pairs = saved(pairs.join(reduce(DataFrame.unionByName, before).select("a", "b"), ["a", "b"], "left_anti"), self._path(f"new-{name}"))
-        return saved(_align(self._with_sequences(pairs, name), self.similarity), self._path(f"aligned-{name}"))
-
-    def _with_sequences(self, pairs: DataFrame, name: str) -> DataFrame:
-        """pairs with seq_a, seq_b. The pairs of a leader of many are dealt by salt, and its sequence goes to each salt once."""
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_PAIRS).alias("salts"))
-        dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
-        dealt = saved(dealt.drop("salts"), self._path(f"dealt-{name}"))
-        leaders = dealt.select("a", "salt").distinct().join(self.seqs.select(F.col("id").alias("a"), F.col("seq").alias("seq_a")), "a")
-        members = dealt.join(self.seqs.select(F.col("id").alias("b"), F.col("seq").alias("seq_b")), "b")
-        return members.join(leaders, ["a", "salt"])
+        # the pairs of a leader of many are dealt by salt, and its sequence goes to each salt once
+        dealt = saved(pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts")).drop("salts"), self._path(f"dealt-{name}"))
+        leaders = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("node"), F.lit(None).cast("long").alias("la"), F.lit(None).cast("long").alias("lb"))
+        ends = leaders.unionByName(dealt.withColumnRenamed("b", "node"))
+        return saved(_align(ends.join(self._needed(ends), "node"), self.similarity), self._path(f"aligned-{name}"))
+
+    def _needed(self, rows: DataFrame) -> DataFrame:
+        """The sequences of the nodes of rows, and few others."""
+        return filtered_nodes(self.seqs, key_filter(rows.select("node")))
 
     def classes(self) -> DataFrame:
         """id, n_words, class_id for each row of documents."""
-        reps = self.representatives()
-        rep_class = saved(reps.join(self.labels(reps), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_id")), self._path("classes"))
-        rows = self.sketched.select("id", "n_words", F.when(F.col("n_words") > 0, F.col("h1")).alias("h1"), "h2")
-        return rows.join(rep_class, ["h1", "h2"], "left").select("id", "n_words", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
+        least = self.rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
+        least = saved(least, self._path("least"))
+        labels = self.labels()
+        linked = labels.join(least, "node")
+        of_label = linked.groupBy("label").agg(F.min("least").alias("class_id"))
+        linked = saved(linked.join(of_label, "label").select("node", "class_id"), self._path("classes"))
+        every = least.join(linked, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"))
+        return self.rows.join(every, "node", "left").select("id", "n_words", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
 
 def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, n_sketches: int = SKETCHES, k: int = K, l: int = L) -> DataFrame:

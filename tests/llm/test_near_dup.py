@@ -179,6 +179,18 @@ def test_edges(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 6, 8]
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    df = spark.createDataFrame([(5, "one two"), (5, "three four"), (3, "three four"), (7, "seven")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"]) for r in n.near_duplicate_classes(df).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 7)]
+    assert sorted(r["doc_id"] for r in n.drop_near_duplicates(df).collect()) == [3, 7]
+
+
+def test_sequences_of_one_hash_are_parted():
+    h1, h2 = np.array([7, 7, 9, 7], "u8"), np.array([1, 2, 3, 1], "u8")
+    assert n.node_of(h1, h2, {7: 1}).tolist() == [7, 2, 9, 7] and n.node_of(h1, h2, {}).tolist() == [7, 7, 9, 7]
+
+
 def test_string_ids_and_long_texts(spark):
     rng = np.random.default_rng(2)
     long = random_text(rng, 30_000)
