@@ -1,33 +1,32 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-A text is the sequence of its lower-case words, each closed by a blank, and one end symbol. A symbol is
-coded as the path of bits through the Huffman tree of the symbol before it. For each bit, several
-predictors (the bits so far with the last 1, 2, 3 and 5 symbols and with the whole word so far; hashed into
-tables of fixed size) give the counts of zeros and ones that followed in the training documents; each
-predictor's pair of counts becomes a log-odds by a learnt map, and weights, chosen by a gate (how well
-the word so far is known, and how far it went), mix the log-odds to a probability. There are several such
-sets of weights. While a document goes on, the posterior of the sets, and of two that also remember the
-document's own words, is refined after each block of words (with a share that switches), so the total is
-the log-probability of a proper sequential code.
-
-Counts are over all training documents and grow with them: documents give their words' counts, these
-are added up, and each distinct word is then counted with its weight. The tables are bounded (`TABLE_BITS`)
-and so is what is broadcast: the tables' states, the trees, and the `HOT_WORDS` most frequent words; the
-counts of all other words reach the documents by a join. Maps and weights are fitted on a bounded sample of
-training documents (`sample_docs` of a twentieth of them), whose words the tables do not count.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+
+A text is the stream of its lower-case words, each closed by a blank, and one end symbol. A symbol is coded
+as the path of bits through the Huffman tree of the symbol before it. For each bit, predictors look up what
+followed in training: the bits so far with the last 1, 4 and 6 symbols, which cross the borders of words, and
+with the word so far and the word before. Each has a table of counted zeros and ones by hash; a pair of counts
+is a log-odds. One more predictor expects what followed the word so far the last time in this document. A
+gate (how long such a run is, and how well the last 6 symbols and the two words are known) chooses the weights
+that mix all log-odds to a probability. The weights start at fixed ones and are refined along each document:
+after each block of bits, by the block's gradient over the curvature so far. Blocks grow with the place in
+the document, so a document of any length takes few steps, and what a bit costs depends only on training and
+on bits before its block: the total is the log-probability of a proper sequential code.
+
+All training documents are counted, in tables of at most `TABLE_BITS`, which grow with the corpus up to
+there; these, the trees and the `HOT_WORDS` most frequent words are what is broadcast. The base score's counts
+of all other words reach the documents by a join.
 
 Base score: sum over tokens of log10((c + 1) / (N + V + 1)), where c is the token's training count.
 
-Defined cases: a null or empty text is the end symbol alone; without training documents counts are 0,
-the model is uniform over bits, and N = V = 0; repeated rows score alike (each row has its own result);
-an empty table gives no rows; other columns are ignored. Words are compared by 64-bit hashes.
+Defined cases: a null or empty text is the end symbol alone; without training documents counts are 0
+and N = V = 0; repeated rows score alike (each row has its own result); an empty table gives no rows; other
+columns are ignored. Words are compared by 64-bit hashes. Of a text beyond `SEGMENT` symbols, contexts begin
+anew with each segment, while weights go on.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,29 +41,39 @@ from kinlace.llm.tables import crc32_mod, saved, scratch, table
 _U = np.uint64
 #: Symbols that no word has: the end of a word, and of the text.
 BLANK, END = 0x20, 0x0A
-#: log2 of the tables' slots: the last 1, 2, 3, 5 symbols, and the word so far.
-TABLE_BITS = (16, 20, 22, 22, 22)
+#: Symbols before a symbol that are contexts of two predictors.
+ORDERS = (4, 6)
+#: log2 of the tables' slots at most: the last symbol, the last 4, the last 6, the word so far with the word before.
+TABLE_BITS = (16, 22, 22, 22)
+N_TABLES = len(TABLE_BITS)
+N_INPUTS = N_TABLES + 1
 CHUNK = 1 << 16
-_OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
-N_ORDERS = len(TABLE_BITS)
 HOT_WORDS = 1 << 20
-SETS = 4
-#: Ways to code a word that mix the sets with whole words: shares of the word's frequency in training and in the
-#: document so far.
-WORD_WAYS = ((0.5, 0.0), (0.85, 0.0), (0.4, 0.15), (0.3, 0.5))
-N_WORD_WAYS = len(WORD_WAYS)
-BLOCK = 16
-SWITCH = 0.02
 GATES = 24
-CACHE_WORDS = 1_500_000
-#: Least counts of the 16 levels that a count is kept as.
+SEGMENT = 1 << 20
+#: Weights at a document's start, the share of a full step, and the curvature that is there at the start.
+START = (0.15, 0.40, 0.45, 0.40, 0.40)
+RATE, CURVATURE = 2.0, 24.0
+#: Bits of a document's first blocks; later ones are a share of the bits before them.
+BLOCK, GROWTH = 64, 32
+#: Training text that a task counts, if tasks are few.
+COUNT_BYTES = 48 << 20
+#: Least counts of the 16 levels that a count is kept as, and what a level counts as.
 _LEVELS = np.array([0, 1, 2, 3, 4, 5, 6, 8, 12, 20, 40, 100, 400, 2_000, 20_000, 200_000])
 _MIDDLE = np.array([0, 1, 2, 3, 4, 5, 6.9, 9.5, 15, 28, 63, 200, 900, 6_300, 63_000, 500_000])
+#: Log-odds of each state (level of zeros, level of ones), and how much a state has seen: nothing, little, more, much.
+_ODDS = np.log((np.tile(_MIDDLE, 16) + 0.4) / (np.repeat(_MIDDLE, 16) + 0.4)).astype(np.float32)
+_SEEN = np.digitize(np.repeat(_MIDDLE, 16) + np.tile(_MIDDLE, 16), [0.5, 2.5, 15]).astype(np.uint8)
+_RUN_ODDS = np.log((np.arange(16) + 0.4) / 0.4).astype(np.float32)
+_C1, _C2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 # --- words ------------------------------------------------------------------------------------------------
 
 
+END_HASH = tk.span_hashes(np.array([END], dtype=np.uint8), np.array([0]), np.array([1]))[0]
+
+
 class Words:
     """A slice's tokens: each word, and an end for each row, by number among the slice's distinct words (0: end)."""
 
@@ -80,40 +89,26 @@ class Words:
         inner[self.off[1:] - 1] = False
         self.tokens[inner] = which + 1
         self.rows = np.repeat(np.arange(s.n), self.n_words + 1)
-
-    def text(self, i: int) -> bytes:
-        """Distinct word i; the end symbol is word 0."""
-        return bytes([END]) if i == 0 else self.data[self.starts[i - 1] : self.ends[i - 1]].tobytes()
-
-    def units(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the distinct words `which`, one after the other, and offsets."""
-        word = which > 0
-        lens = np.ones(len(which), dtype=np.int64)
-        at = which[word] - 1
-        size = self.ends[at] - self.starts[at]
-        lens[word] = size + 1
-        off = np.concatenate([[0], np.cumsum(lens)])
-        symbols = np.full(int(off[-1]), BLANK, dtype=np.uint8)
-        symbols[off[:-1][~word]] = END
-        symbols[tk.ranges(off[:-1][word], size)] = self.data[tk.ranges(self.starts[at], size)]
-        return symbols, off
+        # the stream of symbols, and where rows begin in it
+        size = ends - starts
+        self.stream_off = np.concatenate([[0], np.cumsum(np.bincount(rows, weights=size + 1, minlength=s.n).astype(np.int64) + 1)])
+        self.symbols = np.full(int(self.stream_off[-1]), BLANK, dtype=np.uint8)
+        self.symbols[self.stream_off[1:] - 1] = END
+        self.symbols[tk.ranges(np.cumsum(size + 1) - size - 1 + rows, size)] = s.data[tk.ranges(starts, size)]
 
 
-END_HASH = tk.span_hashes(np.array([END], dtype=np.uint8), np.array([0]), np.array([1]))[0]
-
-
-def units_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and offsets of words as the vocabulary has them."""
+def symbol_pairs(words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """[before << 8 | symbol]: how often, in words as the vocabulary has them and as often as counted."""
     units = [w if w == bytes([END]) else w + bytes([BLANK]) for w in words]
-    return np.frombuffer(b"".join(units), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(u) for u in units], dtype=np.int64)])
-
-
-def before(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The symbol before each; a word's first follows a blank."""
-    out = np.empty_like(symbols)
-    out[1:] = symbols[:-1]
-    out[off[:-1]] = BLANK
-    return out
+    symbols = np.frombuffer(bytes([BLANK]) + bytes([BLANK]).join(units), dtype=np.uint8)  # each word's first follows a blank
+    size = np.array([len(u) for u in units], dtype=np.int64)
+    last = np.cumsum(size + 1)
+    often = np.repeat(counts, size)
+    inner = np.ones(len(symbols), dtype=bool)
+    inner[0] = False
+    inner[last[:-1]] = False
+    at = np.flatnonzero(inner)
+    return np.bincount(symbols[at - 1].astype(np.int64) << 8 | symbols[at], weights=often, minlength=65_536)
 
 
 # --- bits -------------------------------------------------------------------------------------------------
@@ -123,10 +118,12 @@ class Codes:
     """A Huffman tree over all 256 symbols for each symbol before."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        """counts: [before, symbol]."""
+        """counts: [before, symbol]. They are scaled, so that no path is longer than 40 bits."""
         lens, nodes, bits = np.zeros(65_536, dtype=np.int64), [], []
+        self.path = np.zeros(65_536, dtype=np.uint64)  # from the highest bit on
         for p in range(256):
-            heap = [(int(c) + 1, i, i) for i, c in enumerate(counts[p])]
+            scale = max(1, int(counts[p].sum()) >> 20)
+            heap = [(int(c) // scale + 1, i, i) for i, c in enumerate(counts[p])]
             heapq.heapify(heap)
             parent: dict[int, tuple[int, int]] = {}
             fresh = 256
@@ -141,61 +138,129 @@ class Codes:
                     x, bit = parent[x]
                     path.append((p << 8 | (x - 256), bit))
                 lens[p << 8 | s] = len(path)
-                for node, bit in reversed(path):
+                word = 0
+                for d, (node, bit) in enumerate(reversed(path)):
                     nodes.append(node)
                     bits.append(bit)
-        self.len = lens
-        self.off = np.cumsum(lens) - lens
-        self.node, self.bit = np.array(nodes, dtype=np.int32), np.array(bits, dtype=bool)
+                    word |= bit << (63 - d)
+                self.path[p << 8 | s] = word
+        self.len = lens.astype(np.int32)
+        self.off = (np.cumsum(lens) - lens).astype(np.int32)
+        #: Of each bit of each path: its node and value (node << 1 | bit), and its place in the path.
+        self.step = np.array(nodes, dtype=np.int32) << 1 | np.array(bits, dtype=np.int32)
+        self.depth = (np.arange(len(nodes)) - np.repeat(self.off, lens)).astype(np.int8)
+
+
+def last_followers(contexts: np.ndarray, symbols: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of at most SEGMENT symbols: what followed its context the last time in its row, and for how many times on
+    end (0: never before). Contexts are compared by 43 bits, beside which the place fits in a word, so that words sort alone."""
+    bits = _U(21)
+    at = np.arange(len(symbols), dtype=np.uint64)
+    key = np.sort((tk.by_row(contexts, rows) >> bits << bits) | at)
+    order = (key & ((_U(1) << bits) - _U(1))).astype(np.int32)
+    k, s = key >> bits, symbols[order]
+    fresh = np.concatenate([[True], k[1:] != k[:-1]])
+    turn = fresh | np.concatenate([[True], s[1:] != s[:-1]])
+    at = np.arange(len(order), dtype=np.int32)
+    length = np.minimum(at - np.maximum.accumulate(np.where(turn, at, 0)) + 1, 15)
+    expected, often = np.zeros(len(order), dtype=np.uint8), np.zeros(len(order), dtype=np.uint8)
+    again = np.flatnonzero(~fresh)
+    expected[order[again]], often[order[again]] = s[again - 1], length[again - 1]
+    return expected, often
+
+
+def block_cuts(n_bits: int) -> np.ndarray:
+    """Where blocks of a document begin, up to n_bits: a rule of the place alone."""
+    cuts = [0]
+    while cuts[-1] < n_bits:
+        cuts.append(cuts[-1] + max(BLOCK, cuts[-1] // GROWTH))
+    return np.array(cuts, dtype=np.int64)
 
 
 class Bits:
-    """All bits of some units: the table slots of every predictor, the bit, and where it stands."""
-
-    def __init__(self, symbols: np.ndarray, off: np.ndarray, codes: Codes) -> None:
-        prev = before(symbols, off)
-        pair = prev.astype(np.int64) << 8 | symbols
-        lens = codes.len[pair]
-        self.at = tk.ranges(codes.off[pair], lens)
-        self.node, self.bit = codes.node[self.at], codes.bit[self.at]
-        self.symbol = np.repeat(np.arange(len(symbols)), lens)
-        self.per_symbol = lens
-        n = np.diff(off)
-        self.place = np.arange(len(symbols)) - np.repeat(off[:-1], n)
-        self.unit = np.repeat(np.arange(len(n)), n)
-        total = np.concatenate([[0], np.cumsum(lens)])
-        self.off = total[off]  # of units, in bits
-        self.depth = np.arange(len(self.at)) - np.repeat(total[:-1], lens)
-        # contexts of a symbol: the word's last symbols, or all of them
+    """All bits of some rows' symbols; if ordered, in the order of the steps: blocks, and rows in a block."""
+
+    def __init__(self, symbols: np.ndarray, off: np.ndarray, codes: Codes, begun: int = 0, ordered: bool = True) -> None:
+        """begun: bits of the (one) row that were before."""
+        n = len(symbols)
+        prev = np.empty_like(symbols)
+        prev[1:] = symbols[:-1]
+        prev[off[:-1]] = BLANK
+        self.symbols, self.codes = symbols, codes
+        self.pair = prev.astype(np.int32) << 8 | symbols
+        lens = codes.len[self.pair]
+        total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        n_bits = np.diff(total[off])  # of rows
+        every = np.arange(int(total[-1]), dtype=np.int32)
+        symbol = np.repeat(np.arange(n, dtype=np.int32), lens)
+        at = np.repeat((codes.off[self.pair] - total[:-1]).astype(np.int32), lens) + every
+        self.rows = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+        if ordered:
+            cuts = block_cuts(int(n_bits.max(initial=0)) + begun)
+            block_of = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint16), np.diff(cuts))
+            block = block_of[every - np.repeat((total[off[:-1]] - begun).astype(np.int32), n_bits)]
+            if begun:
+                block -= block[0]
+            self.steps = np.concatenate([[0], np.cumsum(np.bincount(block))])
+            order = np.argsort(block, kind="stable")
+            symbol, at = symbol[order], at[order]
+        self.symbol, self.at = symbol, at
+        self.step = codes.step[at]
+        self.bit = (self.step & 1).astype(bool)
+        self._node = (self.step >> 1).astype(np.uint32) * _C1
+        # contexts of a symbol
         wide = symbols.astype(np.uint64) + _U(1)
         self.contexts = []
-        h, back = np.zeros(len(symbols), dtype=np.uint64), 0
-        for k in (2, 3, 5):
-            while back < k:
-                back += 1
-                shifted = np.zeros(len(symbols), dtype=np.uint64)
-                shifted[back:] = wide[:-back] if back < len(symbols) else 0
-                shifted[self.place < back] = 0
-                h = h * _U(0x100000001B3) + shifted
-            self.contexts.append(tk.mix(h + _U(k)))
-        power = tk._POWERS.upto(int(n.max()) if len(n) else 0)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * power[self.place], dtype=np.uint64)])
-        self.contexts.append(tk.mix(sums[:-1] - np.repeat(sums[off[:-1]], n) + self.place.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
-
-    def slots(self, order: int) -> np.ndarray:
-        """Slot in a predictor's own table."""
-        if order == 0:
-            return self.node
-        h = self.contexts[order - 1][self.symbol] ^ (self.node.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-        return ((h * _U(0x9FB21C651E98DF25)) >> _U(64 - TABLE_BITS[order])).astype(np.int32)
-
-    def gates(self, word_state: np.ndarray) -> np.ndarray:
-        """How well the word so far is known (4) x place in the word (3) x first bits of a symbol or later ones (2)."""
-        known = np.minimum((word_state >> 4) + (word_state & 15), 15)
-        known = np.array([0, 1, 1, 2, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3], dtype=np.int16)[known]
-        place = np.minimum(self.place, 4)[self.symbol]
-        place = np.array([0, 1, 1, 2, 2], dtype=np.int16)[place]
-        return (known * 3 + place) * 2 + (self.depth > 0)
+        most = max(ORDERS)
+        here = np.arange(n, dtype=np.int32) + most * (self.rows + 1)  # zeros before each row
+        padded = np.zeros(n + most * len(off), dtype=np.uint64)
+        padded[here] = wide
+        h = np.zeros(len(padded), dtype=np.uint64)
+        for k in range(1, most + 1):
+            h *= _U(0x100000001B3)
+            h[k:] += padded[:-k]
+            if k in ORDERS:
+                self.contexts.append((tk.mix(h[here] + _U(k)) >> _U(32)).astype(np.uint32))
+        # the word so far; a word begins behind a blank
+        begins = np.zeros(n, dtype=bool)
+        begins[1:] = symbols[:-1] == BLANK
+        begins[off[:-1]] = True
+        first = np.flatnonzero(begins)
+        size = np.diff(np.append(first, n))
+        inside = np.arange(n) - np.repeat(first, size)
+        power = tk._POWERS.upto(int(inside.max(initial=0)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * power[inside], dtype=np.uint64)])
+        self.word = tk.mix(sums[:-1] - np.repeat(sums[first], size) + inside.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        before = np.zeros(len(first), dtype=np.uint64)  # the word before each: the context of its blank
+        if len(first) > 1:
+            before[1:] = self.word[first[1:] - 1]
+        before[np.isin(first, off[:-1])] = 0
+        pair = tk.mix(self.word ^ np.repeat(before * _U(0xD6E8FEB86659FD93), size) + _U(3))
+        self.contexts.append((pair >> _U(32)).astype(np.uint32))
+
+    def slots(self, t: int, bits: int) -> np.ndarray:
+        """Slot in table t of 2**bits slots."""
+        if t == 0:
+            return self.step >> 1
+        h = self.contexts[t - 1][self.symbol]
+        h ^= self._node
+        h *= _C2
+        h >>= np.uint32(32 - bits)
+        return h.view(np.int32)
+
+    def run_input(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of the predictor that looks at the document, and how sure it is: 0, 1, 2."""
+        expected, often = last_followers(self.word, self.symbols, self.rows)
+        other = self.pair & ~0xFF | expected
+        apart = (self.codes.path[self.pair] ^ self.codes.path[other]).astype(np.float64)
+        # bits up to the first that differs
+        alike = np.where(expected == self.symbols, 100, 63 - np.floor(np.log2(np.maximum(apart, 1)))).astype(np.int8)
+        alike[often == 0] = -1
+        alike, often, depth = alike[self.symbol], often[self.symbol], self.codes.depth[self.at]
+        often[depth > alike] = 0
+        x = _RUN_ODDS[often]
+        np.negative(x, out=x, where=self.bit == (depth == alike))
+        return x, np.minimum(often, 2)
 
 
 def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -204,195 +269,102 @@ def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return (level(n0) << 4 | level(n1)).astype(np.uint8)
 
 
-def _prior_maps() -> np.ndarray:
-    n0, n1 = np.repeat(_MIDDLE, 16), np.tile(_MIDDLE, 16)
-    return np.tile(np.log((n1 + 0.4) / (n0 + 0.4)), (N_ORDERS, 1)).astype(np.float32)
+def table_bits(n_bytes: int) -> tuple[int, ...]:
+    """log2 of the tables' slots for a corpus of so many bytes."""
+    return tuple(b if t == 0 else min(b, max(16, int(n_bytes).bit_length() - 3)) for t, b in enumerate(TABLE_BITS))
 
 
 @dataclass
 class Model:
     codes: Codes
-    tables: np.ndarray = field(default_factory=lambda: np.zeros(int(_OFFSETS[-1]), dtype=np.uint8))
-    maps: np.ndarray = field(default_factory=_prior_maps)
-    weights: np.ndarray = field(default_factory=lambda: np.full((SETS, GATES, N_ORDERS), 1.0 / N_ORDERS, dtype=np.float32))
-    #: Prior of the sets, and of the ways that know whole words.
-    prior: np.ndarray = field(default_factory=lambda: np.full(SETS + N_WORD_WAYS, 1.0 / (SETS + N_WORD_WAYS)))
-
-    def inputs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of every predictor [bit, order], and gates."""
-        out = np.empty((len(bits.bit), N_ORDERS), dtype=np.float32)
-        state = None
-        for o in range(N_ORDERS):
-            state = self.tables[_OFFSETS[o] + bits.slots(o)]
-            out[:, o] = self.maps[o][state]
-        return out, bits.gates(state)
-
-    def unit_costs(self, bits: Bits) -> np.ndarray:
-        """Natural logs of each unit's probability by each set of weights: [unit, set], negative."""
-        x, gate = self.inputs(bits)
-        out = np.zeros((len(bits.off) - 1, len(self.weights)), dtype=np.float32)
-        if not len(gate):
-            return out
-        columns = np.ascontiguousarray(x.T)
-        columns *= np.where(bits.bit, np.float32(-1), np.float32(1))
-        for k, w in enumerate(self.weights):
-            z = columns[0] * w[:, 0][gate]
-            for o in range(1, N_ORDERS):
-                z += columns[o] * w[:, o][gate]
-            # a proper code: the cost of a bit is log(1 + e**z), that of the other log(1 + e**-z)
-            out[:, k] = -np.add.reduceat(np.log(1 + np.exp(np.clip(z, -16, 16))), bits.off[:-1])
-        return out
-
+    bits: tuple[int, ...] = TABLE_BITS
+    tables: np.ndarray | None = None
+    start: np.ndarray = field(default_factory=lambda: np.array(START, dtype=np.float32))
 
-# --- fitting on a sample ----------------------------------------------------------------------------------
+    def __post_init__(self) -> None:
+        self.offsets = np.concatenate([[0], np.cumsum([1 << b for b in self.bits])])
+        if self.tables is None:
+            self.tables = np.zeros(int(self.offsets[-1]), dtype=np.uint8)
 
-
-def _newton(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, often: np.ndarray, start: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights of each gate that code the bits best, drawn to `start`."""
-    out = start.astype(np.float64).copy()
-    for g in range(GATES):
-        k = np.flatnonzero((gate == g) & (often > 0))
-        if len(k) < 50:
+    def inputs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of all predictors [input, bit], and gates."""
+        x = np.empty((N_INPUTS, len(bits.symbol)), dtype=np.float32)
+        for t, b in enumerate(self.bits):
+            state = self.tables[self.offsets[t] : self.offsets[t + 1]][bits.slots(t, b)]
+            np.take(_ODDS, state, out=x[t])
+            if t == N_TABLES - 2:
+                longer = _SEEN[state]
+        x[N_TABLES], run = bits.run_input()
+        return x, (run * np.uint8(4) + longer) * np.uint8(2) + (_SEEN[state] > 0)
+
+
+class Weights:
+    """The weights of some rows, which go on from part to part."""
+
+    def __init__(self, model: Model, n: int) -> None:
+        self.w = np.repeat(model.start[:, None], n * GATES, axis=1)
+        self.curvature = np.full(n * GATES, float(CURVATURE))
+        self.bits = 0
+
+
+#: Rows that are coded side by side at most; their weights are held at once.
+PART_ROWS = 4096
+
+
+def code_cost(model: Model, symbols: np.ndarray, off: np.ndarray, weights: Weights | None = None) -> np.ndarray:
+    """Natural log of each row's probability. weights: of the one row, whose earlier symbols were coded before."""
+    n = len(off) - 1
+    weights = weights or Weights(model, n)
+    prev = np.empty_like(symbols)
+    prev[1:] = symbols[:-1]
+    prev[off[:-1]] = BLANK
+    n_bits = np.add.reduceat(model.codes.len[prev.astype(np.int64) << 8 | symbols], off[:-1])
+    # longer rows first, so that the rows that still go on are the first ones
+    rank = np.argsort(-n_bits, kind="stable")
+    lens = np.diff(off)[rank]
+    bits = Bits(symbols[tk.ranges(off[:-1][rank], lens)], np.concatenate([[0], np.cumsum(lens)]), model.codes, weights.bits)
+    x, gate = model.inputs(bits)
+    row = bits.rows[bits.symbol]
+    cell = row * GATES + gate
+    cost = np.zeros(n)
+    for a, b in zip(bits.steps[:-1].tolist(), bits.steps[1:].tolist(), strict=True):
+        if a == b:
             continue
-        xs, ys, os, w = x[k].astype(np.float64), bit[k], often[k], out[g]
-        for _ in range(8):
-            p = 1 / (1 + np.exp(-np.clip(xs @ w, -20, 20)))
-            h = (xs * (os * p * (1 - p))[:, None]).T @ xs + np.eye(N_ORDERS) * ridge
-            w = w + np.linalg.solve(h, xs.T @ (os * (ys - p)) - ridge * (w - start[g]))
-        out[g] = w
+        xs, c, one = x[:, a:b], cell[a:b], bits.bit[a:b]
+        live = int(row[b - 1]) + 1
+        cells = live * GATES
+        z = (xs * weights.w[:, c]).sum(axis=0)
+        np.clip(z, -16, 16, out=z)
+        p = 1 / (1 + np.exp(-z))
+        cost[:live] += np.bincount(row[a:b], weights=np.log(np.where(one, p, 1 - p)), minlength=live)
+        miss = one - p
+        weights.curvature[:cells] += np.bincount(c, weights=p * (1 - p) * (xs * xs).sum(axis=0), minlength=cells)
+        for k in range(N_INPUTS):
+            weights.w[k, :cells] += RATE * np.bincount(c, weights=miss * xs[k], minlength=cells) / weights.curvature[:cells]
+    weights.bits += int(n_bits[0])
+    out = np.empty(n)
+    out[rank] = cost
     return out
 
 
-def fit_sample(model: Model, texts: pa.Array, rounds: int = 3) -> None:
-    """Maps of states, sets of weights and the prior, from texts of the sample, which the tables do not count."""
-    rows = []
-    for s in tk.slices(texts, lower=True):
-        w = Words(s)
-        rows.append((w, Bits(*w.units(np.arange(len(w.hashes))), model.codes)))
-    if not rows:
-        return
-    # maps: what followed a state, drawn to what its counts say
-    seen = np.zeros((2, N_ORDERS, 256))
-    for w, bits in rows:
-        often = np.repeat(np.bincount(w.tokens, minlength=len(w.hashes)), np.diff(bits.off)).astype(float)
-        for o in range(N_ORDERS):
-            state = model.tables[_OFFSETS[o] + bits.slots(o)]
-            for bit in (0, 1):
-                seen[bit, o] += np.bincount(state, weights=often * (bits.bit == bool(bit)), minlength=256)
-    p = 1 / (1 + np.exp(-_prior_maps().astype(float)))
-    p = (seen[1] + 50 * p) / (seen[0] + seen[1] + 50)
-    model.maps = np.clip(np.log(p / (1 - p)), -12, 12).astype(np.float32)
-    x, gate = (np.concatenate(z) for z in zip(*(model.inputs(b) for _, b in rows), strict=True))
-    bit = np.concatenate([b.bit for _, b in rows])
-    units = np.cumsum([0, *(len(w.hashes) for w, _ in rows)])
-    unit = np.repeat(np.arange(units[-1]), np.concatenate([np.diff(b.off) for _, b in rows]))
-    docs = [units[i] + w.tokens[w.off[j] : w.off[j + 1]] for i, (w, _) in enumerate(rows) for j in range(len(w.n_words))]
-    weigh = lambda chosen: np.bincount(np.concatenate([docs[i] for i in chosen]), minlength=units[-1])[unit].astype(float)
-    base = _newton(x, gate, bit, weigh(range(len(docs))), np.full((GATES, N_ORDERS), 1.0 / N_ORDERS), 20.0)
-    # sets: documents go to the set that codes them best, and each set is fitted to its documents
-    model.weights = np.stack([base * f for f in np.linspace(0.75, 1.25, SETS)]).astype(np.float32)
-    use = np.ones(SETS)
-    for _ in range(rounds):
-        costs = np.concatenate([model.unit_costs(b) for _, b in rows])
-        best = np.array([costs[d].sum(axis=0).argmax() for d in docs])
-        use = np.bincount(best, minlength=SETS) + 1.0
-        model.weights = np.stack([_newton(x, gate, bit, weigh(np.flatnonzero(best == k)), base, 200.0) if (best == k).any() else base for k in range(SETS)]).astype(np.float32)
-    model.prior = np.concatenate([use / use.sum() * 0.4, np.full(N_WORD_WAYS, 0.6 / N_WORD_WAYS)])
-
-
-# --- scoring ----------------------------------------------------------------------------------------------
-
-
-def _log_add(a: np.ndarray) -> np.ndarray:
-    top = a.max(axis=1)
-    return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
-
-
-def sequential_score(w: Words, costs: np.ndarray, frequency: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each row: the posterior of the ways to code a word is refined block by block.
-    frequency: share of each distinct word in training, 0 where it isn't known."""
-    tokens, n = w.tokens, len(w.n_words)
-    # how often the word stood in the row before, and how many tokens did
-    key = w.rows.astype(np.int64) * len(w.hashes) + tokens
-    order = np.argsort(key, kind="stable")
-    run = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    begin = np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))
-    times = np.empty(len(order))
-    times[order] = np.arange(len(order)) - begin
-    place = np.arange(len(tokens)) - np.repeat(w.off[:-1], np.diff(w.off))
-    own = times / np.maximum(place, 1)
-    spelt = np.exp(costs).mean(axis=1)[tokens]
-    known = frequency[tokens]
-    ways = np.empty((len(tokens), prior.shape[0]))
-    ways[:, :SETS] = costs[tokens]
-    for k, (a, b) in enumerate(WORD_WAYS):
-        # at a row's first token there are no own words yet
-        here = np.where(place > 0, b, 0.0)
-        ways[:, SETS + k] = np.log((1 - a - here) * spelt + a * known + here * own + 1e-300)
-    # sums over blocks of each row, then blocks in order, rows side by side
-    blocks = -(-np.diff(w.off) // BLOCK)
-    first = np.cumsum(blocks) - blocks
-    starts = tk.ranges(np.zeros(n, dtype=np.int64), blocks) * BLOCK + np.repeat(w.off[:-1], blocks)
-    sums = np.add.reduceat(ways, starts, axis=0)
-    rows = np.argsort(-blocks, kind="stable")
-    have = np.searchsorted(-blocks[rows], -np.arange(1, int(blocks.max()) + 1), side="right")
-    log_post = np.tile(np.log(prior), (n, 1))
-    out = np.zeros(n)
-    switch = np.log(prior) + math.log(SWITCH)
-    for k, m in enumerate(have):
-        joint = log_post[:m] + sums[first[rows[:m]] + k]
-        total = _log_add(joint)
-        out[rows[:m]] += total
-        log_post[:m] = np.logaddexp(joint - total[:, None] + math.log(1 - SWITCH), switch)
+def text_costs(model: Model, w: Words) -> np.ndarray:
+    """Natural log of the probability of each row of a slice."""
+    out, off, n = np.zeros(len(w.n_words)), w.stream_off, len(w.n_words)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + SEGMENT, side="right")) - 1)
+        to = min(to, at + PART_ROWS)
+        if off[to] - off[at] <= SEGMENT:
+            out[at:to] = code_cost(model, w.symbols[off[at] : off[to]], off[at : to + 1] - off[at])
+        else:
+            weights = Weights(model, 1)
+            for a in range(int(off[at]), int(off[to]), SEGMENT):
+                part = w.symbols[a : min(a + SEGMENT, int(off[to]))]
+                out[at] += code_cost(model, part, np.array([0, len(part)]), weights)[0]
+        at = to
     return out
 
 
-class Scorer:
-    """Scores slices with one model; remembers the costs of words."""
-
-    def __init__(self, model: Model, hot: np.ndarray, hot_counts: np.ndarray) -> None:
-        self.model, self.hot, self.hot_counts = model, hot, hot_counts
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index = tk.HashIndex()
-        self.costs = np.zeros((0, SETS), dtype=np.float32)
-
-    def word_costs(self, w: Words) -> np.ndarray:
-        if self.index.n + len(w.hashes) > CACHE_WORDS:
-            self._clear()
-        number = self.index.find(w.hashes)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            number[new] = self.index.add(w.hashes[new])
-            made = [self.model.unit_costs(Bits(*w.units(new[a : a + 20_000]), self.model.codes)) for a in range(0, len(new), 20_000)]
-            if self.index.n > len(self.costs):  # grown by half, so that copies stay few
-                wider = np.zeros((max(self.index.n, len(self.costs) * 3 // 2), SETS), dtype=np.float32)
-                wider[: len(self.costs)] = self.costs
-                self.costs = wider
-            self.costs[number[new]] = np.concatenate(made)
-        return self.costs[number].astype(np.float64)
-
-    def score(self, s: tk.Slice, n: int, v: int) -> dict[str, np.ndarray | list]:
-        w = Words(s)
-        out: dict[str, np.ndarray | list] = {"n_tokens": w.n_words + 1, "n_bytes": np.bincount(w.rows, weights=np.concatenate([[1], w.ends - w.starts + 1])[w.tokens], minlength=s.n).astype(np.int64)}
-        at = np.minimum(np.searchsorted(self.hot, w.hashes), max(len(self.hot) - 1, 0))
-        is_hot = self.hot[at] == w.hashes if len(self.hot) else np.zeros(len(w.hashes), dtype=bool)
-        count = np.where(is_hot, self.hot_counts[at], 0) if len(self.hot) else np.zeros(len(w.hashes))
-        out["ln"] = sequential_score(w, self.word_costs(w), count / max(n, 1), self.model.prior)
-        logs = np.log10((count + 1) / (n + v + 1))
-        hot = is_hot[w.tokens]
-        out["hot_score"] = np.bincount(w.rows, weights=np.where(hot, logs[w.tokens], 0.0), minlength=s.n)
-        out["hot_known"] = np.bincount(w.rows, weights=hot, minlength=s.n).astype(np.int64)
-        # all other words go on as distinct words of each row
-        cold = np.flatnonzero(~hot)
-        key, times = np.unique(w.rows[cold] * len(w.hashes) + w.tokens[cold], return_counts=True)
-        rows, word = key // len(w.hashes), key % len(w.hashes)
-        cuts = np.searchsorted(rows, np.arange(s.n + 1))
-        out["cold"], out["times"], out["cuts"] = w.hashes[word].view(np.int64), times, cuts
-        return out
-
-
 # --- over tables ------------------------------------------------------------------------------------------
 
 
@@ -415,61 +387,47 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(65_536)
     for batch in batches:
-        symbols, off = units_of(batch.column(0).to_pylist())
-        if len(symbols):
-            c = np.repeat(batch.column(1).to_numpy(), np.diff(off))
-            total += np.bincount(before(symbols, off).astype(np.int64) << 8 | symbols, weights=c, minlength=65_536)
+        if batch.num_rows:
+            total += symbol_pairs(batch.column(0).to_pylist(), batch.column(1).to_numpy())
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], names=["pair", "c"])
 
 
-def _count_tables(vocab: DataFrame, codes: Codes, less: tuple[np.ndarray, np.ndarray], buffer: int = 120_000) -> DataFrame:
-    """chunk, counts: packed zeros and ones of each chunk of table slots, from each task.
-    less: sorted hashes and counts of the sample's words, which are not counted."""
+def count_bits(total: np.ndarray, model: Model, w: Words) -> None:
+    """Add a slice's bits to total: zeros and ones of each slot of the model's tables, side by side."""
+    off = w.stream_off
+    step = SEGMENT if len(off) == 2 else int(off[-1])  # a long text is a slice of its own
+    for a in range(0, int(off[-1]), step):
+        b = min(a + step, int(off[-1]))
+        bits = Bits(w.symbols[a:b], off if len(off) > 2 else np.array([0, b - a]), model.codes, ordered=False)
+        total[: 2 << model.bits[0]] += np.bincount(bits.step, minlength=2 << model.bits[0]).astype(np.int32)
+        one = bits.step & 1
+        for t, n in enumerate(model.bits[1:], 1):
+            # sorted first: slots are met at random, and each is then added to once
+            slot = np.sort(bits.slots(t, n) << 1 | one)
+            first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            total[slot[first] + 2 * int(model.offsets[t])] += np.diff(np.append(first, len(slot))).astype(np.int32)
+
+
+def _count_tables(texts: DataFrame, model: Model) -> DataFrame:
+    """chunk, counts: packed zeros and ones of each chunk of table slots, from each task."""
     import zstandard
 
-    shared = vocab.sparkSession.sparkContext.broadcast((codes, *less))
+    shared = texts.sparkSession.sparkContext.broadcast((model.codes, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[] for _ in range(2 * N_ORDERS)]
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            pack = zstandard.ZstdCompressor(level=1).compress
-            for o in range(N_ORDERS):
-                n = np.zeros((2, 1 << TABLE_BITS[o]), dtype=np.int64)
-                for bit in (0, 1):
-                    for slot, c in parts[2 * o + bit]:
-                        n[bit] += np.bincount(slot, weights=c, minlength=1 << TABLE_BITS[o]).astype(np.int64)
-                chunks = n.reshape(2, -1, CHUNK)
-                live = [i for i in range(chunks.shape[1]) if chunks[:, i].any()]
-                base = int(_OFFSETS[o]) // CHUNK
-                yield pa.RecordBatch.from_arrays([pa.array([base + i for i in live], pa.int64()), pa.array([pack(chunks[:, i].tobytes()) for i in live], pa.binary())], names=["chunk", "counts"])
-
-        held = 0
-        codes, known, times = shared.value
+        mine = Model(*shared.value)
+        total = np.zeros(2 * int(mine.offsets[-1]), dtype=np.int32)
         for batch in batches:
-            words, c, h = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                c = c - np.where(known[at] == h, times[at], 0)
-            for a in range(0, len(words), 20_000):
-                bits = Bits(*units_of(words[a : a + 20_000]), codes)
-                often = np.repeat(c[a : a + 20_000], np.diff(bits.off)).astype(np.float64)
-                for o in range(N_ORDERS):
-                    slot = bits.slots(o)
-                    for bit in (0, 1):
-                        which = bits.bit == bool(bit)
-                        at, inverse = np.unique(slot[which], return_inverse=True)
-                        parts[2 * o + bit].append((at.astype(np.int32), np.bincount(inverse, weights=often[which])))
-                held += min(20_000, len(words) - a)
-                if held >= buffer:
-                    yield from packed()
-                    parts[:] = [[] for _ in range(2 * N_ORDERS)]
-                    held = 0
-        if held:
-            yield from packed()
-
-    return vocab.select("word", "c", "h").mapInArrow(run, "chunk long, counts binary")
+            for s in tk.slices(batch.column(0), lower=True, limit=SEGMENT):
+                count_bits(total, mine, Words(s))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for chunk, part in enumerate(total.reshape(-1, 2 * CHUNK)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack(part.tobytes())], pa.binary())], names=["chunk", "counts"])
+        tk.release()
+
+    return texts.mapInArrow(run, "chunk long, counts binary")
 
 
 def _add_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,9 +437,10 @@ def _add_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = np.frombuffer(unpack(blob), dtype=np.int64).reshape(2, CHUNK)
+            n = np.frombuffer(unpack(blob), dtype=np.int32).astype(np.int64)
             total[chunk] = total[chunk] + n if chunk in total else n
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([states(n[0], n[1]).tobytes() for n in total.values()], pa.binary())], names=["chunk", "states"])
+    made = [states(n[::2], n[1::2]).tobytes() for n in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(made, pa.binary())], names=["chunk", "states"])
 
 
 def hot_words(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -501,59 +460,70 @@ def hot_words(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def train(vocab: DataFrame, training: DataFrame, id_col: str, text_col: str, sample_docs: int, sample_bytes: int) -> Model:
-    """vocab: a written table of vocabulary(); training: the documents it is of."""
-    n = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def train(vocab: DataFrame, texts: DataFrame, n_bytes: int) -> Model:
+    """vocab: a written table of vocabulary(); texts: the training texts, n_bytes of them."""
+    spark = vocab.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = vocab.select("word", "c").mapInArrow(_pair_counts, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # 65,536 rows at most
     counts = np.zeros(65_536, dtype=np.int64)
     counts[pairs.column(0).to_numpy()] = pairs.column(1).to_numpy()
-    model = Model(Codes(counts.reshape(256, 256)))
-    fits = training.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text").between(1, sample_bytes))
-    few = fits.filter(F.pmod(F.xxhash64("id"), F.lit(20)) == 0)  # a small corpus keeps most of its documents for the tables
-    sample = few.orderBy(F.xxhash64("id", F.lit(1)), "id", F.md5(F.col("text").cast("binary"))).limit(sample_docs).select("text").toArrow().column(0).combine_chunks()
-    held: dict[int, int] = {}
-    for s in tk.slices(sample, lower=True):
-        w = Words(s)
-        for h, c in zip(w.hashes.tolist(), np.bincount(w.tokens, minlength=len(w.hashes)).tolist(), strict=True):
-            held[h] = held.get(h, 0) + c
-    less = np.array(sorted(held), dtype=np.uint64)
-    times = np.array([held[int(h)] for h in less], dtype=np.int64)
-    added = _count_tables(vocab, model.codes, (less, times)).repartition(n, "chunk").mapInArrow(_add_tables, "chunk long, states binary")
-    for r in added.toLocalIterator():  # a byte for each slot of tables of fixed size
+    model = Model(Codes(counts.reshape(256, 256)), table_bits(n_bytes))
+    # each task sends tables of its own, so tasks are few: by size, and a few for each core of a large corpus
+    tasks = min(math.ceil(n_bytes / COUNT_BYTES), 4 * spark.sparkContext.defaultParallelism)
+    added = _count_tables(texts.coalesce(max(tasks, 1)), model).repartition(n, "chunk").mapInArrow(_add_tables, "chunk long, states binary")
+    for r in added.toLocalIterator():  # a byte for each slot of tables of bounded size
         model.tables[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.states, dtype=np.uint8)
-    fit_sample(model, sample)
     return model
 
 
-#: The scorer of the last model that a worker has seen.
-_SCORERS: dict[str, Scorer] = {}
+class Scorer:
+    """A model and the most frequent words' counts."""
+
+    def __init__(self, model: Model, hot: np.ndarray, hot_counts: np.ndarray) -> None:
+        self.model, self.hot, self.hot_counts = model, hot, hot_counts
+
+    def score(self, s: tk.Slice, n: int, v: int) -> dict[str, np.ndarray | list]:
+        w = Words(s)
+        out: dict[str, np.ndarray | list] = {"n_tokens": w.n_words + 1, "n_bytes": np.diff(w.stream_off)}
+        out["ln"] = text_costs(self.model, w)
+        at = np.minimum(np.searchsorted(self.hot, w.hashes), max(len(self.hot) - 1, 0))
+        is_hot = self.hot[at] == w.hashes if len(self.hot) else np.zeros(len(w.hashes), dtype=bool)
+        count = np.where(is_hot, self.hot_counts[at], 0) if len(self.hot) else np.zeros(len(w.hashes))
+        logs = np.log10((count + 1) / (n + v + 1))
+        hot = is_hot[w.tokens]
+        out["hot_score"] = np.bincount(w.rows, weights=np.where(hot, logs[w.tokens], 0.0), minlength=s.n)
+        out["hot_known"] = np.bincount(w.rows, weights=hot, minlength=s.n).astype(np.int64)
+        # all other words go on as distinct words of each row
+        cold = np.flatnonzero(~hot)
+        key, times = np.unique(w.rows[cold] * len(w.hashes) + w.tokens[cold], return_counts=True)
+        rows, word = key // len(w.hashes), key % len(w.hashes)
+        cuts = np.searchsorted(rows, np.arange(s.n + 1))
+        out["cold"], out["times"], out["cuts"] = w.hashes[word].view(np.int64), times, cuts
+        return out
+
 
 SCORED = "row long, n_tokens long, n_bytes long, ln double, hot_score double, hot_known long, cold array<long>, times array<long>"
 
 
-def score_documents(documents: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_WORDS, sample_docs: int = 300, sample_bytes: int = 20_000) -> DataFrame:
+def score_documents(documents: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10), bits_per_byte for each row.
 
     Learns from the rows where is_training (a column of documents) is true."""
     spark = documents.sparkSession
     folder = scratch(spark, "lm")
-    training = documents.filter(is_training)
-    vocab = saved(vocabulary(training.select(F.col(text_col).cast("string").alias("text"))), f"{folder}/vocabulary")
-    sums = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    texts = documents.filter(is_training).select(F.col(text_col).cast("string").alias("text"))
+    vocab = saved(vocabulary(texts), f"{folder}/vocabulary")
+    sums = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.col("c") * (F.octet_length("word") + 1)), F.lit(0)).alias("b")).first()
     n, v = int(sums["n"]), int(sums["v"])
-    model = train(vocab, training, id_col, text_col, sample_docs, sample_bytes)
-    shared = spark.sparkContext.broadcast((model, *hot_words(vocab, hot)))  # 2**20 words and the tables, whatever the input
+    model = train(vocab, texts, int(sums["b"]))
+    shared = spark.sparkContext.broadcast(Scorer(model, *hot_words(vocab, hot)))  # 2**20 words and the tables, whatever the input
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     id_type = docs.schema["id"].dataType.simpleString()
-    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(*shared.value)
-        scorer = _SCORERS[key]
+        scorer = shared.value
         for batch in batches:
-            for s in tk.slices(batch.column(1), lower=True, limit=4 << 20):
+            for s in tk.slices(batch.column(1), lower=True, limit=SEGMENT):
                 x = scorer.score(s, n, v)
                 lists = lambda name: pa.ListArray.from_arrays(pa.array(x["cuts"], pa.int32()), pa.array(x[name], pa.int64()))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(

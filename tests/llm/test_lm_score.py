@@ -38,23 +38,20 @@ def test_base_score(spark):
 
 def test_cold_words_by_the_join(spark):
     docs = spark.createDataFrame([(i, f"the word{i % 5} the rare{i}") for i in range(40)], "doc_id long, text string")
-    few = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in m.score_documents(docs, F.col("doc_id") < 30, hot=2).collect()}
-    all_hot = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in m.score_documents(docs, F.col("doc_id") < 30).collect()}
-    assert few.keys() == all_hot.keys() and all(few[k][0] == all_hot[k][0] and math.isclose(few[k][1], all_hot[k][1]) for k in few)
+    few = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in m.score_documents(docs, F.col("doc_id") < 30, hot=2).collect()}
+    all_hot = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in m.score_documents(docs, F.col("doc_id") < 30).collect()}
+    assert few.keys() == all_hot.keys() and all(np.allclose(few[k], all_hot[k]) for k in few)
 
 
 def small_model(texts):
     count = Counter(w for t in texts for w in tokens(t))
     words = [b"\n" if w is None else w.encode() for w in count]
-    times = np.array([count[w] for w in count])
-    symbols, off = m.units_of(words)
-    pairs = np.bincount(m.before(symbols, off).astype(np.int64) << 8 | symbols, weights=np.repeat(times, np.diff(off)), minlength=65_536).astype(np.int64)
-    model = m.Model(m.Codes(pairs.reshape(256, 256)))
-    bits = m.Bits(symbols, off, model.codes)
-    often = np.repeat(times, np.diff(bits.off))
-    for o in range(m.N_ORDERS):
-        n = [np.bincount(bits.slots(o), weights=often * (bits.bit == bool(b)), minlength=1 << m.TABLE_BITS[o]) for b in (0, 1)]
-        model.tables[m._OFFSETS[o] : m._OFFSETS[o + 1]] = m.states(n[0].astype(np.int64), n[1].astype(np.int64))
+    pairs = m.symbol_pairs(words, np.array([count[w] for w in count]))
+    model = m.Model(m.Codes(pairs.reshape(256, 256).astype(np.int64)), m.table_bits(0))
+    total = np.zeros(2 * int(model.offsets[-1]), dtype=np.int32)
+    for s in tk.slices(pa.array(texts), lower=True):
+        m.count_bits(total, model, m.Words(s))
+    model.tables[:] = m.states(total[::2], total[1::2])
     return model
 
 
@@ -65,36 +62,118 @@ def test_codes_are_prefix_free():
         assert abs(sum(2.0 ** -codes.len[p << 8 | s] for s in range(256)) - 1) < 1e-9
 
 
+def ln_of(model, symbols):
+    return m.code_cost(model, np.frombuffer(symbols, np.uint8), np.array([0, len(symbols)]))[0]
+
+
 def test_probabilities_of_all_next_symbols_sum_to_one():
-    """A proper code: over all 256 symbols behind any beginning of a word, each set's probabilities add up."""
+    """A proper code: behind any beginning of a text, the probabilities of all 256 symbols add up."""
     model = small_model(["the cat sat on the mat", "a dog and the cat"])
-    rng = np.random.default_rng(2)
-    model.weights = rng.normal(0.3, 0.2, model.weights.shape).astype(np.float32)
-    for begin in (b"", b"t", b"th", b"ca", b"zzzzzz"):
-        total = np.zeros(m.SETS)
-        base = None
-        if begin:
-            symbols = np.frombuffer(begin, np.uint8)
-            base = model.unit_costs(m.Bits(symbols, np.array([0, len(symbols)]), model.codes))[0]
-        for s in range(256):
-            symbols = np.frombuffer(begin + bytes([s]), np.uint8)
-            cost = model.unit_costs(m.Bits(symbols, np.array([0, len(symbols)]), model.codes))[0]
-            total += np.exp(cost - (base if base is not None else 0))
-        assert np.allclose(total, 1, atol=1e-3)
-
-
-def test_sequential_score_is_a_proper_mixture():
-    """One block: the log of the prior's mean over ways; a repeated word gets cheaper as the document goes on."""
+    for begin in (b"", b"t", b"the c", b"the cat sat on the cat s", b"zzzzzz the zzz" * 9):
+        base = ln_of(model, begin) if begin else 0.0
+        assert math.isclose(sum(math.exp(ln_of(model, begin + bytes([s])) - base) for s in range(256)), 1, abs_tol=1e-4)
+
+
+def brute_force(model, stream):
+    """The score bit by bit: every context spelt out, weights refined at each block's end."""
+    mask, odd = 2**64 - 1, 0xD6E8FEB86659FD93
+    mix = lambda x: int(tk.mix(np.array([x & mask], dtype=np.uint64))[0])
+    w = [[float(x) for x in model.start] for _ in range(m.GATES)]
+    curve, todo, total, place = [m.CURVATURE] * m.GATES, [], 0.0, 0
+    cuts = set(m.block_cuts(10_000).tolist())
+    followers = {}  # word so far -> all that followed it
+
+    def word_hash(word):
+        h = sum((c + 1) * int(tk._POWERS.upto(len(word))[i]) for i, c in enumerate(word)) + len(word) * 0x9E3779B97F4A7C15
+        return mix(h)
+
+    for i, symbol in enumerate(stream):
+        before = stream[:i]
+        prev = before[-1] if before else m.BLANK
+        words = bytes(before).split(bytes([m.BLANK]))
+        so_far = words[-1]
+        back = [before[-k] + 1 if k <= len(before) else 0 for k in range(1, 7)]
+        h, contexts = 0, []
+        for k, x in enumerate(back, 1):
+            h = (h * 0x100000001B3 + x) & mask
+            if k in m.ORDERS:
+                contexts.append(mix(h + k))
+        # the word before, as the blank behind it saw it
+        old = word_hash(words[-2]) if len(words) > 1 else 0
+        contexts.append(mix((word_hash(so_far) ^ (old * odd & mask) + 3)))
+        past = followers.setdefault(so_far, [])
+        n = 0
+        while n < len(past) and n < 15 and past[-1 - n] == past[-1]:
+            n += 1
+        what = past[-1] if past else None
+        past.append(symbol)
+        pair = prev << 8 | symbol
+        path = lambda s: [bool(model.codes.path[prev << 8 | s] >> np.uint64(63 - d) & np.uint64(1)) for d in range(int(model.codes.len[prev << 8 | s]))]  # noqa: B023, E731
+        own = path(symbol)
+        for d, bit in enumerate(own):
+            if place in cuts:
+                for g in range(m.GATES):
+                    mine = [t for t in todo if t[0] == g]
+                    curve[g] += sum(t[2] for t in mine)
+                    w[g] = [w[g][k] + m.RATE * sum(t[1][k] for t in mine) / curve[g] for k in range(m.N_INPUTS)]
+                todo = []
+            node = int(model.codes.step[model.codes.off[pair] + d]) >> 1
+            x, states = [], []
+            for t, b in enumerate(model.bits):
+                slot = node if t == 0 else ((((contexts[t - 1] >> 32) ^ (node * int(m._C1) & 0xFFFFFFFF)) * int(m._C2)) & 0xFFFFFFFF) >> (32 - b)
+                states.append(model.tables[model.offsets[t] + slot])
+                x.append(float(m._ODDS[states[-1]]))
+            expected = path(what) if n else []
+            live = n and expected[:d] == own[:d] and d < len(expected)
+            x.append(float(m._RUN_ODDS[n]) * (1 if expected[d] else -1) if live else 0.0)
+            g = ((min(n, 2) if live else 0) * 4 + int(m._SEEN[states[-2]])) * 2 + (m._SEEN[states[-1]] > 0)
+            z = min(max(sum(a * b for a, b in zip(x, w[g], strict=True)), -16), 16)
+            p = 1 / (1 + math.exp(-z))
+            total += math.log(p if bit else 1 - p)
+            todo.append((g, [(bit - p) * v for v in x], p * (1 - p) * sum(v * v for v in x)))
+            place += 1
+    return total
+
+
+def test_scores_equal_those_bit_by_bit():
+    texts = ["The cat sat on the mat and the cat sat.", "a dog; the cat, the dog a dog " * 3, "", "zebra", "the the the the the the the", "n\u00e4chste Katze"]
+    model = small_model(texts[:3])
+    got = []
+    for s in tk.slices(pa.array(texts), lower=True):
+        w = m.Words(s)
+        got += m.text_costs(model, w).tolist()
+        streams = [w.symbols[a:b].tolist() for a, b in zip(w.stream_off[:-1], w.stream_off[1:], strict=True)]
+        assert bytes(streams[0]) == b"the cat sat on the mat and the cat sat. \n" and bytes(streams[2]) == b"\n"
+        assert np.allclose(got, [brute_force(model, x) for x in streams], rtol=1e-4)
+
+
+def test_long_texts_in_segments(monkeypatch):
+    """A text's segments are coded one after the other with the same weights; other rows of the slice don't matter."""
     model = small_model(["the cat sat on the mat"])
-    s = next(iter(tk.slices(pa.array(["qqxz " * 200]), lower=True)))
-    w = m.Words(s)
-    costs = model.unit_costs(m.Bits(*w.units(np.arange(len(w.hashes))), model.codes)).astype(float)
-    score = m.sequential_score(w, costs, np.zeros(len(w.hashes)), model.prior)[0]
-    assert score > 200 * costs[1].max() and score < 0
-    one = m.Words(next(iter(tk.slices(pa.array([""]), lower=True))))
-    c = model.unit_costs(m.Bits(*one.units(np.arange(1)), model.codes)).astype(float)
-    ways = np.concatenate([c[0], [np.log((1 - a) * np.exp(c[0]).mean()) for a, _ in m.WORD_WAYS]])
-    assert math.isclose(m.sequential_score(one, c, np.zeros(1), model.prior)[0], np.log((model.prior * np.exp(ways)).sum()), rel_tol=1e-6)
+    texts = ["the cat " * 40, "x" * 300, "a"]
+    cost = lambda texts: [x for s in tk.slices(pa.array(texts), lower=True) for x in m.text_costs(model, m.Words(s)).tolist()]
+    whole = cost(texts)
+    monkeypatch.setattr(m, "PART_ROWS", 1)
+    assert np.allclose(cost(texts), whole, rtol=1e-5)
+    monkeypatch.setattr(m, "SEGMENT", 100)
+    parts = cost(texts)
+    assert all(math.isfinite(x) and x < 0 for x in parts) and math.isclose(parts[2], whole[2], rel_tol=1e-5) and parts[0] != whole[0]
+
+
+def test_word_order_and_earlier_words_matter():
+    model = small_model(["red fox jumps over lazy dogs while grey owls sleep"] * 3)
+    end = b" \n"
+    assert ln_of(model, b"red fox jumps over lazy dogs" + end) > ln_of(model, b"dogs lazy over jumps fox red" + end) + 1
+
+
+def test_a_text_that_others_hold_costs_less(spark):
+    """What is counted grows with the corpus: a second copy among the training documents makes a text cheaper."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(150))
+    twice, once = [text() for _ in range(10)], [text() for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate([*twice, *twice, *once])]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in m.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()}
+    assert max(got[i] for i in range(20)) < min(got[i] for i in range(20, 50))
 
 
 def test_edges(spark):
