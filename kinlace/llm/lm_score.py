@@ -1,8 +1,8 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A text is the stream of its lower-case words, each closed by a blank, and one end symbol. A symbol is coded
-as the path of bits through the Huffman tree of the symbol before it. For each bit, predictors look up what
-followed in training: the bits so far with the last 1, 4 and 6 symbols, which cross the borders of words, and
+as the path of bits through a Huffman tree of the symbol before it, or of the two before if they are frequent. For each bit, predictors look up what
+followed in training: the bits so far with the tree, with the last 4 and with the last 6 symbols, which cross the borders of words, and
 with the word so far and the word before. Each has a table of counted zeros and ones by hash; a pair of counts
 is a log-odds. One more predictor expects what followed the word so far the last time in this document. A
 gate (how long such a run is, and how well the last 6 symbols and the two words are known) chooses the weights
@@ -43,14 +43,16 @@ _U = np.uint64
 BLANK, END = 0x20, 0x0A
 #: Symbols before a symbol that are contexts of two predictors.
 ORDERS = (4, 6)
-#: log2 of the tables' slots at most: the last symbol, the last 4, the last 6, the word so far with the word before.
-TABLE_BITS = (16, 22, 22, 22)
+#: log2 of the tables' slots at most: the tree, the last 4 symbols, the last 6, the word so far with the word before.
+TABLE_BITS = (18, 22, 22, 22)
 N_TABLES = len(TABLE_BITS)
 N_INPUTS = N_TABLES + 1
 CHUNK = 1 << 16
 HOT_WORDS = 1 << 20
 GATES = 24
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
+#: Trees: one for each symbol before, and more for pairs of symbols before that are frequent.
+TREES = 1024
 #: Weights at a document's start, the share of a full step, and the curvature that is there at the start.
 START = (0.15, 0.40, 0.45, 0.40, 0.40)
 RATE, CURVATURE = 2.0, 24.0
@@ -74,11 +76,24 @@ _C1, _C2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 END_HASH = tk.span_hashes(np.array([END], dtype=np.uint8), np.array([0]), np.array([1]))[0]
 
 
-class Words:
-    """A slice's tokens: each word, and an end for each row, by number among the slice's distinct words (0: end)."""
+class Stream:
+    """A slice's symbols, and where its rows begin in them."""
 
     def __init__(self, s: tk.Slice) -> None:
-        starts, ends, rows = s.words(tk.SPACE_WORDS)
+        starts, ends, rows = self.spans = s.words(tk.SPACE_WORDS)
+        size = ends - starts
+        self.stream_off = np.concatenate([[0], np.cumsum(np.bincount(rows, weights=size + 1, minlength=s.n).astype(np.int64) + 1)])
+        self.symbols = np.full(int(self.stream_off[-1]), BLANK, dtype=np.uint8)
+        self.symbols[self.stream_off[1:] - 1] = END
+        self.symbols[tk.ranges(np.cumsum(size + 1) - size - 1 + rows, size)] = s.data[tk.ranges(starts, size)]
+
+
+class Words(Stream):
+    """Also its tokens: each word, and an end for each row, by number among the slice's distinct words (0: end)."""
+
+    def __init__(self, s: tk.Slice) -> None:
+        super().__init__(s)
+        starts, ends, rows = self.spans
         hashes, first, which = np.unique(tk.span_hashes(s.data, starts, ends), return_index=True, return_inverse=True)
         self.hashes = np.concatenate([[END_HASH], hashes])
         self.starts, self.ends, self.data = starts[first], ends[first], s.data
@@ -89,16 +104,10 @@ class Words:
         inner[self.off[1:] - 1] = False
         self.tokens[inner] = which + 1
         self.rows = np.repeat(np.arange(s.n), self.n_words + 1)
-        # the stream of symbols, and where rows begin in it
-        size = ends - starts
-        self.stream_off = np.concatenate([[0], np.cumsum(np.bincount(rows, weights=size + 1, minlength=s.n).astype(np.int64) + 1)])
-        self.symbols = np.full(int(self.stream_off[-1]), BLANK, dtype=np.uint8)
-        self.symbols[self.stream_off[1:] - 1] = END
-        self.symbols[tk.ranges(np.cumsum(size + 1) - size - 1 + rows, size)] = s.data[tk.ranges(starts, size)]
 
 
-def symbol_pairs(words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """[before << 8 | symbol]: how often, in words as the vocabulary has them and as often as counted."""
+def symbol_counts(words: list[bytes], counts: np.ndarray, trees: np.ndarray | None = None) -> np.ndarray:
+    """[tree << 8 | symbol]: how often, in words as the vocabulary has them and as often as counted. Without trees: [symbol before << 8 | symbol]."""
     units = [w if w == bytes([END]) else w + bytes([BLANK]) for w in words]
     symbols = np.frombuffer(bytes([BLANK]) + bytes([BLANK]).join(units), dtype=np.uint8)  # each word's first follows a blank
     size = np.array([len(u) for u in units], dtype=np.int64)
@@ -108,20 +117,37 @@ def symbol_pairs(words: list[bytes], counts: np.ndarray) -> np.ndarray:
     inner[0] = False
     inner[last[:-1]] = False
     at = np.flatnonzero(inner)
-    return np.bincount(symbols[at - 1].astype(np.int64) << 8 | symbols[at], weights=often, minlength=65_536)
+    before = symbols[at - 1].astype(np.int64)
+    if trees is not None:
+        before = trees[symbols[at - 2].astype(np.int64) << 8 | before].astype(np.int64)  # what is before a blank doesn't matter
+    return np.bincount(before << 8 | symbols[at], weights=often, minlength=65_536 if trees is None else TREES << 8)
+
+
+def frequent_trees(pairs: np.ndarray) -> np.ndarray:
+    """[symbol two before << 8 | symbol before]: the tree; one of its own for pairs that make up a 4096th of all, and that are no
+    word's end. pairs: [symbol before << 8 | symbol], counted."""
+    out = np.tile(np.arange(256, dtype=np.uint16), 256)
+    often = pairs.copy()
+    often[np.isin(np.arange(65_536) & 0xFF, (BLANK, END))] = 0
+    best = np.argsort(-often, kind="stable")[: TREES - 256]
+    best = best[often[best] * 4096 >= max(pairs.sum(), 1)]
+    out[best] = 256 + np.arange(len(best), dtype=np.uint16)
+    return out
 
 
 # --- bits -------------------------------------------------------------------------------------------------
 
 
 class Codes:
-    """A Huffman tree over all 256 symbols for each symbol before."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        """counts: [before, symbol]. They are scaled, so that no path is longer than 40 bits."""
-        lens, nodes, bits = np.zeros(65_536, dtype=np.int64), [], []
-        self.path = np.zeros(65_536, dtype=np.uint64)  # from the highest bit on
-        for p in range(256):
+    """A Huffman tree over all 256 symbols for each tree that `trees` has."""
+
+    def __init__(self, counts: np.ndarray, trees: np.ndarray) -> None:
+        """counts: [tree, symbol]. They are scaled, so that no path is longer than 40 bits."""
+        self.trees = trees
+        n = int(trees.max()) + 1
+        lens, nodes, bits = np.zeros(n << 8, dtype=np.int64), [], []
+        self.path = np.zeros(n << 8, dtype=np.uint64)  # from the highest bit on
+        for p in range(n):
             scale = max(1, int(counts[p].sum()) >> 20)
             heap = [(int(c) // scale + 1, i, i) for i, c in enumerate(counts[p])]
             heapq.heapify(heap)
@@ -150,6 +176,16 @@ class Codes:
         self.step = np.array(nodes, dtype=np.int32) << 1 | np.array(bits, dtype=np.int32)
         self.depth = (np.arange(len(nodes)) - np.repeat(self.off, lens)).astype(np.int8)
 
+    def pairs(self, symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """tree << 8 | symbol of each symbol of some rows; blanks stand before a row."""
+        before = np.full(len(symbols) + 2, BLANK, dtype=np.uint16)
+        before[2:] = symbols
+        context = before[:-2] << np.uint16(8) | before[1:-1]
+        context[off[:-1]] = BLANK << 8 | BLANK
+        second = off[:-1][np.diff(off) > 1]
+        context[second + 1] = BLANK << 8 | symbols[second].astype(np.uint16)
+        return self.trees[context].astype(np.int32) << 8 | symbols
+
 
 def last_followers(contexts: np.ndarray, symbols: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each of at most SEGMENT symbols: what followed its context the last time in its row, and for how many times on
@@ -183,11 +219,8 @@ class Bits:
     def __init__(self, symbols: np.ndarray, off: np.ndarray, codes: Codes, begun: int = 0, ordered: bool = True) -> None:
         """begun: bits of the (one) row that were before."""
         n = len(symbols)
-        prev = np.empty_like(symbols)
-        prev[1:] = symbols[:-1]
-        prev[off[:-1]] = BLANK
         self.symbols, self.codes = symbols, codes
-        self.pair = prev.astype(np.int32) << 8 | symbols
+        self.pair = codes.pairs(symbols, off)
         lens = codes.len[self.pair]
         total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
         n_bits = np.diff(total[off])  # of rows
@@ -291,7 +324,7 @@ class Model:
         x = np.empty((N_INPUTS, len(bits.symbol)), dtype=np.float32)
         for t, b in enumerate(self.bits):
             state = self.tables[self.offsets[t] : self.offsets[t + 1]][bits.slots(t, b)]
-            np.take(_ODDS, state, out=x[t])
+            np.take(_ODDS, state, out=x[t], mode="clip")
             if t == N_TABLES - 2:
                 longer = _SEEN[state]
         x[N_TABLES], run = bits.run_input()
@@ -315,10 +348,7 @@ def code_cost(model: Model, symbols: np.ndarray, off: np.ndarray, weights: Weigh
     """Natural log of each row's probability. weights: of the one row, whose earlier symbols were coded before."""
     n = len(off) - 1
     weights = weights or Weights(model, n)
-    prev = np.empty_like(symbols)
-    prev[1:] = symbols[:-1]
-    prev[off[:-1]] = BLANK
-    n_bits = np.add.reduceat(model.codes.len[prev.astype(np.int64) << 8 | symbols], off[:-1])
+    n_bits = np.add.reduceat(model.codes.len[model.codes.pairs(symbols, off)], off[:-1])
     # longer rows first, so that the rows that still go on are the first ones
     rank = np.argsort(-n_bits, kind="stable")
     lens = np.diff(off)[rank]
@@ -384,16 +414,25 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, word binary, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(65_536)
-    for batch in batches:
-        if batch.num_rows:
-            total += symbol_pairs(batch.column(0).to_pylist(), batch.column(1).to_numpy())
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], names=["pair", "c"])
+def _symbol_counts(vocab: DataFrame, trees: np.ndarray | None = None) -> np.ndarray:
+    """symbol_counts of a vocabulary."""
+    size = 65_536 if trees is None else TREES << 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += symbol_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy(), trees)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], names=["pair", "c"])
+
+    got = vocab.select("word", "c").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # `size` rows at most
+    out = np.zeros(size, dtype=np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
 
 
-def count_bits(total: np.ndarray, model: Model, w: Words) -> None:
+def count_bits(total: np.ndarray, model: Model, w: Stream) -> None:
     """Add a slice's bits to total: zeros and ones of each slot of the model's tables, side by side."""
     off = w.stream_off
     step = SEGMENT if len(off) == 2 else int(off[-1])  # a long text is a slice of its own
@@ -420,7 +459,7 @@ def _count_tables(texts: DataFrame, model: Model) -> DataFrame:
         total = np.zeros(2 * int(mine.offsets[-1]), dtype=np.int32)
         for batch in batches:
             for s in tk.slices(batch.column(0), lower=True, limit=SEGMENT):
-                count_bits(total, mine, Words(s))
+                count_bits(total, mine, Stream(s))
         pack = zstandard.ZstdCompressor(level=1).compress
         for chunk, part in enumerate(total.reshape(-1, 2 * CHUNK)):
             if part.any():
@@ -464,10 +503,8 @@ def train(vocab: DataFrame, texts: DataFrame, n_bytes: int) -> Model:
     """vocab: a written table of vocabulary(); texts: the training texts, n_bytes of them."""
     spark = vocab.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = vocab.select("word", "c").mapInArrow(_pair_counts, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # 65,536 rows at most
-    counts = np.zeros(65_536, dtype=np.int64)
-    counts[pairs.column(0).to_numpy()] = pairs.column(1).to_numpy()
-    model = Model(Codes(counts.reshape(256, 256)), table_bits(n_bytes))
+    trees = frequent_trees(_symbol_counts(vocab))
+    model = Model(Codes(_symbol_counts(vocab, trees).reshape(TREES, 256), trees), table_bits(n_bytes))
     # each task sends tables of its own, so tasks are few: by size, and a few for each core of a large corpus
     tasks = min(math.ceil(n_bytes / COUNT_BYTES), 4 * spark.sparkContext.defaultParallelism)
     added = _count_tables(texts.coalesce(max(tasks, 1)), model).repartition(n, "chunk").mapInArrow(_add_tables, "chunk long, states binary")

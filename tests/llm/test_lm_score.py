@@ -46,8 +46,9 @@ def test_cold_words_by_the_join(spark):
 def small_model(texts):
     count = Counter(w for t in texts for w in tokens(t))
     words = [b"\n" if w is None else w.encode() for w in count]
-    pairs = m.symbol_pairs(words, np.array([count[w] for w in count]))
-    model = m.Model(m.Codes(pairs.reshape(256, 256).astype(np.int64)), m.table_bits(0))
+    times = np.array([count[w] for w in count])
+    trees = m.frequent_trees(m.symbol_counts(words, times))
+    model = m.Model(m.Codes(m.symbol_counts(words, times, trees).reshape(m.TREES, 256).astype(np.int64), trees), m.table_bits(0))
     total = np.zeros(2 * int(model.offsets[-1]), dtype=np.int32)
     for s in tk.slices(pa.array(texts), lower=True):
         m.count_bits(total, model, m.Words(s))
@@ -57,8 +58,13 @@ def small_model(texts):
 
 def test_codes_are_prefix_free():
     rng = np.random.default_rng(1)
-    codes = m.Codes(rng.integers(0, 50, (256, 256)))
-    for p in (0, 32, 200):
+    pairs = rng.integers(0, 50, 65_536)
+    pairs[0x6161:0x617B] += 100_000
+    pairs[0x4120] += 100_000
+    trees = m.frequent_trees(pairs)
+    codes = m.Codes(rng.integers(0, 50, (m.TREES, 256)), trees)
+    assert trees.max() == 256 + 25 and trees[0x4120] == 0x20  # a word's end has one tree
+    for p in (0, 32, 200, 270):
         assert abs(sum(2.0 ** -codes.len[p << 8 | s] for s in range(256)) - 1) < 1e-9
 
 
@@ -107,8 +113,9 @@ def brute_force(model, stream):
             n += 1
         what = past[-1] if past else None
         past.append(symbol)
-        pair = prev << 8 | symbol
-        path = lambda s: [bool(model.codes.path[prev << 8 | s] >> np.uint64(63 - d) & np.uint64(1)) for d in range(int(model.codes.len[prev << 8 | s]))]  # noqa: B023, E731
+        tree = int(model.codes.trees[(before[-2] if len(before) > 1 else m.BLANK) << 8 | prev])
+        pair = tree << 8 | symbol
+        path = lambda s: [bool(model.codes.path[tree << 8 | s] >> np.uint64(63 - d) & np.uint64(1)) for d in range(int(model.codes.len[tree << 8 | s]))]  # noqa: B023, E731
         own = path(symbol)
         for d, bit in enumerate(own):
             if place in cuts:
