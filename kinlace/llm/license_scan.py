@@ -68,11 +68,66 @@ wrote the original software. If you use this software in a product, an acknowled
 would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
 misrepresented as being the original software. 3. This notice may not be removed or altered from any source
 distribution."""
+_BSD_BEGIN = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution."""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
+this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for
+the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to
+<https://unlicense.org/>"""
+_0BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""
+_BSL = """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person
+or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software")
+to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The
+copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of
+the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated
+by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND
+NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES
+OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 #: name -> text of whole licences and of one-line notices.
 KNOWN: dict[str, str] = {
     "MIT": _MIT,
+    "MIT:titled": "MIT License " + _MIT,
+    "MIT:titled-the": "The MIT License " + _MIT,
+    "MIT-0": _MIT.replace(", subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of\nthe Software.", "."),
     "ISC": _ISC,
+    "ISC:titled": "ISC License " + _ISC,
     "Zlib": _ZLIB,
+    "Zlib:titled": "zlib License " + _ZLIB,
+    "BSD-2-Clause": f"{_BSD_BEGIN} {_BSD_END}",
+    "BSD-2-Clause:titled": f"BSD 2-Clause License {_BSD_BEGIN} {_BSD_END}",
+    "BSD-3-Clause": f"{_BSD_BEGIN} {_BSD_THIRD} {_BSD_END}",
+    "BSD-3-Clause:titled": f"BSD 3-Clause License {_BSD_BEGIN} {_BSD_THIRD} {_BSD_END}",
+    "0BSD": _0BSD,
+    "Unlicense": _UNLICENSE,
+    "BSL-1.0": _BSL,
 } | {
     f"notice:{name}": f"Licensed under {spoken}."
     for name, spoken in (
@@ -129,9 +184,18 @@ _COPYRIGHT = re.compile(_COPYRIGHT_LINE.encode())
 _OPENS = (b"copyright", b"(c)", "©".encode(), b"all rights reserved")
 #: Letters go to lower case; ASCII but letters and digits goes to blanks.
 _WORDS = bytes(c + 32 if 0x41 <= c < 0x5B else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+#: Punctuation, signs and blanks beyond ASCII, as ranges of code points; they are blanks too.
+_BEYOND = ((0xA0, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0x2000, 0x206F), (0x3000, 0x3003), (0x3008, 0x3011), (0xFEFF, 0xFEFF))
+_PUNCTUATION = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _BEYOND) + "]")
 _SPELL = [(f" {a} ".encode(), f" {b} ".encode()) for a, b in SPELLINGS]
 
 
+def _blanked(text: bytes) -> bytes:
+    if text.isascii():
+        return text
+    return _PUNCTUATION.sub(" ", text.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+
+
 def _spelled(words: bytes) -> bytes:
     out = b" " + words + b" "
     for a, b in _SPELL:
@@ -143,10 +207,10 @@ def canonical(text: bytes) -> tuple[bytes, list[bytes]]:
     """The whole text's canonical form without copyright lines, and those of its lines that have words."""
     lines = text.split(b"\n")
     kept = [x for x in lines if not (x.lstrip(b" \t")[:20].lower().startswith(_OPENS) and _COPYRIGHT.match(x))]
-    words = b" ".join(b"\n".join(kept).translate(_WORDS).split())
+    words = b" ".join(_blanked(b"\n".join(kept)).translate(_WORDS).split())
     whole = _spelled(words)
     plain = whole == words and len(kept) == len(lines)  # then no line has a spelling to change
-    each = (b" ".join(x.translate(_WORDS).split()) for x in lines)
+    each = (b" ".join(_blanked(x).translate(_WORDS).split()) for x in lines)
     return whole, [x if plain else _spelled(x) for x in each if x]
 
 
@@ -154,12 +218,33 @@ def digest(canon: bytes) -> bytes | None:
     return hashlib.sha256(canon).digest() if canon else None
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """known_digest binary, license of a mapping name -> text."""
-    least: dict[bytes, str] = {}
-    for name, text in sorted((known or KNOWN).items(), reverse=True):
+#: Of each whole text that is known by its digest only: name -> sha256 of its canonical form, in hex.
+DIGESTS: dict[str, str] = {
+    "Apache-2.0": "910dd57cf0592e2fd177c02a60cdb87c6c204a10dcb34944f8cd8a807ecda3e7",
+    "Artistic-1.0": "b9039fa3e3abf261842ba3d22a27f89bc70885b5993065f1cb471cab489a730b",
+    "BSD-UC": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2": "3a1205cbbc6ec235f5102e529da718c39760affd513721da8c4c4dcd7e9e300c",
+    "GFDL-1.3": "c9dbf03023bbdaa396068f70c178d2f2bb6e423a636d445b883cca4e8e5efe79",
+    "GPL-1.0": "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f",
+    "GPL-2.0": "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6",
+    "GPL-3.0": "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8",
+    "LGPL-2.0": "43e9e891645f774ea0321c6d95b3d31fe844708b3ff3d029708b0041f7f47301",
+    "LGPL-2.1": "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+
+
+def known_digests(spark: SparkSession, known: dict[str, str] | None = None, digests: dict[str, str] | None = None) -> DataFrame:
+    """known_digest binary, license of mappings name -> text and name -> digest in hex; those of this module by default."""
+    if known is None and digests is None:
+        known, digests = KNOWN, DIGESTS
+    least: dict[bytes, str] = {bytes.fromhex(d): name for name, d in sorted((digests or {}).items(), reverse=True)}
+    for name, text in sorted((known or {}).items(), reverse=True):
         if d := digest(canonical(text.encode())[0]):
-            least[d] = name
+            least[d] = min(name, least.get(d, name))
     return spark.createDataFrame(list(least.items()), "known_digest binary, license string")
 
 
@@ -183,13 +268,14 @@ def scan_licenses(documents: DataFrame, known: DataFrame, id_col: str = "doc_id"
     heads = None
     if known.count() <= max_heads:
         heads = frozenset(bytes(r[0]) for r in known.select(F.substring("known_digest", 1, 8)).distinct().collect())
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # a row goes by a number of its own, as ids may repeat
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     made = annotate(docs, "text", lambda texts: _digests(texts, heads), "canonical_chars long, digest binary, lines array<binary>").drop("text")
     made = saved(made, scratch(spark, "license-digests"))
-    whole = made.join(known, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "canonical_chars", F.lower(F.hex("digest")).alias("digest"), "license")
-    lines = made.select(F.col("doc_id").alias("hit_id"), F.explode("lines").alias("line"))
-    hits = lines.join(known, F.col("line") == F.col("known_digest")).groupBy("hit_id").agg(F.array_sort(F.collect_set("license")).alias("notices"))
-    return whole.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
+    whole = made.join(known, F.col("digest") == F.col("known_digest"), "left").select("row", "doc_id", "canonical_chars", F.lower(F.hex("digest")).alias("digest"), "license")
+    lines = made.select(F.col("row").alias("hit_row"), F.explode("lines").alias("line"))
+    hits = lines.join(known, F.col("line") == F.col("known_digest")).groupBy("hit_row").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    return whole.join(hits, F.col("row") == F.col("hit_row"), "left").select(
         "doc_id", "canonical_chars", "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices")
     )
 
@@ -203,6 +289,8 @@ def _sql_canonical(x: str, lines: bool) -> str:
     out = f"coalesce({x}, '')"
     if lines:
         out = rf"regexp_replace({out}, '{_COPYRIGHT_LINE}', '', 'g')"
+    beyond = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _BEYOND)
+    out = f"regexp_replace({out}, '[{beyond}]', ' ', 'g')"
     out = f"translate({out}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = rf"(' ' || trim(regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') || ' ')"
     for a, b in SPELLINGS:
@@ -212,20 +300,25 @@ def _sql_canonical(x: str, lines: bool) -> str:
 
 def op3_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in KNOWN.items())
+    more = ", ".join(f"('{k}', '{v}')" for k, v in DIGESTS.items())
     return f"""
 WITH known AS (
-  SELECT sha256({_sql_canonical('text', True)}) AS known_digest, min(license) AS license
-  FROM (VALUES {rows}) AS v(license, text) GROUP BY 1
+  SELECT known_digest, min(license) AS license FROM (
+    SELECT sha256({_sql_canonical('text', True)}) AS known_digest, license FROM (VALUES {rows}) AS v(license, text)
+    UNION ALL SELECT known_digest, license FROM (VALUES {more}) AS v(license, known_digest)
+  ) GROUP BY known_digest
+), docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, doc_id, text FROM documents
 ), whole AS (
-  SELECT doc_id, {_sql_canonical('text', True)} AS canon FROM documents
+  SELECT n, doc_id, {_sql_canonical('text', True)} AS canon FROM docs
 ), lines AS (
-  SELECT DISTINCT doc_id, {_sql_canonical('line', False)} AS canon
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+  SELECT DISTINCT n, {_sql_canonical('line', False)} AS canon
+  FROM (SELECT n, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs)
 ), hits AS (
-  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-  FROM lines JOIN known ON sha256(canon) = known_digest WHERE canon <> '' GROUP BY doc_id
+  SELECT n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM lines JOIN known ON sha256(canon) = known_digest WHERE canon <> '' GROUP BY n
 )
 SELECT w.doc_id, length(canon) AS canonical_chars, CASE WHEN canon <> '' THEN sha256(canon) END AS digest,
   k.license, coalesce(h.notices, '') AS notices
-FROM whole w LEFT JOIN known k ON canon <> '' AND sha256(canon) = known_digest LEFT JOIN hits h USING (doc_id)
+FROM whole w LEFT JOIN known k ON canon <> '' AND sha256(canon) = known_digest LEFT JOIN hits h USING (n)
 """
