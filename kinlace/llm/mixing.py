@@ -56,13 +56,9 @@ def poisson_count(mean: float, *parts: Column) -> Column:
         return F.lit(0)
     pieces = math.ceil(mean / PIECE)
     cdf = F.array(*[F.lit(x) for x in poisson_cdf(mean / pieces)])
-    one = lambda i: F.size(F.filter(cdf, lambda c: c < uniform(*parts, F.lit(i))))
-    out = one(0)
-    for i in range(1, min(pieces, 16)):
-        out = out + one(i)
-    if pieces > 16:
-        out = out + F.aggregate(F.sequence(F.lit(16), F.lit(pieces - 1)), F.lit(0), lambda n, i: n + F.size(F.filter(cdf, lambda c: c < uniform(*parts, i))))
-    return out
+    # a draw is bound to a variable, so its hash is taken once and not for each term
+    draws = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: uniform(*parts, i))
+    return F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(cdf, lambda c: c < u)))
 
 
 def source_rates(documents: DataFrame, weights: dict[str, float], epoch_rows: float | None = None, source_col: str = "source", default_rate: float = 1.0) -> dict[str | None, float]:
@@ -126,15 +122,15 @@ rates AS (
 ), pieces AS (
   SELECT source, rate, ceil(rate / {PIECE}) AS n, rate / greatest(ceil(rate / {PIECE}), 1) AS mean FROM rates WHERE rate > 0
 ), cdf AS (
-  SELECT source, k, sum(exp(-mean) * pow(mean, k) / factorial(k::INTEGER)) OVER (PARTITION BY source ORDER BY k) AS p
-  FROM pieces, range(0, {TERMS}) AS r(k) WHERE k <= 20
+  SELECT source, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+  FROM pieces, range(0, {TERMS}) AS r(k)
 ), draws AS (
   SELECT d.doc_id, d.source, {u(f"'{SEED}'", "coalesce(d.doc_id::VARCHAR, '')", "i::VARCHAR")} AS u
-  FROM documents d JOIN pieces p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(0, p.n::BIGINT)) AS i)
+  FROM (SELECT DISTINCT doc_id, source FROM documents) d JOIN pieces p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(0, p.n::BIGINT)) AS i)
 ), counts AS (
   SELECT doc_id, d.source, sum((SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.p < d.u)) AS n
   FROM draws d GROUP BY doc_id, d.source
 )
 SELECT d.*, copy, floor({u(f"'{SEED}-order'", "coalesce(d.doc_id::VARCHAR, '')", "copy::VARCHAR")} * {1 << _BITS}.0)::BIGINT AS shuffle_key
-FROM documents d JOIN counts c ON d.doc_id = c.doc_id, LATERAL (SELECT unnest(range(1, c.n::BIGINT + 1)) AS copy)
+FROM documents d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.source IS NOT DISTINCT FROM c.source, LATERAL (SELECT unnest(range(1, c.n::BIGINT + 1)) AS copy)
 """
