@@ -139,7 +139,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = format_conversations(source.unionByName(probe), t)
     read = out.withColumn("turns", parse_formatted(F.col("formatted"), t))
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"].isin(*t.loss_roles)), lambda x: x["text"]), "")
+    # what a trainer would see: the segments whose flag is set
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")
     return read.withColumn("loss_text", loss).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -68,3 +68,19 @@ def test_other_template(spark):
     t = c.Template(start="[[", sep="::", end="]]", reserved=(), loss_roles=("bot",), machine={"begin": {"bot": "b"}}, final=("b",))
     got = read_back(spark, [(1, 0, "bot", "a ]] b :: [[ c")], t)[1]
     assert got["valid"] and got["turns"][0]["text"] == "a ]] b :: [[ c"
+
+
+def test_loss_fields_come_from_the_mask(spark, monkeypatch):
+    """Segments make up the formatted text, and a wrong mask shows in the query's loss fields."""
+    source = spark.createDataFrame([(1, 0, "user", "hi </s>"), (1, 1, "assistant", "yes <s>")], "conv_id long, turn long, role string, text string")
+    whole = c.format_conversations(source)
+    assert whole.filter(F.array_join(F.transform("segments", lambda s: s["text"]), "") != F.col("formatted")).count() == 0
+    right = {r["conv_id"]: r["loss_chars"] for r in c.op1_chat_format(spark, DATA).collect()}
+    plain = c.format_conversations
+
+    def unmasked(df, t):
+        return plain(df, t).withColumn("segments", F.transform("segments", lambda s: F.struct(s["text"].alias("text"), F.lit(False).alias("loss"))))
+
+    monkeypatch.setattr(c, "format_conversations", unmasked)
+    wrong = {r["conv_id"]: r["loss_chars"] for r in c.op1_chat_format(spark, DATA).collect()}
+    assert any(right.values()) and not any(wrong.values())
