@@ -37,7 +37,7 @@ BLOCK = 64
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     """Feature number, never 0, which stands for "no feature"."""
-    return (tk.mix(h + _U(kind * 0x9E3779B97F4A7C15 % 2**64)) >> _U(64 - _BITS)).astype(np.int32) | 1
+    return np.maximum((tk.mix(h + _U(kind * 0x9E3779B97F4A7C15 % 2**64)) >> _U(64 - _BITS)).astype(np.int32), 1)
 
 
 class Tokens:
