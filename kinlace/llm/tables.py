@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a session that names none gets a local one (tests)."""
+    """The folder that all executors share; a session without executors of its own that names none gets a local one (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kinlace-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -49,6 +52,16 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def with_stored_order(df: DataFrame, name: str) -> DataFrame:
+    """df with a long column that ascends as its rows lie in the written table that it reads: by part, then row. Rows of a
+    frame that reads no files go by the frame's partitions."""
+    try:
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+        return df.withColumn(name, part * F.lit(1 << 40) + F.col("_metadata.row_index"))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of a column's text, modulo n; a null counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -5,28 +5,30 @@ meets a mask, so equal passages give equal chunks wherever they stand. A chunk's
 of its ids as little-endian unsigned 32-bit integers. The store's folder holds
 
   blobs/kind=chunk    digest, payload (ids in `width` bytes each), n_ids: each unique chunk once
-  recipes/            doc_id, start, n_tokens, digests, sizes, root: in ascending doc_id order by part number
+  recipes/            doc_id, start, n_tokens, digests, sizes, root: in ascending doc_id order (or that of a column) by part number
   manifest/           part, n_docs, n_tokens, root: Merkle roots over the parts' document roots, and part -1 for the whole
 
 A task drops chunks that it has sent already, and only then are chunks shuffled by address, so a chunk
-that a third of all documents share reaches its partition once per task. Texts and payloads are never
+that a third of all documents share reaches its partition once per task. There they are sorted, and one stays. Texts and payloads are never
 sorted by document: recipes are small, and start offsets come from sums per part.
 
 Defined cases: null and empty texts have the end id alone; null ids stand first; repeated ids stand
 side by side, ordered by root; an empty table gives an empty store; other columns are ignored.
-Words are remembered by a 64-bit hash of their bytes.
+Words are remembered by a 64-bit hash of their bytes. A vocabulary whose rules of parting text aren't those that
+`pieces` knows is used on whole texts, one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlace.llm import textkit as tk
@@ -82,8 +84,29 @@ def pieces(s: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return data, starts, ends, rows
 
 
+# What the tokenizer's file says of texts before tokens, where `pieces` holds.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SUFFIX = "</w>"
+
+
+def parts_as_pieces(described: dict) -> bool:
+    """Whether a tokenizer's description has the rules that `pieces` is made for."""
+    try:
+        split, level = described["pre_tokenizer"]["pretokenizers"]
+        return (
+            [x["type"] for x in described["normalizer"]["normalizers"]] == _NORMALIZERS
+            and (split["type"], split["pattern"], split["behavior"], split["invert"]) == ("Split", {"Regex": _PARTS}, "Removed", True)
+            and (level["type"], level["add_prefix_space"], level["use_regex"]) == ("ByteLevel", False, False)
+            and (described["model"]["type"], described["model"]["end_of_word_suffix"]) == ("BPE", _SUFFIX)
+            and all(x["content"].startswith("<") for x in described.get("added_tokens") or [])
+        )
+    except (KeyError, TypeError, ValueError):
+        return False
+
+
 class Encoder:
-    """ids of texts, by way of their distinct pieces, which a worker remembers."""
+    """ids of texts, by way of their distinct pieces, which a worker remembers; with a vocabulary of other rules, text by text."""
 
     def __init__(self, path: str | None) -> None:
         import public_tokenizers
@@ -92,10 +115,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
+        self.by_pieces = parts_as_pieces(json.loads(self.tokenizer.to_str()))
         #: Each word's last id, and no other, is one of these.
         self.last = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
+            self.last[i] = token.endswith(_SUFFIX)
         self._clear()
 
     def _clear(self) -> None:
@@ -156,6 +180,10 @@ class Encoder:
 
     def encode(self, s: tk.Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows, end_id behind each, and the rows' offsets in them."""
+        if not self.by_pieces:
+            got = self.tokenizer.encode_batch_fast([s.text(i).decode("utf-8", "replace") for i in range(s.n)], add_special_tokens=False)
+            rows = [np.array([*x.ids, end_id], dtype=np.uint32) for x in got]
+            return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
         data, starts, ends, rows = pieces(s)
         hashes, first, which = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if self.index.n + len(hashes) > CACHE_WORDS:
@@ -277,9 +305,9 @@ def crc_append(crc: np.ndarray, more: np.ndarray, n_ids: np.ndarray) -> np.ndarr
     return crc ^ more.astype(np.uint32)
 
 
-def _pieces(documents: DataFrame, id_col: str, text_col: str, vocabulary_path: str | None, end_id: int) -> DataFrame:
+def _pieces(documents: DataFrame, id_col: str, text_col: str, vocabulary_path: str | None, end_id: int, place: Column) -> DataFrame:
     """Rows of both kinds: chunks (once a task) and recipes; `part` deals them out."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), place.cast("long").alias("place"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,6 +341,7 @@ def _pieces(documents: DataFrame, id_col: str, text_col: str, vocabulary_path: s
                         pa.array(["recipe"] * n),
                         pa.array([zlib.crc32(str(i).encode()) for i in doc_ids.to_pylist()], pa.int64()),
                         doc_ids,
+                        batch.column(2).slice(s.rows.start, s.n),
                         pa.array(np.diff(off), pa.int64()),
                         rows,
                         size_rows,
@@ -329,6 +358,7 @@ def _pieces(documents: DataFrame, id_col: str, text_col: str, vocabulary_path: s
                         pa.array([int.from_bytes(d[:8], "little", signed=True) for d, _ in fresh], pa.int64()),
                         pa.nulls(m, doc_ids.type),
                         pa.nulls(m, pa.int64()),
+                        pa.nulls(m, pa.int64()),
                         pa.nulls(m, rows.type),
                         pa.nulls(m, size_rows.type),
                         pa.nulls(m, pa.binary()),
@@ -340,19 +370,19 @@ def _pieces(documents: DataFrame, id_col: str, text_col: str, vocabulary_path: s
                 )
         tk.release()
 
-    schema = f"kind string, part long, doc_id {id_type}, n_tokens long, digests array<binary>, sizes array<int>, root binary, digest binary, payload binary, n_ids int"
+    schema = f"kind string, part long, doc_id {id_type}, place long, n_tokens long, digests array<binary>, sizes array<int>, root binary, digest binary, payload binary, n_ids int"
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     return docs.mapInArrow(run, schema)
 
 
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
+    """Rows in the order of their digest: the first of each, and all without one."""
+    last = None
     for batch in batches:
         fresh = []
         for d in batch.column("digest").to_pylist():
-            fresh.append(d is None or d not in seen)
-            if d is not None:
-                seen.add(d)
+            fresh.append(d is None or d != last)
+            last = d
         yield batch.filter(pa.array(fresh, pa.bool_()))
     tk.release()
 
@@ -381,17 +411,19 @@ CHUNK_COLUMNS = "digest binary, payload binary, n_ids int"
 MANIFEST = "part long, n_docs long, n_tokens long, root binary"
 
 
-def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, end_id: int = END_ID) -> None:
-    """Encode documents and write the store to a folder that all executors share."""
+def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, end_id: int = END_ID, order_col: str | None = None) -> None:
+    """Encode documents and write the store to a folder that all executors share. order_col: a long column by which
+    documents stand in it, before their ids."""
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = _pieces(documents, id_col, text_col, vocabulary_path, end_id).repartition(n, "part")
-    unique = pieces.mapInArrow(_unique, pieces.schema)
+    pieces = _pieces(documents, id_col, text_col, vocabulary_path, end_id, F.col(order_col) if order_col else F.lit(None)).repartition(n, "part")
+    # equal chunks stand side by side after a sort that spills, so no task holds a set of its digests
+    unique = pieces.sortWithinPartitions("digest").mapInArrow(_unique, pieces.schema)
     unique.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{path}/blobs")
     id_type = pieces.schema["doc_id"].dataType.simpleString()
-    recipes = _blobs(spark, path, "recipe", f"doc_id {id_type}, n_tokens long, digests array<binary>, sizes array<int>, root binary")
-    # dealt by id and root, as an id alone may be in many rows
-    order = ["doc_id", "root"]
+    recipes = _blobs(spark, path, "recipe", f"doc_id {id_type}, place long, n_tokens long, digests array<binary>, sizes array<int>, root binary")
+    # dealt by root too, as an id alone may be in many rows
+    order = ["place", "doc_id", "root"] if order_col else ["doc_id", "root"]
     sorted_rows = recipes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     sorted_rows.write.mode("overwrite").parquet(f"{path}/sorted")
     placed = spark.read.parquet(f"{path}/sorted")

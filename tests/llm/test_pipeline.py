@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline as p
-from kinlace.llm.tables import saved, scratch, table
+from kinlace.llm.tables import saved, scratch, table, with_stored_order
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,6 +38,12 @@ def test_decisions_take_effect(spark, steps):
     assert by["token_store"].count() == by["mix_sources"].count() and by["token_store"].filter("NOT verified").count() == 0
 
 
+def test_mixed_order_is_stored(spark, steps):
+    by = dict(steps)
+    mixed = [r["doc_id"] for r in with_stored_order(by["mix_sources"], "n").orderBy("n").collect()]
+    assert mixed != sorted(mixed) and [r["doc_id"] for r in by["token_store"].orderBy("start").collect()] == mixed
+
+
 def test_run(spark, steps):
     assert p.run(spark, SMALL).count() == steps[-1][1].count()
 

@@ -116,3 +116,32 @@ def test_cut_bounds():
     ends = t.cut(ids, off)
     assert set(off[1:]) <= set(ends) | {0} and np.diff(ends, prepend=0).max() <= t.MAX_CHUNK
     assert hashlib.sha256(ends.tobytes()).digest() == hashlib.sha256(t.cut(ids, off).tobytes()).digest()
+
+
+def test_other_vocabularies_are_used_on_whole_texts(spark, tmp_path):
+    """A file whose rules of parting text are others gives the ids of the whole encoding."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(t.VOCABULARY)
+    described = json.loads(open(path).read())
+    assert t.parts_as_pieces(described)
+    described["normalizer"]["normalizers"] = described["normalizer"]["normalizers"][:2]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(described))
+    assert not t.parts_as_pieces(described) and not t.parts_as_pieces({})
+    texts = ["Hello World it's 42!", "", None, "caf\u00e9 CAF\u00c9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t.write_store(docs, f"file://{tmp_path}/store", vocabulary_path=str(other))
+    whole = Tokenizer.from_file(str(other))
+    got = {r["doc_id"]: r["ids"] for r in t.read_documents(spark, f"file://{tmp_path}/store").collect()}
+    assert got == {i: [*whole.encode(x or "", add_special_tokens=False).ids, t.END_ID] for i, x in enumerate(texts)}
+
+
+def test_order_of_a_column(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", 100 - i) for i in range(20)], "doc_id long, text string, n long")
+    t.write_store(docs, f"file://{tmp_path}/store", order_col="n")
+    rows = t.document_summaries(spark, f"file://{tmp_path}/store").orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == list(range(19, -1, -1)) and all(r["verified"] for r in rows)
