@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlace.llm import decontaminate, mixing, near_dup, quality_rules, token_store
-from kinlace.llm.tables import saved, scratch, table
+from kinlace.llm.tables import saved, scratch, table, with_stored_order
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -33,9 +33,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids go to a content-addressed store; each document's recipe is read back and verified."""
+    """Token ids go to a content-addressed store, in the order that mixing dealt; each document's recipe is read back and verified."""
     path = scratch(spark, "token-store")
-    token_store.write_store(docs, path)
+    token_store.write_store(with_stored_order(docs, "place"), path, order_col="place")
     return token_store.document_summaries(spark, path)
 
 
