@@ -12,7 +12,7 @@ _END = r"(?:[/?#].*)?$"
 _MBID = "([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 _LIST = r"((?:PL|LL|EC|UU|FL|RD|UL|TL|PU|OLAK5uy_)[0-9A-Za-z_\-]{10,}|RDMM|WL|LL|LM)"
 _YT = r"^https?://(?:\w+\.)?youtube(?:-nocookie|kids)?\.com/"
-_SC = r"^https?://(?:www\.|m\.)?soundcloud\.com/"
+_SC = r"^https?://soundcloud\.com/"
 
 
 @dataclass(frozen=True)
@@ -51,9 +51,9 @@ SHAPES: tuple[Shape, ...] = (
     _spotify("album", "release"),
     _spotify("playlist", "release"),
     _spotify("artist", "artist"),
-    Shape("soundcloud", "release", rf"{_SC}([^/?#]+)/sets/([^/?#]+)/?(?:[?#].*)?$", "https://soundcloud.com/{}/sets/{}"),
-    Shape("soundcloud", "track", rf"{_SC}([^/?#]+)/(?!sets(?:[/?#]|$))([^/?#]+)(?:[?#].*)?$", "https://soundcloud.com/{}/{}"),
-    Shape("soundcloud", "artist", rf"{_SC}([^/?#]+)/?(?:[?#].*)?$", "https://soundcloud.com/{}"),
+    Shape("soundcloud", "release", rf"{_SC}([^/?]+)/sets/([^/?]+)(?:[/?].*)?$", "https://soundcloud.com/{}/sets/{}"),
+    Shape("soundcloud", "track", rf"{_SC}([^/?]+)/(?!sets(?:\?|$))([^/?]+)(?:\?.*)?$", "https://soundcloud.com/{}/{}"),
+    Shape("soundcloud", "artist", rf"{_SC}([^/?]+)/?(?:\?.*)?$", "https://soundcloud.com/{}"),
     Shape("nicovideo", "track", r"^https://www\.nicovideo\.jp/watch/([^?]+)(?:\?.*)?$", "https://www.nicovideo.jp/watch/{}"),
     Shape("nicovideo", "release", r"^https://www\.nicovideo\.jp/series/([^?#]+)(?:[?#].*)?$", "https://www.nicovideo.jp/series/{}"),
     Shape("nicovideo", "release", r"^https://www\.nicovideo\.jp/user/([^/]+)/mylist/([^?#]+)(?:[?#].*)?$", "https://www.nicovideo.jp/user/{}/mylist/{}"),

@@ -92,42 +92,56 @@ def top_neighbours(shared: DataFrame, k: int = NGRAM_K, least: int = 2) -> DataF
     return kept.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
 
 
-def overlapping_sets(entries: DataFrame, max_block: int = MAX_BLOCK, least: int = OVERLAP_SHARED, jaccard: float = OVERLAP_JACCARD) -> DataFrame:
+def overlapping_sets(entries: DataFrame, max_block: int = MAX_BLOCK, least: int = OVERLAP_SHARED, jaccard: float = OVERLAP_JACCARD, focus: DataFrame | None = None) -> DataFrame:
     """Pairs whose child sets share enough, counted over bounded children, and by Jaccard similarity of the whole sets."""
     sizes = entries.select("entry_id", F.size(F.array_distinct("child_ids")).alias("n"))
     a, b = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
-    shared = shared_counts(child_keys(entries), max_block).filter(F.col("shared") >= least)
+    keys = child_keys(entries) if focus is None else touched(child_keys(entries), focus)
+    shared = shared_counts(keys, max_block).filter(F.col("shared") >= least)
     return shared.join(a, "a").join(b, "b").filter(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= jaccard).select("a", "b")
 
 
-def candidates(entries: DataFrame, max_block: int = MAX_BLOCK, ngram_k: int = NGRAM_K, semantic: DataFrame | None = None) -> DataFrame:
-    """a, b, channels: the union of all channels, their bits joined by OR. semantic: pairs (a, b) of the vector channel."""
+def candidates(entries: DataFrame, max_block: int = MAX_BLOCK, ngram_k: int = NGRAM_K, semantic: DataFrame | None = None, focus: DataFrame | None = None) -> DataFrame:
+    """a, b, channels: the union of all channels, their bits joined by OR. semantic: pairs (a, b) of the vector channel.
+
+    focus (entry_id): only pairs that touch these, by way of the blocks that they are in. What a neighbour of theirs ranks
+    best takes that neighbour's own blocks too, so grams are counted one step further."""
+    near = lambda keys: keys if focus is None else touched(keys, focus)
+    grams = gram_keys(entries)
+    if focus is not None:
+        grams = bounded(grams, max_block)
+        grams = touched(grams, touched(grams, focus))
     found = {
-        EXACT_NAME: block_pairs(exact_name_keys(entries), max_block),
-        TOKEN: block_pairs(token_keys(entries), max_block),
-        CHAR_NGRAM: top_neighbours(shared_counts(gram_keys(entries), max_block), ngram_k),
-        DURATION_CREDIT: block_pairs(duration_keys(entries), max_block),
-        TRACKLIST: block_pairs(tracklist_keys(entries), max_block),
-        TRACKLIST_OVERLAP: overlapping_sets(entries, max_block),
+        EXACT_NAME: block_pairs(near(exact_name_keys(entries)), max_block),
+        TOKEN: block_pairs(near(token_keys(entries)), max_block),
+        CHAR_NGRAM: top_neighbours(shared_counts(grams, max_block), ngram_k),
+        DURATION_CREDIT: block_pairs(near(duration_keys(entries)), max_block),
+        TRACKLIST: block_pairs(near(tracklist_keys(entries)), max_block),
+        TRACKLIST_OVERLAP: overlapping_sets(entries, max_block, focus=focus),
     }
     if semantic is not None:
         found[SEMANTIC] = semantic
     union = reduce(DataFrame.unionByName, [df.select("a", "b", F.lit(bit).alias("bit")) for bit, df in found.items()])
+    union = union if focus is None else focused(union, focus, distinct=False)
     return union.groupBy("a", "b").agg(F.bit_or("bit").alias("channels"))
 
 
-def focused(pairs: DataFrame, focus: DataFrame) -> DataFrame:
+def touched(keys: DataFrame, focus: DataFrame) -> DataFrame:
+    """The whole blocks of keys (entry_type, key) that an entry of focus is in."""
+    mine = keys.join(focus.select("entry_id").distinct(), "entry_id", "left_semi").select("entry_type", "key").distinct()
+    return keys.join(mine, ["entry_type", "key"], "left_semi")
+
+
+def focused(pairs: DataFrame, focus: DataFrame, distinct: bool = True) -> DataFrame:
     """Pairs that touch an entry of focus (entry_id): the incremental form of any channel."""
-    ids = focus.select(F.col("entry_id").alias("f")).distinct()
-    left = pairs.join(ids, F.col("a") == F.col("f"), "left_semi")
-    return left.unionByName(pairs.join(ids, F.col("b") == F.col("f"), "left_semi")).distinct()
+    ids = focus.select(F.col("entry_id").alias("f")).distinct().withColumn("is", F.lit(True))
+    marked = pairs.join(ids.toDF("a", "__a"), "a", "left").join(ids.toDF("b", "__b"), "b", "left").filter("__a OR __b").select(*pairs.columns)
+    return marked.distinct() if distinct else marked
 
 
 def focused_block_pairs(keys: DataFrame, focus: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     """block_pairs that touch focus, by way of the blocks that focus is in only."""
-    ids = focus.select("entry_id").distinct()
-    touched = keys.join(ids, "entry_id", "left_semi").select("entry_type", "key").distinct()
-    return focused(block_pairs(keys.join(touched, ["entry_type", "key"], "left_semi"), max_block).distinct(), focus)
+    return focused(block_pairs(touched(keys, focus), max_block), focus)
 
 
 def channel_names(bits: Column) -> Column:

@@ -67,12 +67,14 @@ def maintain_vectors(stored: DataFrame, entries: DataFrame, plugin: Plugin) -> D
 
 def match(entries: DataFrame, relations: DataFrame, rejected: DataFrame, anchors: DataFrame, excluded: DataFrame, plugin: Plugin | None = None, vectors: DataFrame | None = None, focus: DataFrame | None = None, settings: Settings | None = None, now: int = 0) -> Matched:
     """entries: as entry_infos gives them; relations: stored ones; rejected: a, b that were judged apart; anchors: entry_id, anchor;
-    excluded: entry_id; focus: entry_id of changed entries, for an incremental match."""
+    excluded: entry_id; focus: entry_id of changed entries, for an incremental match: only blocks that these are in are paired, and
+    only their own nearest neighbours are asked for."""
     plugin, s = plugin or Plugin(), settings or Settings()
-    semantic = knn.semantic_pairs(vectors.select("entry_id", "entry_type", "vector"), s.embed_k, s.embed_similarity, s.embed_pages) if vectors is not None else None
-    found = blocking.candidates(entries, s.max_block, s.ngram_k, semantic)
-    if focus is not None:
-        found = blocking.focused(found, focus)
+    semantic = None
+    if vectors is not None:
+        v = vectors.select("entry_id", "entry_type", "vector")
+        semantic = knn.semantic_pairs(v, s.embed_k, s.embed_similarity, s.embed_pages, queries=v.join(focus.select("entry_id").distinct(), "entry_id", "left_semi") if focus is not None else None)
+    found = blocking.candidates(entries, s.max_block, s.ngram_k, semantic, focus)
     identities = staged(graph.identity(relations, entries), "identities")
     known = relations.filter("enabled").select(F.col("entry_a").alias("a"), F.col("entry_b").alias("b"))
     judged = staged(scoring.skip_reason(found, excluded, identities, known, rejected, anchors), "candidates")

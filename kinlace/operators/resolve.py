@@ -269,7 +269,8 @@ def resolve_import(library: dict[str, DataFrame], landed: dict[str, DataFrame],
 
     library: entry_source (PAIR, entry_id, fetched_at, duration_ms, run_id), entry (id, entry_type), entry_alias, entry_child,
     pair_link, contribution, barrier_member (PAIR, anchor). landed: metadata (PAIR, entry_type, fetched_at, duration_ms), stubs
-    (PAIR, entry_type, duration_ms), links, aliases, children, credits."""
+    (PAIR, entry_type, duration_ms), links, aliases, children, credits, and images and privacy if the library has image and privacy.
+    Entries that merge take their plays, display names, block keys and relations along, if the library has these tables."""
     canon = {k: canonical_pairs(v) if set(PAIR) <= set(v.columns) else v for k, v in landed.items()}
     known = library["entry_source"]
     link_cols = ["a_source", "a_identifier", "b_source", "b_identifier"]
@@ -277,7 +278,11 @@ def resolve_import(library: dict[str, DataFrame], landed: dict[str, DataFrame],
     ends = links.select(F.col("a_source").alias("source"), F.col("a_identifier").alias("identifier")).unionByName(links.select(F.col("b_source").alias("source"), F.col("b_identifier").alias("identifier")))
     pairs = reduce(DataFrame.unionByName, [canon["metadata"].select(*PAIR), canon["stubs"].select(*PAIR), ends, known.select(*PAIR)]).distinct()
     existing = known.select(*PAIR, "entry_id")
-    classes = staged(labelled_classes(pairs, links.unionByName(library["pair_link"].select(*link_cols)), existing, library["barrier_member"]), "classes")
+    # a re-fetched pair's stored links that it no longer states are retracted
+    owners = canon["metadata"].select(*PAIR).distinct()
+    retracted = stale(library["pair_link"], links, link_cols, owners.toDF("a_source", "a_identifier"), ["a_source", "a_identifier"])
+    kept_links = library["pair_link"].join(retracted.select(*link_cols), link_cols, "left_anti")
+    classes = staged(labelled_classes(pairs, links.unionByName(kept_links.select(*link_cols)), existing, library["barrier_member"]), "classes")
     ids = staged(assign_entries(classes, existing, known.select(*PAIR, "run_id")), "ids")
     placed = classes.join(ids.select("class_id", "entry_id"), "class_id")
     observed = canon["metadata"].select(*PAIR, "fetched_at", "duration_ms").withColumn("run_id", F.lit(run_id).cast("long"))
@@ -287,17 +292,19 @@ def resolve_import(library: dict[str, DataFrame], landed: dict[str, DataFrame],
     types = reconciled_types(canon["metadata"].select(*PAIR, "entry_type").join(placed, PAIR), canon["stubs"].select(*PAIR, "entry_type").join(placed, PAIR))
     entries = ids.select("class_id", F.col("entry_id").alias("id")).join(types, "class_id", "left").join(library["entry"].withColumnRenamed("entry_type", "__old"), "id", "left")
     entries = entries.select("id", F.when(F.coalesce("entry_type", F.lit("unknown")) != "unknown", F.col("entry_type")).otherwise(F.coalesce("__old", F.lit("unknown"))).alias("entry_type"))
-    owners = canon["metadata"].select(*PAIR).distinct()
     out = dict(library) | {"entry_source": sources, "entry": entries}
     out["entry_alias"] = replaced(library["entry_alias"], canon["aliases"], [*PAIR, "name", "locale"], owners, PAIR)
     parent = ["parent_source", "parent_identifier"]
     out["entry_child"] = replaced(library["entry_child"], canon["children"], [*parent, "child_source", "child_identifier"], owners.toDF(*parent), parent)
     out["contribution"] = replaced(library["contribution"], canon["credits"], [*PAIR, "artist_source", "artist_identifier", "role"], owners, PAIR)
-    out["pair_link"] = insert_absent(library["pair_link"], links, link_cols)
+    out["pair_link"] = insert_absent(kept_links, links, link_cols)
+    if "image" in library and "images" in canon:
+        out["image"] = upsert_images(library["image"], canon["images"])
+    if "privacy" in library and "privacy" in canon:
+        out["privacy"] = upsert_privacy(library["privacy"], canon["privacy"])
+    # what other entries' tables say of a merged one follows it
     merges = ids.select(F.explode("merged").alias("old_id"), F.col("entry_id").alias("new_id"))
-    if "entry_relation" in library:
-        out["entry_relation"] = remap_relations(library["entry_relation"], merges)
-    return out
+    return merge_entries(out, staged(merges, "merges"))
 
 
 def regroup(pairs: DataFrame, links: DataFrame, gone: DataFrame | None = None) -> DataFrame:

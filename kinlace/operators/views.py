@@ -114,7 +114,7 @@ def main_credits(sources: DataFrame, contributions: DataFrame, entries: DataFram
     artists = entries.filter("entry_type = 'artist'").select(F.col("entry_id").alias("artist_id"))
     met = sources.select(*PAIR, "entry_id").join(contributions.filter("main_artist"), PAIR).join(artist, ["artist_source", "artist_identifier"]).join(artists, "artist_id", "left_semi")
     position = F.get_json_object("extra", "$.position").cast("int")
-    return met.groupBy("entry_id", "artist_id").agg(F.min(position).alias("position")).orderBy("entry_id", F.asc_nulls_last("position"), "artist_id")
+    return met.groupBy("entry_id", "artist_id").agg(F.min(position).alias("position"))
 
 
 def credit_verdicts(credits: DataFrame) -> DataFrame:

@@ -149,6 +149,101 @@ def test_editions(spark):
             at = got[at]["parent_id"]
 
 
+def test_edition_ties_go_by_the_rows_own_entries(spark):
+    rel = [(50, 2, "live", 0.9, "user", True, None), (2, 3, "live", 0.9, "user", True, None), (1, 3, "different_song", 1.0, "user", True, None)]
+    ids = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (50, 1)], "entry_id long, component long")
+    got = {r["entry_id"]: r["group_id"] for r in graph.editions(spark.createDataFrame(rel, RELATION), ids).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_editions_name_any_entry_of_an_identity(spark):
+    """The derived side is told by an entry that another row brought into the identity, in a list of extras, with words in a list."""
+    extra = '[{"derived_entry": 60, "transformation": ["slow", "tv_size"]}, {"derived_entry": 60}, {"x": 1}]'
+    ids = spark.createDataFrame([(1, 1), (2, 2), (60, 2)], "entry_id long, component long")
+    got = {r["entry_id"]: r for r in graph.editions(spark.createDataFrame([(1, 2, "live", 0.5, "heuristic", True, extra)], RELATION), ids).collect()}
+    assert got[2]["fold_to"] == 1 and got[2]["rank_target"] == 1 and got[1]["original_id"] == 1 and got[2]["parent_id"] is None
+
+
+def test_folds_that_come_back(spark):
+    fold = lambda v, s, a, b: (a, b, "instrumental", 0.9, "provider", True, derived(v, s))
+    got = editions(spark, [fold(1, 2, 1, 2), fold(2, 3, 2, 3), fold(3, 1, 1, 3), fold(4, 1, 1, 4), fold(6, 5, 5, 6)])
+    assert [got[i]["rank_target"] for i in (1, 2, 3, 4, 5, 6)] == [1, 2, 3, 1, 5, 5]
+    # the way from the least version is 1, 2, 3 and back, so the last step of it goes
+    assert [got[i]["parent_id"] for i in (1, 2, 3, 4)] == [2, 3, None, 1]
+
+
+def test_focused_candidates_are_those_of_the_whole_that_touch_focus(spark):
+    rng = random.Random(3)
+    names = [" ".join(rng.choice(("blue", "red", "night", "light", "song", "river")) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    rows = [(i, "track", [n], [1000 * (i % 9)], [i % 5], [i % 4, i % 6, i % 7]) for i, n in enumerate(names)]
+    entries = spark.createDataFrame(rows, ENTRY)
+    focus = spark.createDataFrame([(3,), (17,)], "entry_id long")
+    got = {(r["a"], r["b"]): r["channels"] for r in blocking.candidates(entries, ngram_k=3, focus=focus).collect()}
+    whole = {(r["a"], r["b"]): r["channels"] for r in blocking.candidates(entries, ngram_k=3).collect()}
+    assert got and got == {p: c for p, c in whole.items() if {3, 17} & set(p)}
+
+
+def test_editions_of_whole_tables(spark):
+    """What the projection says of every group, pair and version, held against the rows themselves."""
+    import json
+
+    from comparing import DATA
+    from kinlace.functions import values as V
+    from kinlace.plans import resolution_queries as q
+
+    rel, ids = q._relations(spark, DATA), graph.identity(q._relations(spark, DATA), q._order_entries(spark, DATA))
+    canon = {r["entry_id"]: r["component"] for r in ids.collect()}
+    got = {r["entry_id"]: r for r in graph.editions(rel, ids).collect()}
+    assert set(got) == set(canon.values())
+    live = [r for r in rel.collect() if r["enabled"] and canon[r["entry_a"]] != canon[r["entry_b"]]]
+    ends = lambda r: (canon[r["entry_a"]], canon[r["entry_b"]])
+    group = {i: r["group_id"] for i, r in got.items()}
+    foes = {frozenset((group[a], group[b])) for a, b in map(ends, (r for r in live if r["kind"] == "different_song"))}
+    assert all(len(f) == 2 for f in foes)
+    rows = [r for r in live if r["kind"] in V.EDITION_KINDS]
+    assert rows and foes
+    inside = [r for r in rows if group[ends(r)[0]] == group[ends(r)[1]]]
+    # a row across groups is one that a foe refused, and groups hang together by the other rows
+    assert all(frozenset(group[e] for e in ends(r)) in foes for r in rows if r not in inside)
+    linked = components_of(list(got), [ends(r) for r in inside])
+    assert linked == group
+    rank = {"user": 0, "provider": 1, "heuristic": 2}
+    strength = lambda r: (rank[r["origin"]], -r["confidence"], sorted((r["entry_a"], r["entry_b"])), r["kind"])
+    told = {}
+    for r in sorted(inside, key=strength, reverse=True):
+        v = canon[json.loads(r["extra"])["derived_entry"]]
+        told[frozenset(ends(r))] = (v, next(e for e in ends(r) if e != v), r)
+    of = {}
+    for v, s, r in told.values():
+        of.setdefault(v, []).append((s, r))
+    level = {s: min(rank[r["origin"]] for _, s2, r in told.values() if s2 == s) for _, s, _ in told.values()}
+    for i, row in got.items():
+        folds = [s for s, r in of.get(i, ()) if r["kind"] == "instrumental"]
+        assert row["fold_to"] == min(folds, default=None)
+        originals = [(level[m], m) for m in got if group[m] == group[i] and m in level and m not in of]
+        assert row["original_id"] == (min(originals)[1] if originals else None)
+        assert row["default_id"] == row["original_id"] or not originals
+        trusted = [(rank[r["origin"]], -r["confidence"], s) for s, r in of.get(i, ()) if rank[r["origin"]] < 2 or r["kind"] == "instrumental"]
+        up = min(trusted)[2] if trusted else None
+        assert row["parent_id"] == (None if up == row["original_id"] else up)  # versions have later orders, so nothing comes back
+        at = i
+        while got[at]["fold_to"] is not None:
+            at = got[at]["fold_to"]
+        assert row["rank_target"] == at
+
+
+def components_of(nodes, edges):
+    label = {n: n for n in nodes}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            least = min(label[a], label[b])
+            moved |= (label[a], label[b]) != (least, least)
+            label[a] = label[b] = least
+    return label
+
+
 def test_region_depth(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     seeds = spark.createDataFrame([(1,)], "node long")
@@ -385,6 +480,31 @@ def test_import(spark):
     assert rows["youtube"]["duration_ms"] == 120 and rows["youtube"]["run_id"] == 1 and rows["spotify"]["entry_id"] == 1
     assert [r["name"] for r in out["entry_alias"].collect()] == ["new name"]
     assert out["entry"].count() == 1
+    # a link joins two entries: all that was said of the one that goes is said of the other
+    more = library | {
+        "entry": frame([(1, "track"), (2, "track"), (3, "track")], "id long, entry_type string"),
+        "entry_source": library["entry_source"].unionByName(frame([("spotify", sp, 2, 5, 100, 1), ("isrc", "x", 3, 5, 100, 1)], library["entry_source"].schema)),
+        "play_event": frame([(10, 2), (11, 1)], "id long, entry_id long"),
+        "entry_display_name": frame([(2, "two")], "entry_id long, name string"),
+        "dedup_block_key": frame([(2, "k"), (1, "k")], "entry_id long, block_key string"),
+        "entry_relation": frame([(1, 2, "live", 0.9, "user", True, None), (2, 3, "live", 0.9, "user", True, derived(2, 3))], RELATION),
+        "pair_link": frame([("youtube", yt, "isrc", "x")], "a_source string, a_identifier string, b_source string, b_identifier string"),
+        "image": frame([("youtube", yt, "fetch", "a")], "source string, identifier string, origin string, url string"),
+        "privacy": frame([("youtube", yt, "private", None, 1)], "source string, identifier string, provider string, manual string, checked_at long"),
+    }
+    landed |= {
+        "images": frame([("youtube", yt, "listing", "b"), ("spotify", sp, "listing", "c")], "source string, identifier string, origin string, url string"),
+        "privacy": frame([("youtube", yt, "public", None, 2)], "source string, identifier string, provider string, manual string, checked_at long"),
+    }
+    out = resolve.resolve_import(more, landed, 2)
+    assert {r["source"]: r["entry_id"] for r in out["entry_source"].collect()} == {"youtube": 1, "spotify": 1, "isrc": 3}
+    assert {r["id"] for r in out["entry"].collect()} == {1, 3} and {r["entry_id"] for r in out["play_event"].collect()} == {1}
+    assert out["entry_display_name"].collect()[0]["entry_id"] == 1 and out["dedup_block_key"].count() == 1
+    rel = out["entry_relation"].collect()
+    assert [(r["entry_a"], r["entry_b"]) for r in rel] == [(1, 3)] and '"derived_entry":1' in rel[0]["extra"].replace(" ", "")
+    assert {r["b_source"] for r in out["pair_link"].collect()} == {"spotify"}  # the video states no other link any more
+    assert {(r["source"], r["url"]) for r in out["image"].collect()} == {("youtube", "a"), ("spotify", "c")}
+    assert out["privacy"].collect()[0]["provider"] == "public"
 
 
 def test_regroup(spark):
