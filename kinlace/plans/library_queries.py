@@ -285,13 +285,13 @@ def reached_tracks(spark, d):
 
 
 @query(
-    """SELECT DISTINCT l_orderkey AS entry_id, l_partkey AS other_id, 'contains' AS why FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000)
-    UNION SELECT DISTINCT l_partkey, l_orderkey, 'contained_in' FROM lineitem WHERE l_partkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000)"""
+    """SELECT DISTINCT l_orderkey AS entry_id, l_partkey AS other_id, 'contains' AS why FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+    UNION SELECT DISTINCT l_partkey, l_orderkey, 'contained_in' FROM lineitem WHERE l_partkey IN (SELECT o_orderkey FROM orders)"""
 )
 def suggestions(spark, d):
     edges = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent_id"), F.col("l_partkey").alias("child_id"))
     none = spark.createDataFrame([], "entry_a long, entry_b long, kind string, enabled boolean")
-    return views.suggestions(edges, none, t(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_orderkey").alias("entry_id")))
+    return views.suggestions(edges, none, t(spark, d, "orders").select(F.col("o_orderkey").alias("entry_id")))
 
 
 @query("SELECT p_partkey AS entry_id FROM part WHERE p_name NOT LIKE 'small%' OR p_brand <> 'Brand#2'")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinlace.functions import text, urls
 from kinlace.functions import values as V
 from kinlace.operators import blocking, graph, knn, match, resolve, rules, scoring
+from kinlace.operators.staging import staged
 from kinlace.plans.registry import query, t
 
 _NONE = "array<bigint>"
@@ -211,11 +212,37 @@ def clean_title(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(text.clean_title_main(F.col("text")).cast("binary")).alias("main"))
 
 
-@query()
+def _version_sql() -> str:
+    """Macros and lists over whole texts, from the same fixed values."""
+    blank = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    strip = lambda x: f"regexp_replace({x}, '^[{blank}]+|[{blank}]+$', '', 'g')"
+    inner = "x[2:length(x) - 1]"
+    held = ", ".join(f"CASE WHEN contains(low, '{t}') THEN '{m}' END" for t, m in text.VERSION_RULES.items())
+    some = lambda items: f"[{strip('x')} FOR x IN {items} IF {strip('x')} <> '']"
+    cut = " ".join(f"WHEN len({some(chr(39).join(('string_split(body, ', sep, ')')))}) > 1 THEN {some(chr(39).join(('string_split(body, ', sep, ')')))}" for sep in text.VIDEO_SEPARATORS)
+    noise = ", ".join(f"'{w}'" for w in text.VIDEO_NOISE)
+    word = r"([\p{L}\p{N}_]+)\s+ver"
+    return f"""WITH a AS (
+      SELECT doc_id, text, regexp_replace(text, '{text._NOT_LIVE}', '', 'g') AS title, {strip(f"regexp_replace(text, '{text._VIDEO_BRACKETS}', ' ', 'g')")} AS body FROM documents
+    ), b AS (
+      SELECT *, lower(title) AS low, CASE {cut} ELSE [body] END AS outside,
+        [{strip(inner)} FOR x IN regexp_extract_all(text, '{text._VIDEO_BRACKETS}') IF {strip(inner)} <> ''] AS inside FROM a
+    ), c AS (
+      SELECT *, [x FOR x IN list_concat(outside, inside) IF lower(x) NOT IN ({noise})] AS plain,
+        list_concat([{held}],
+          [nullif('named:' || regexp_extract(lower({inner}), '{word}(?:sion|\\.)?$', 1), 'named:') FOR x IN regexp_extract_all(title, '{text._IN_BRACKETS}')],
+          [coalesce(nullif('named:' || regexp_extract(lower(x), '{word}\\.?$', 1), 'named:'), 'variant') FOR x IN regexp_extract_all(title, '{text._IN_HYPHENS}', 1)]) AS found FROM b
+    ) SELECT doc_id, array_to_string(list_sort(list_distinct([x FOR x IN found IF x IS NOT NULL])), ' ') AS versions,
+      length(CASE WHEN regexp_extract(text, '{text._CORNERS}', 1) <> '' THEN {strip(f"regexp_extract(text, '{text._CORNERS}', 1)")}
+        ELSE coalesce([x FOR x IN plain IF NOT regexp_matches(lower(x), '{text._VIDEO_MODIFIER}') AND NOT regexp_matches(x, '{text._VIDEO_CREDIT}')][1], plain[1], '') END) AS main_chars
+    FROM c"""
+
+
+@query(_version_sql())
 def version_markers(spark, d):
     """Version markers and the song's name of every document, read as a video title."""
     docs = t(spark, d, "documents")
-    return docs.select("doc_id", text.version_tokens("text").alias("versions"), F.length(text.video_title_main("text")).alias("main_chars"))
+    return docs.select("doc_id", text.version_tokens(F.col("text")).alias("versions"), F.length(text.video_title_main(F.col("text"))).alias("main_chars"))
 
 
 # --- graphs -----------------------------------------------------------------------------------------------
@@ -280,11 +307,18 @@ def constrained_components(spark, d):
     return graph.constrained_components(edges.select("a", "b", "lang"), cannot, ["lang"], docs.select(F.col("doc_id").alias("node")))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT lag(o_orderkey) OVER w AS s, o_orderkey AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+        QUALIFY s IS NOT NULL AND o_orderpriority = '2-HIGH' AND lag(o_orderstatus) OVER w <> o_orderstatus),
+    up AS (SELECT d AS entry_id, string_agg(DISTINCT s::VARCHAR, ',' ORDER BY s::VARCHAR) AS originals FROM r GROUP BY 1),
+    down AS (SELECT s AS entry_id, string_agg(DISTINCT d::VARCHAR, ',' ORDER BY d::VARCHAR) AS derivatives FROM r GROUP BY 1)
+    SELECT entry_id, coalesce(originals, '') AS originals, coalesce(derivatives, '') AS derivatives FROM up FULL JOIN down USING (entry_id)"""
+)
 def directed_neighbours(spark, d):
     rel = _relations(spark, d)
     none = _order_entries(spark, d).select("entry_id", F.col("entry_id").alias("component"))
-    return graph.directed_neighbours(rel, none)
+    listed = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",").alias(c)
+    return graph.directed_neighbours(rel, none).select("entry_id", listed("originals"), listed("derivatives"))
 
 
 @query(
@@ -445,26 +479,27 @@ def original_anchors(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 490000)
+    """WITH e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
     SELECT a, b, CASE WHEN b > 10 THEN b ELSE a END AS derived FROM e"""
 )
 def derived_sides(spark, d):
-    e = t(spark, d, "orders").filter("o_totalprice > 490000").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    e = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     derived, _ = scoring.resolved_side(F.col("a"), F.col("b"), F.when(F.col("b") > 10, "b").otherwise("a"))
     return e.select("a", "b", derived.alias("derived"))
 
 
 @query()
 def resolved_import(spark, d):
-    """Suppliers are known pairs of their nation's entry; parts' lines state links between them and parts."""
-    s, line = t(spark, d, "supplier"), t(spark, d, "lineitem").filter("l_quantity > 49 AND l_discount = 0.0")
+    """Suppliers are known pairs of their nation's entry; all lines state links between them and parts."""
+    s, line = t(spark, d, "supplier"), t(spark, d, "lineitem")
     name = lambda c: F.col(c).cast("string")
     pairs = s.select(F.lit("supplier").alias("source"), name("s_suppkey").alias("identifier")).unionByName(line.select(F.lit("part").alias("source"), name("l_partkey").alias("identifier"))).distinct()
     links = line.select(F.lit("part").alias("a_source"), name("l_partkey").alias("a_identifier"), F.lit("supplier").alias("b_source"), name("l_suppkey").alias("b_identifier")).distinct()
     existing = s.select(F.lit("supplier").alias("source"), name("s_suppkey").alias("identifier"), F.col("s_nationkey").cast("long").alias("entry_id")).filter("entry_id < 10")
-    anchors = s.filter("s_acctbal > 9000").select(F.lit("supplier").alias("source"), name("s_suppkey").alias("identifier"), name("s_nationkey").alias("anchor"))
-    classes = resolve.labelled_classes(pairs, links, existing, anchors)
-    return resolve.assign_entries(classes, existing).select(F.col("class_id.s").alias("source"), F.col("class_id.i").alias("identifier"), "entry_id", F.size("merged").alias("merged"))
+    anchors = s.filter("s_acctbal > 0").select(F.lit("supplier").alias("source"), name("s_suppkey").alias("identifier"), name("s_nationkey").alias("anchor"))
+    classes = staged(resolve.labelled_classes(pairs, links, existing, anchors), "classes")
+    ids = resolve.assign_entries(classes, existing).select("class_id", "entry_id", F.size("merged").alias("merged"))
+    return classes.join(ids, "class_id").select("source", "identifier", "entry_id", "merged")
 
 
 @query()
