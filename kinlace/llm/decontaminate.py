@@ -7,9 +7,10 @@ sides keep it: no shared window is missed. Fingerprints of a document are joined
 benchmark, and each hit is extended to all the windows that hold it, which are compared word by word.
 
 The benchmark's index is broadcast in blocks of at most `BLOCK_BYTES` of item text, its size checked
-first. Documents pass all blocks one after the other, and hits of several blocks are united, so a
-benchmark of any size is matched whole and the memory of a task stays bounded. No document leaves its
-partition, so copies and hot passages move no work between tasks.
+first. All documents are held against each block. With several blocks, documents are written once with a
+row number, each block writes the rows that it hits, and only these are united and joined back, so a
+benchmark of any size is matched whole and the memory of a task stays bounded. Texts don't move to meet
+fingerprints, so copies and hot passages move no work between tasks.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no window;
 an item that stands there twice counts once (by item_id; a null one is the id ''); repeated documents
@@ -19,9 +20,13 @@ each get their row; an empty benchmark contaminates nothing; words are compared
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,37 +149,70 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col:
         yield Index(got.column("item").to_pylist(), got.column("text").combine_chunks()), n
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of documents, n_words, n_hit, hit_words (numbers of the words that are hit) and items."""
-    spark, names = documents.sparkSession, [c for c in documents.columns if c not in ("n_words", "n_hit", "hit_words", "items")]
-    keyed = documents.select(*names, F.array().cast("array<int>").alias("__h"), F.array().cast("array<string>").alias("__i"))
-    out = None
-    for index, n in benchmark_blocks(benchmark, block_bytes=block_bytes):
-        if out is not None:  # the index before goes; only one block is held at a time
-            keyed = saved(out.select(*names, F.col("hit_words").alias("__h"), F.col("items").alias("__i")), scratch(spark, "contamination"))
-        shared = spark.sparkContext.broadcast(index)
-
-        def work(texts: pa.Array, shared=shared) -> list[pa.Array]:
-            found = shared.value.scan(texts)
-            return [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1].tolist() for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.list_(pa.string()))]
-
-        made = annotate(keyed, text_col, work, "n_words long, __hits array<int>, __items array<string>")
-        hits, items = F.col("__hits"), F.col("__items")
-        if n > 1:
-            hits, items = F.array_union("__h", hits), F.array_union("__i", items)
-        out = made.select(*names, "n_words", F.size(hits).cast("long").alias("n_hit"), F.array_sort(hits).alias("hit_words"), F.array_sort(items).alias("items"))
+def _scanned(docs: DataFrame, text_col: str, index: Index, tag: str = "__") -> tuple[DataFrame, Broadcast]:
+    """docs with words, hits and items of one block, tag before their names; the broadcast is the caller's to give back."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        found = shared.value.scan(texts)
+        return [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1].tolist() for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.list_(pa.string()))]
+
+    return annotate(docs, text_col, work, f"{tag}words long, {tag}hits array<int>, {tag}items array<string>"), shared
+
+
+def _hits_of_blocks(rows: DataFrame, blocks: Iterator[tuple[Index, int]], folder: str) -> list[DataFrame]:
+    """Of each block: row, __words, __hits, __items of the rows that it hits (the first block: of all). rows: row, text."""
+    out = []
+    for k, (index, _) in enumerate(blocks):  # the block before has gone; only one is held at a time
+        made, shared = _scanned(rows, "text", index)
+        made = made.select("row", "__words", "__hits", "__items")
+        out.append(saved(made.filter("size(__hits) > 0") if k else made, f"{folder}/block-{k}"))
+        shared.destroy()
     return out
 
 
+def _numbered(documents: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """documents with a row number, written once, as (d: all columns, row); its texts (row, text); and the folder."""
+    folder = scratch(documents.sparkSession, "decontaminate")
+    whole = saved(documents.select(F.struct(*documents.columns).alias("d"), F.monotonically_increasing_id().alias("row")), f"{folder}/documents")
+    return whole, whole.select("row", F.col("d").getField(text_col).cast("string").alias("text")), folder
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns of documents, n_words, n_hit, hit_words (numbers of the words that are hit) and items. A column of
+    documents that has one of these names is left out."""
+    blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
+    first, n = next(blocks)
+    new = ("n_words", "n_hit", "hit_words", "items")
+    names = [c for c in documents.columns if c not in new]
+    if n == 1:
+        tag = "__"
+        while any(c.startswith(tag) for c in names):
+            tag += "_"
+        found, _ = _scanned(documents.select(*names), text_col, first, tag)
+        words, hits, items, kept = F.col(f"{tag}words"), F.col(f"{tag}hits"), F.col(f"{tag}items"), [F.col(c) for c in names]
+    else:
+        rows, texts, folder = _numbered(documents.select(*names), text_col)
+        parts = _hits_of_blocks(texts, chain([(first, n)], blocks), folder)
+        # only the rows that are hit are united; each has as many rows here as blocks that hit it
+        united = reduce(DataFrame.unionByName, [p.filter("size(__hits) > 0") for p in parts]).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("__hits"))).alias("__hits"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+        found = rows.join(parts[0].select("row", "__words"), "row").join(united, "row", "left")
+        words, hits, items = F.col("__words"), F.coalesce("__hits", F.array().cast("array<int>")), F.coalesce("__items", F.array().cast("array<string>"))
+        kept = [F.col("d").getField(c).alias(c) for c in names]
+    return found.select(*kept, words.alias("n_words"), F.size(hits).cast("long").alias("n_hit"), F.array_sort(hits).alias("hit_words"), F.array_sort(items).alias("items"))
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of documents without any hit, with their own columns only."""
-    spark = documents.sparkSession
-    for k, (index, _) in enumerate(benchmark_blocks(benchmark, block_bytes=block_bytes)):
-        if k:  # the index before goes; only one block is held at a time
-            documents = saved(documents, scratch(spark, "decontaminated"))
-        shared = spark.sparkContext.broadcast(index)
-        documents = filtered(documents, text_col, lambda texts, shared=shared: np.array([not len(x[1]) for x in shared.value.scan(texts)], dtype=bool))
-    return documents
+    blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
+    first, n = next(blocks)
+    if n == 1:
+        shared = documents.sparkSession.sparkContext.broadcast(first)
+        return filtered(documents, text_col, lambda texts: np.array([not len(x[1]) for x in shared.value.scan(texts)], dtype=bool))
+    rows, texts, folder = _numbered(documents, text_col)
+    parts = _hits_of_blocks(texts, chain([(first, n)], blocks), folder)
+    gone = reduce(DataFrame.unionByName, [p.filter("size(__hits) > 0").select("row") for p in parts])
+    return rows.join(gone, "row", "left_anti").select(*[F.col("d").getField(c).alias(c) for c in documents.columns])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,11 +52,11 @@ def test_no_window_is_missed(items, texts):
 def test_blocks(spark, block):
     items = [(i, " ".join(f"w{(i * 3 + j) % 50}" for j in range(12))) for i in range(20)] + [(77, "short one"), (78, None), (79, "..."), (77, "short one")]
     texts = [(1, " ".join(f"w{j % 50}" for j in range(120))), (2, "a short One, here"), (3, None), (4, ""), (2, "a short One, here"), (5, "none")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("items", F.lit("x")).withColumn("__h", F.lit(1))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("items", F.lit("x")).withColumn("__h", F.lit(1)).withColumn("__hits", F.lit(2)).withColumn("row", F.lit(3)).withColumn("d", F.lit(4))
     bench = spark.createDataFrame(items, "item_id long, text string")
     listed = [(str(i), t) for i, t in items]
-    got = d.contamination(docs.drop("__h"), bench, block_bytes=block).collect()
-    assert len(got) == 6
+    got = d.contamination(docs, bench, block_bytes=block).collect()
+    assert len(got) == 6 and {(r["__h"], r["__hits"], r["row"], r["d"]) for r in got} == {(1, 2, 3, 4)}
     for r in got:
         n, hit, found = brute(r["text"], listed)
         assert (r["n_words"], r["n_hit"], r["hit_words"], r["items"]) == (n, len(hit), hit, found)
