@@ -27,7 +27,7 @@ def test_decisions_take_effect(spark, steps):
     by = dict(steps)
     ids = lambda df: {r["doc_id"] for r in df.collect()}
     docs = table(spark, SMALL, "documents")
-    kept = ids(quality_rules.quality_report(docs).filter("kept"))
+    kept = ids(quality_rules.quality_report(docs, quality_rules.CLEAN_BANDS).filter("kept"))
     assert ids(by["quality_rules"]) == kept
     classes = near_dup.near_duplicate_classes(by["quality_rules"])
     assert ids(by["near_duplicates"]) == ids(classes.filter("doc_id = class_id"))
