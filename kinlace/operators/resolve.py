@@ -174,57 +174,84 @@ def labelled_classes(pairs: DataFrame, links: DataFrame, existing: DataFrame, an
     """source, identifier, class_id (the least pair of the class).
 
     Pairs with one anchor are one class, and classes of different anchors never meet; links unite in sorted order, then
-    pairs of one existing entry. Only components that hold two anchors are gone through link by link.
-    links: a_source, a_identifier, b_source, b_identifier; existing: PAIR, entry_id; anchors: PAIR, anchor."""
+    pairs of one existing entry. A link is refused if both its classes have anchors by then, so what unites is the least spanning
+    forest of the links once all anchors are one node; `_least_forest` finds it by joins, however large a component is.
+    links: a_source, a_identifier, b_source, b_identifier; existing: PAIR, entry_id; anchors: PAIR, anchor. A link's end that is
+    none of pairs unites others, but has no row."""
     key = lambda s, i: F.struct(F.col(s).alias("s"), F.col(i).alias("i"))
-    nodes = pairs.select(*PAIR).distinct().withColumn("node", key("source", "identifier"))
     fresh = links.select(key("a_source", "a_identifier").alias("a"), key("b_source", "b_identifier").alias("b")).filter("a <> b")
     fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("turn"))
     first = existing.groupBy("entry_id").agg(F.min(key("source", "identifier")).alias("a"))
     old = existing.join(first, "entry_id").select("a", key("source", "identifier").alias("b"), F.lit(2).alias("turn")).filter("a <> b")
-    head = anchors.groupBy("anchor").agg(F.min(key("source", "identifier")).alias("a"))
-    forced = anchors.join(head, "anchor").select("a", key("source", "identifier").alias("b"), F.lit(0).alias("turn")).filter("a <> b")
-    edges = staged(fresh.unionByName(old).unionByName(forced).distinct(), "links")
-    free = staged(components(edges.select("a", "b"), nodes.select("node")), "classes")
-    label = anchors.select(key("source", "identifier").alias("node"), "anchor")
-    marked = free.join(label, "node").groupBy("component").agg(F.collect_set("anchor").alias("anchors"), F.collect_list(F.struct("node", "anchor")).alias("labels"))
-    torn = staged(marked.filter(F.size("anchors") > 1).select("component", "labels"), "torn")
-    rows = edges.join(free.toDF("a", "component"), "a").join(torn.select("component"), "component", "left_semi")
-    packed = rows.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("turn", "a", "b"))).alias("edges")).join(torn, "component")
-    members = free.join(torn.select("component"), "component", "left_semi").groupBy("component").agg(F.collect_list("node").alias("members"))
-    kind = free.schema["node"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for g in pdf.itertuples():
-                t = lambda x: (x["s"], x["i"])
-                parent = {t(m): t(m) for m in g.members}
-                anchor = {t(x["node"]): x["anchor"] for x in g.labels}
-
-                def find(x):
-                    while parent[x] != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-
-                for e in g.edges:
-                    a, b = find(t(e["a"])), find(t(e["b"]))
-                    if a == b:
-                        continue
-                    la, lb = anchor.get(a), anchor.get(b)
-                    if e["turn"] and la is not None and lb is not None and la != lb:
-                        continue  # refused: the link is dropped
-                    root, gone = min(a, b), max(a, b)
-                    parent[gone] = root
-                    if la is not None or lb is not None:
-                        anchor[root] = la if la is not None else lb
-                out += [({"s": x[0], "i": x[1]}, {"s": find(x)[0], "i": find(x)[1]}) for x in parent]
-            yield pd.DataFrame(out, columns=["node", "component"])
-
-    solved = packed.join(members, "component").mapInPandas(run, f"node {kind}, component {kind}")
-    easy = free.join(torn.select("component"), "component", "left_anti").select("node", "component")
-    return easy.unionByName(solved).select("node.s", "node.i", F.col("component").alias("class_id")).toDF("source", "identifier", "class_id")
+    edges = staged(fresh.unionByName(old), "links")
+    held = anchors.filter("anchor IS NOT NULL").select(key("source", "identifier").alias("node"), "anchor").distinct()
+    parts = [pairs.select(key("source", "identifier").alias("node"), F.lit(True).alias("asked")), *(x.withColumn("asked", F.lit(False)) for x in (edges.select(F.col("a").alias("node")), edges.select(F.col("b").alias("node")), held.select("node")))]
+    nodes = staged(numbered(reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.max("asked").alias("asked")), "node"), "nodes")
+    held = staged(held.join(nodes, "node").select("n", "anchor"), "anchors")
+    stars = held.join(held.groupBy("anchor").agg(F.min("n").alias("a")), "anchor").select("a", F.col("n").alias("b"))
+    fixed = staged(components(stars, held.select(F.col("n").alias("node"))), "fixed")  # a pair of several anchors makes them one
+    nodes = staged(nodes.join(fixed.toDF("n", "home"), "n", "left"), "placed")
+    end = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("home").alias(f"h{x}"))
+    rows = edges.join(end("a"), "a").join(end("b"), "b").filter("ha IS NULL OR hb IS NULL").select("turn", F.col("na").alias("lo"), F.col("nb").alias("hi"), "ha", "hb")
+    free = nodes.filter("home IS NULL").select("n", F.col("n").alias("part"))
+    placed = _least_forest(free, staged(rows, "edges")).unionByName(nodes.filter("home IS NOT NULL").select("n", F.col("home").alias("part")))
+    placed = staged(placed, "parts")
+    least = placed.groupBy("part").agg(F.min("n").alias("n")).join(nodes.select("n", F.col("node").alias("class_id")), "n").select("part", "class_id")
+    out = nodes.filter("asked").select("n", "node").join(placed, "n").join(least, "part")
+    return out.select("node.s", "node.i", "class_id").toDF("source", "identifier", "class_id")
+
+
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """rows with n, a long that ascends with the column by: ranks within ranges, and the ranges' offsets."""
+    part = staged(rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = part.groupBy("__part").agg(F.count("*").alias("__size"))  # a row for each task
+    before = sums.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(by))
+    return part.withColumn("__rank", rank).join(before, "__part").withColumn("n", F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before", "__size")
+
+
+def _least_forest(free: DataFrame, edges: DataFrame) -> DataFrame:
+    """n, part: the parts of free nodes (n, part, each its own) that the least spanning forest of edges makes.
+
+    edges: turn, lo, hi (the ends' numbers; edges go in the order of these three), ha, hb (the fixed part that an end is in, or null).
+    Each part that isn't fixed takes its least edge that leads out, which the forest has in any case; parts of one chain of such edges
+    become one, so their number halves at least with each round. All fixed parts are one node of the forest: of a part's edges to
+    them only the least can count, and edges between them go."""
+    rank = ["turn", "lo", "hi"]
+    least = lambda rows, to: rows.groupBy("u").agg(F.min(F.struct(*rank, *to)).alias("e")).select("u", "e.*")
+    rooted = edges.filter("ha IS NOT NULL OR hb IS NOT NULL").select(*rank, F.when(F.col("ha").isNull(), F.col("lo")).otherwise(F.col("hi")).alias("u"), F.coalesce("ha", "hb").alias("v"))
+    rooted = staged(least(rooted, ["v"]), "rooted")
+    loose = edges.filter("ha IS NULL AND hb IS NULL").select(*rank, F.col("lo").alias("u"), F.col("hi").alias("v"))
+    loose = staged(loose, "loose")
+    parts = free
+    while True:
+        out = [rooted.withColumn("fixed", F.lit(True)), *(loose.select(*rank, F.col(x).alias("u"), F.col(y).alias("v"), F.lit(False).alias("fixed")) for x, y in ("uv", "vu"))]
+        picks = staged(least(reduce(DataFrame.unionByName, out), ["v", "fixed"]).select("u", "v", "fixed"), "picks")
+        if picks.isEmpty():
+            return parts
+        tops = staged(_tops(picks), "tops")
+        parts = staged(parts.join(tops.select(F.col("u").alias("part"), "top"), "part", "left").select("n", F.coalesce("top", "part").alias("part")), "free")
+        # a part with an edge has a pick, and so a top
+        end = lambda x: tops.select(F.col("u").alias(x), F.col("top").alias(f"t{x}"), F.col("fixed").alias(f"f{x}"))  # noqa: B023, E731
+        kept = rooted.join(end("u"), "u").filter("NOT fu").select(*rank, F.col("tu").alias("u"), "v")
+        moved = staged(loose.join(end("u"), "u").join(end("v"), "v").filter("tu <> tv AND NOT (fu AND fv)").select(*rank, "tu", "tv", "fu", "fv"), "moved")
+        met = moved.filter("fu OR fv").select(*rank, F.when(F.col("fu"), F.col("tv")).otherwise(F.col("tu")).alias("u"), F.when(F.col("fu"), F.col("tu")).otherwise(F.col("tv")).alias("v"))
+        rooted = staged(least(kept.unionByName(met), ["v"]), "rooted")
+        both = moved.filter("NOT fu AND NOT fv").groupBy(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v"))
+        loose = staged(both.agg(F.min(F.struct(*rank)).alias("e")).select("e.*", "u", "v"), "loose")
+
+
+def _tops(picks: DataFrame) -> DataFrame:
+    """u, top, fixed: where the chain of picks (u, v, fixed: v is a fixed part) from u ends. Two parts that pick each other end at the lesser."""
+    back = picks.filter("NOT fixed").select(F.col("u").alias("v"), F.col("v").alias("u"), F.lit(True).alias("mutual"))
+    ends = F.coalesce("mutual", F.lit(False)) & (F.col("u") < F.col("v"))
+    tops = picks.join(back, ["u", "v"], "left").select("u", F.when(ends, F.col("u")).otherwise(F.col("v")).alias("top"), "fixed", (F.col("fixed") | ends).alias("done"))
+    tops = staged(tops, "chains")
+    while not (going := tops.filter("NOT done")).isEmpty():  # each round doubles the way
+        ahead = tops.select(F.col("u").alias("top"), F.col("top").alias("next"), F.col("fixed").alias("f"), F.col("done").alias("d"))
+        on = going.join(ahead, "top").select("u", F.col("next").alias("top"), F.col("f").alias("fixed"), F.col("d").alias("done"))
+        tops = staged(tops.filter("done").unionByName(on), "chains")
+    return tops.select("u", "top", "fixed")
 
 
 def assign_entries(classes: DataFrame, existing: DataFrame, runs: DataFrame | None = None, preferred: DataFrame | None = None) -> DataFrame:

@@ -440,6 +440,56 @@ def test_labelled_classes(spark):
     assert labelled(spark, [], [("a", "x"), ("b", "y")], [("a", 1), ("b", 1)]) == {"a": "a", "b": "b"}
 
 
+def one_by_one(links, anchors, existing):
+    """labelled_classes in plain Python: forced unions, then links, then existing entries, each in sorted order."""
+    names = {x for l in links for x in l} | {a for a, _ in anchors} | {e for e, _ in existing}
+    parent = {x: x for x in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    groups, held = {}, {a for a, _ in anchors}
+    for x, a in sorted(anchors):
+        parent[find(x)] = find(groups.setdefault(a, x))
+    old = {}
+    for x, e in sorted(existing):
+        old.setdefault(e, []).append(x)
+    for a, b in [*sorted({(min(l), max(l)) for l in links}), *sorted((xs[0], x) for xs in old.values() for x in xs[1:])]:
+        a, b = find(a), find(b)
+        if a != b and not ({find(x) for x in held} >= {a, b}):
+            parent[a] = b
+    least = {}
+    for x in sorted(names):
+        least.setdefault(find(x), x)
+    return {x: least[find(x)] for x in names}
+
+
+def test_labelled_classes_of_one_component_are_those_of_single_steps(spark):
+    rng = random.Random(5)
+    for n, m, k in ((12, 14, 3), (60, 70, 4)):
+        names = [f"{i:02d}" for i in range(n)]
+        rng.shuffle(names)
+        links = [(rng.choice(names), rng.choice(names)) for _ in range(m)] + list(itertools.pairwise(sorted(names)[n // 2 :]))
+        anchors = [(x, f"x{rng.randrange(k)}") for x in rng.sample(names, k + 3)]
+        anchors.append((anchors[0][0], "also"))  # a pair of two anchors
+        existing = [(x, rng.randrange(4)) for x in rng.sample(names, n // 3)]
+        assert labelled(spark, links, anchors, existing) == one_by_one(links, anchors, existing)
+
+
+def test_labelled_classes_put_no_component_in_one_row(spark):
+    p = "source string, identifier string"
+    pairs = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "d")], p)
+    # c is a link's end that is none of the pairs
+    links = spark.createDataFrame([("s", "a", "s", "c"), ("s", "c", "s", "b"), ("s", "b", "s", "d")], "a_source string, a_identifier string, b_source string, b_identifier string")
+    anchors = spark.createDataFrame([("s", "a", "x"), ("s", "d", "y")], p + ", anchor string")
+    out = resolve.labelled_classes(pairs, links, spark.createDataFrame([], p + ", entry_id long"), anchors)
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInPandas" not in plan
+    assert {r["identifier"]: r["class_id"]["i"] for r in out.collect()} == {"a": "a", "b": "a", "d": "d"}
+
+
 def test_assigned_entries(spark):
     p = "source string, identifier string"
     classes = spark.createDataFrame([("s", "a", ("s", "a")), ("s", "b", ("s", "a")), ("s", "c", ("s", "c")), ("s", "d", ("s", "d"))], p + ", class_id struct<s:string,i:string>")
