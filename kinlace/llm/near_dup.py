@@ -14,8 +14,8 @@ round, links between texts become links between classes, so what is joined in th
 
 What several classes then still share is compared in full. Buckets with the same least text are one
 bundle, and all pairs of a bundle that are of unlike classes and whose lengths allow a link are compared:
-a bundle of many texts is dealt by length and salt into blocks, and each task compares two blocks, first by
-the words that two texts can have in common at most. So texts that share a sketch are parted only by an
+a bundle of many texts is dealt by length into blocks, and each task compares two blocks of lengths that allow
+a link, first by the words that two texts can have in common at most. So texts that share a sketch are parted only by an
 alignment or a bound on it, never by the choice of a leader, and no bucket is capped or dropped. Rounds are
 written to the shared folder.
 
@@ -53,6 +53,10 @@ BLOCK_WORDS = 1 << 22
 LEADER_PAIRS = 512
 #: Most bytes of the word counts of a task's texts.
 COUNT_BYTES = 64 << 20
+#: Bytes of text that are looked at together; passes over them hold some 40 bytes for each.
+SLICE_BYTES = 1 << 20
+#: Bytes of word counts that are looked at together.
+COUNT_STEP = 1 << 20
 
 _U = np.uint64
 
@@ -142,7 +146,7 @@ def sketches(documents: DataFrame, text_col: str, k: int, l: int, n_sketches: in
     """documents with n_words, h1, h2, sketches array<long>."""
 
     def work(texts: pa.Array) -> list[pa.Array]:
-        parts = [sketch_slice(s, k, l, n_sketches) for s in tk.slices(texts, lower=True)]
+        parts = [sketch_slice(s, k, l, n_sketches) for s in tk.slices(texts, lower=True, limit=SLICE_BYTES)]
         if not parts:
             return [pa.array([], pa.int64())] * 3 + [pa.array([], pa.list_(pa.int64()))]
         cat = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
@@ -161,7 +165,7 @@ def sequences(texts: DataFrame, wanted: tk.KeyFilter, twice: dict[int, int]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, out = [np.zeros(0, dtype=np.int64)], []
-            for s in tk.slices(batch.column(0), lower=True):
+            for s in tk.slices(batch.column(0), lower=True, limit=SLICE_BYTES):
                 starts, ends, rows = s.words(tk.ALNUM_WORDS)
                 if not len(rows):
                     continue
@@ -275,6 +279,12 @@ def edit_limit(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
+def _release(group: pa.Table) -> None:
+    """A worker is kept after its groups, with what large ones took."""
+    if group.nbytes > COUNT_STEP:
+        tk.release()
+
+
 def _align(ends: DataFrame, similarity: float) -> DataFrame:
     """a, b, la, lb, linked. ends: a, salt (a group), node, la, lb, seq; a group's leader is the row whose node is a."""
 
@@ -287,6 +297,7 @@ def _align(ends: DataFrame, similarity: float) -> DataFrame:
             y = np.frombuffer(q.as_py(), "<u4")
             limit = edit_limit(max(len(lead), len(y)), similarity)
             linked.append(banded_distance(lead, y, limit) <= limit)
+        _release(t)
         return pa.table({"a": others.column("a"), "b": others.column("node"), "la": others.column("la"), "lb": others.column("lb"), "linked": pa.array(linked, pa.bool_())})
 
     return ends.groupBy("a", "salt").applyInArrow(run, "a long, b long, la long, lb long, linked boolean")
@@ -327,7 +338,8 @@ def block_links(labels: list, seqs: list[np.ndarray], left: np.ndarray, right: n
         others, longer = (x[(classes[others] != classes[i]) & (np.minimum(size[others], size[i]) >= longer)] for x in (others, longer))
         if not len(others):
             continue
-        common = np.minimum(counts[others], counts[i]).sum(axis=1, dtype=np.int64)
+        step = max(COUNT_STEP // (counts.shape[1] * counts.itemsize), 1)
+        common = np.concatenate([np.minimum(counts[others[k : k + step]], counts[i]).sum(axis=1, dtype=np.int64) for k in range(0, len(others), step)])
         for j in others[common >= longer].tolist():
             if find(labels[i]) == find(labels[j]):
                 continue
@@ -339,19 +351,20 @@ def block_links(labels: list, seqs: list[np.ndarray], left: np.ndarray, right: n
 
 
 def _links(blocks: DataFrame, similarity: float) -> DataFrame:
-    """la, lb: the labels that block_links joins. blocks: bundle, p, i, q, j (the two blocks), place, salt (the text's own), label, seq."""
+    """la, lb: the labels that block_links joins. blocks: bundle, p, q (two blocks), block (the text's own), label, seq."""
 
     def run(t: pa.Table) -> pa.Table:
-        p, i, q, j = (t.column(c)[0].as_py() for c in ("p", "i", "q", "j"))
-        place, salt = t.column("place").to_numpy(), t.column("salt").to_numpy()
-        left = np.flatnonzero((place == p) & (salt == i))
-        right = left if (p, i) == (q, j) else np.flatnonzero((place == q) & (salt == j))
+        p, q = (t.column(c)[0].as_py() for c in "pq")
+        block = t.column("block").to_numpy()
+        left = np.flatnonzero(block == p)
+        right = left if p == q else np.flatnonzero(block == q)
         seqs = [np.frombuffer(x, "<u4") for x in t.column("seq").to_pylist()]
         found = block_links(t.column("label").to_pylist(), seqs, left, right, similarity)
         label = t.column("label").combine_chunks()
+        _release(t)
         return pa.table({"la": label.take(pa.array([x for x, _ in found], pa.int64())), "lb": label.take(pa.array([y for _, y in found], pa.int64()))})
 
-    return blocks.groupBy("bundle", "p", "i", "q", "j").applyInArrow(run, "la long, lb long")
+    return blocks.groupBy("bundle", "p", "q").applyInArrow(run, "la long, lb long")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -443,35 +456,30 @@ class NearDuplicates:
         """What _links asks for: each text of a bundle of buckets of several classes, once for each two blocks that it is in."""
         full = self._members(rows.select("node", "n", "bucket").distinct(), labels, F.col("node"), "blocks")
         full = saved(full.select(F.col("lead").alias("bundle"), "node", "n", "label").distinct(), self._path("bundles"))
-        # a bundle that fits is one block; of others, each length class is dealt into blocks
+        # a bundle that fits is one block; others are dealt into blocks by length, and texts of one length by hash
         size = full.groupBy("bundle").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter(f"m > {BLOCK_TEXTS} OR words > {BLOCK_WORDS}").select("bundle")
         size = saved(size, self._path("large-bundles"))
-        small = full.join(size, "bundle", "left_anti").withColumn("place", F.lit(0)).withColumn("salt", F.lit(0))
-        small = small.withColumn("pair", F.struct(*[F.lit(0).alias(c) for c in "piqj"]))
-        large = full.join(size, "bundle").withColumn("place", self._place())
-        counted = large.groupBy("bundle", "place").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("s"))
-        counted = saved(counted.groupBy("bundle").agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("blocks")), self._path("blocks"))
-        large = large.join(counted, "bundle")
-        n_blocks = lambda at: F.coalesce(F.try_element_at("blocks", F.col("place") + at), F.lit(0))
-        large = large.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), n_blocks(F.lit(0))).cast("int"))
-        pair = lambda *x: F.struct(*[v.cast("int").alias(c) for c, v in zip("piqj", x, strict=True)])
-        place, salt = F.col("place"), F.col("salt")
-        upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        large = large.withColumn(
-            "pair",
-            F.explode(
-                F.concat(
-                    F.transform(upto(n_blocks(F.lit(0))), lambda j: pair(place, F.least(salt, j), place, F.greatest(salt, j))),
-                    F.transform(upto(n_blocks(F.lit(1))), lambda j: pair(place, salt, place + 1, j)),
-                    F.transform(upto(n_blocks(F.lit(-1))), lambda j: pair(place - 1, j, place, salt)),
-                )
-            ),
-        ).drop("blocks")
-        both = saved(small.unionByName(large).select("bundle", "pair.*", "place", "salt", "node", "label"), self._path("block-members"))
-        key = ["bundle", "p", "i", "q", "j"]
-        some = both.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(*key)
-        some = saved(some, self._path("block-pairs"))
-        both = both.join(some, key, "left_semi")
+        zero = F.lit(0).cast("long")
+        small = full.join(size, "bundle", "left_anti").select("bundle", zero.alias("p"), zero.alias("q"), zero.alias("block"), "node", "label")
+        large = full.join(size, "bundle")
+        weight = F.greatest(F.col("n"), F.lit(max(BLOCK_WORDS // BLOCK_TEXTS, 1)))
+        before = F.coalesce(F.sum("weight").over(Window.partitionBy("bundle").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        lengths = saved(large.groupBy("bundle", "n").agg(F.sum(weight).alias("weight"), F.count("*").alias("texts")), self._path("lengths"))
+        lengths = lengths.withColumn("before", before).select("bundle", "n", "before", "texts")
+        place = F.col("before") + weight * F.pmod(F.xxhash64("node", F.lit("salt")), F.col("texts"))
+        large = large.join(lengths, ["bundle", "n"]).select("bundle", F.floor(place / BLOCK_WORDS).alias("block"), "node", "label", "n")
+        large = saved(large, self._path("large"))
+        blocks = large.groupBy("bundle", "block").agg(*(f(c).alias(f"{name}_{c}") for c in ("n", "label") for f, name in ((F.min, "lo"), (F.max, "hi"))))
+        blocks = saved(blocks, self._path("blocks"))
+        x, y = blocks.alias("x"), blocks.alias("y")
+        # two blocks meet if their lengths allow a link (edit_limit), and they hold several classes
+        least = F.col("y.lo_n") - F.floor((1 - self.similarity) * F.col("y.lo_n") + 1e-9)
+        several = F.least("x.lo_label", "y.lo_label") != F.greatest("x.hi_label", "y.hi_label")
+        pairs = x.join(y, (F.col("x.bundle") == F.col("y.bundle")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.hi_n") >= least)).filter(several)
+        pairs = pairs.select("x.bundle", F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+        pairs = saved(pairs.select("bundle", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block")), self._path("block-pairs"))
+        large = large.join(pairs, ["bundle", "block"])
+        both = saved(small.unionByName(large.select("bundle", "p", "q", "block", "node", "label")), self._path("block-members"))
         return both.join(self._needed(both), "node")
 
     def _candidates(self, rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:

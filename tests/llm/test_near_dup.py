@@ -169,6 +169,22 @@ def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch, texts_a_block):
     assert got == shared_sketch_classes([r[0] for r in rows], [r[1] for r in rows], n.SKETCHES)
 
 
+def test_blocks_meet_only_where_lengths_allow_a_link(spark, monkeypatch):
+    """Unlike texts that share a passage: each goes to the blocks of the lengths that it may be linked to, and to no more."""
+    monkeypatch.setattr(n, "BLOCK_TEXTS", 16)
+    rng = np.random.default_rng(3)
+    passage = random_text(rng, 50)
+    rows = [(i, " ".join(passage + random_text(rng, 30 + i // 4))) for i in range(480)]
+    every = n.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    every.labels()
+    size = np.array([len(t.split()) for _, t in rows])
+    near = sum(int(((size >= x - n.edit_limit(int(x), 0.8)) & (x >= size - (0.2 * size + 1e-9).astype(int))).sum()) for x in size)
+    made = spark.read.parquet(every._path("block-members"))
+    bundles = made.groupBy("bundle").agg(F.count("*").alias("rows"), F.countDistinct("node").alias("texts"))
+    top = bundles.orderBy(F.desc("texts")).first()
+    assert top["texts"] > 300 and top["rows"] <= near / 16 + 2.5 * len(rows)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "!!!"), (4, "One two."), (5, "one, TWO"), (6, "one two three"), (None, "one two"), (None, None), (8, "solo"), (8, "solo"), (9, "solo!")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(0)).withColumn("class_id", F.lit("x")).withColumn("n_words", F.lit("y"))
