@@ -36,6 +36,8 @@ from kinlace.llm.tables import annotate, filtered, saved, scratch, table
 WINDOW = 10
 GRAM = 5
 BLOCK_BYTES = 4 << 20
+#: Bytes of text that are looked at together; passes over them hold some 40 bytes for each, in every worker.
+SLICE_BYTES = 512 << 10
 _FLAG_BITS = 20
 
 
@@ -109,7 +111,7 @@ class Index:
     def __init__(self, ids: list[str], texts: pa.Array) -> None:
         self.ids = ids
         words, rows = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-        for s in tk.slices(texts, lower=True):
+        for s in tk.slices(texts, lower=True, limit=SLICE_BYTES):
             starts, ends, row = s.words(tk.ALNUM_WORDS)
             words.append(tk.span_hashes(s.data, starts, ends))
             rows.append(row + s.rows.start)
@@ -120,7 +122,7 @@ class Index:
     def scan(self, texts: pa.Array) -> list[tuple[int, np.ndarray, list[str]]]:
         """For each text: its number of words, the numbers of the words that are hit, and the items that hit it."""
         out: list[tuple[int, np.ndarray, list[str]]] = []
-        for s in tk.slices(texts, lower=True):
+        for s in tk.slices(texts, lower=True, limit=SLICE_BYTES):
             starts, ends, rows = s.words(tk.ALNUM_WORDS)
             words = tk.span_hashes(s.data, starts, ends)
             n_words = np.bincount(rows, minlength=s.n)

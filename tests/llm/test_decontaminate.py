@@ -71,3 +71,15 @@ def test_empty(spark):
     assert (r["n_words"], r["n_hit"], r["items"]) == (2, 0, [])
     assert d.decontaminate(docs, none).count() == 1 and d.contamination(docs.limit(0), none).count() == 0
     assert hashlib.sha256(b"").hexdigest() == d.op7_decontaminate(spark, DATA).filter("n_items = 0").first()["items_sha256"]
+
+
+def test_scan_holds_little_besides_the_texts():
+    import tracemalloc
+
+    texts = pa.array([" ".join(f"w{i * j % 9973}" for j in range(400)) for i in range(2000)])
+    index = d.Index(["x"], pa.array([" ".join(f"q{j}" for j in range(30))]))
+    tracemalloc.start()
+    index.scan(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 4 << 20 and peak < 40 << 20
