@@ -62,6 +62,16 @@ def with_stored_order(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: Text of a batch that is worked on, and given back to Spark, together.
+PIECE_BYTES = 2 << 20
+
+
+def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some PIECE_BYTES of its column number `text`, so that neither side holds results of the whole."""
+    for s in tk.slices(batch.column(text), limit=PIECE_BYTES):
+        yield batch.slice(s.rows.start, s.n)
+
+
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of a column's text, modulo n; a null counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -82,7 +92,8 @@ def annotate(df: DataFrame, text_col: str, work: Callable[[pa.Array], list[pa.Ar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *work(batch.columns[-1])], names=labels)
+            for part in pieces(batch, len(names)):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(part.columns[-1])], names=labels)
         tk.release()
 
     made = inner.mapInArrow(run, outer)
@@ -100,8 +111,10 @@ def filtered(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray
     labels = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = at if plain else len(names)
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(at if plain else len(names))), pa.bool_())).select(labels)
+            for part in pieces(batch, text):
+                yield part.filter(pa.array(keep(part.column(text)), pa.bool_())).select(labels)
         tk.release()
 
     return wide.mapInArrow(run, ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields))).toDF(*names)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -206,6 +207,8 @@ class Encoder:
 
 @cache
 def encoder(path: str | None) -> Encoder:
+    # a task has one core; threads of the library's own each keep memory of what they encoded
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
