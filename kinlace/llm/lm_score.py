@@ -67,6 +67,7 @@ _MIDDLE = np.array([0, 1, 2, 3, 4, 5, 6.9, 9.5, 15, 28, 63, 200, 900, 6_300, 63_
 _ODDS = np.log((np.tile(_MIDDLE, 16) + 0.4) / (np.repeat(_MIDDLE, 16) + 0.4)).astype(np.float32)
 _SEEN = np.digitize(np.repeat(_MIDDLE, 16) + np.tile(_MIDDLE, 16), [0.5, 2.5, 15]).astype(np.uint8)
 _RUN_ODDS = np.log((np.arange(16) + 0.4) / 0.4).astype(np.float32)
+_RUN_ODDS = np.concatenate([_RUN_ODDS, -_RUN_ODDS])  # from 16 on: of a bit that was not expected
 _C1, _C2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -216,11 +217,11 @@ def block_cuts(n_bits: int) -> np.ndarray:
 class Bits:
     """All bits of some rows' symbols; if ordered, in the order of the steps: blocks, and rows in a block."""
 
-    def __init__(self, symbols: np.ndarray, off: np.ndarray, codes: Codes, begun: int = 0, ordered: bool = True) -> None:
-        """begun: bits of the (one) row that were before."""
+    def __init__(self, symbols: np.ndarray, off: np.ndarray, codes: Codes, begun: int = 0, ordered: bool = True, pair: np.ndarray | None = None) -> None:
+        """begun: bits of the (one) row that were before. pair: what codes.pairs gives for these symbols, if it is known."""
         n = len(symbols)
         self.symbols, self.codes = symbols, codes
-        self.pair = codes.pairs(symbols, off)
+        self.pair = codes.pairs(symbols, off) if pair is None else pair
         lens = codes.len[self.pair]
         total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
         n_bits = np.diff(total[off])  # of rows
@@ -282,17 +283,18 @@ class Bits:
         return h.view(np.int32)
 
     def run_input(self) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of the predictor that looks at the document, and how sure it is: 0, 1, 2."""
+        """Log-odds of each bit's own value by the predictor that looks at the document, and how sure it is: 0, 1, 2."""
         expected, often = last_followers(self.word, self.symbols, self.rows)
         other = self.pair & ~0xFF | expected
         apart = (self.codes.path[self.pair] ^ self.codes.path[other]).astype(np.float64)
-        # bits up to the first that differs
-        alike = np.where(expected == self.symbols, 100, 63 - np.floor(np.log2(np.maximum(apart, 1)))).astype(np.int8)
+        # bits up to the first that differs: the exponent of a float is its highest bit
+        alike = (np.int64(1086) - (np.maximum(apart, 1).view(np.int64) >> 52)).astype(np.int8)
+        alike[expected == self.symbols] = 100
         alike[often == 0] = -1
-        alike, often, depth = alike[self.symbol], often[self.symbol], self.codes.depth[self.at]
-        often[depth > alike] = 0
-        x = _RUN_ODDS[often]
-        np.negative(x, out=x, where=self.bit == (depth == alike))
+        known = (alike.astype(np.int16) << 8 | often)[self.symbol]  # both in one look-up
+        alike, often, depth = (known >> 8).astype(np.int8), known.astype(np.uint8), self.codes.depth[self.at]
+        often *= depth <= alike
+        x = _RUN_ODDS.take(often | (depth == alike).view(np.uint8) << np.uint8(4), mode="clip")
         return x, np.minimum(often, 2)
 
 
@@ -320,15 +322,16 @@ class Model:
             self.tables = np.zeros(int(self.offsets[-1]), dtype=np.uint8)
 
     def inputs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of all predictors [input, bit], and gates."""
+        """Log-odds of each bit's own value by all predictors [input, bit], and gates."""
         x = np.empty((N_INPUTS, len(bits.symbol)), dtype=np.float32)
         for t, b in enumerate(self.bits):
-            state = self.tables[self.offsets[t] : self.offsets[t + 1]][bits.slots(t, b)]
+            state = self.tables[self.offsets[t] : self.offsets[t + 1]].take(bits.slots(t, b), mode="clip")
             np.take(_ODDS, state, out=x[t], mode="clip")
             if t == N_TABLES - 2:
-                longer = _SEEN[state]
+                longer = _SEEN.take(state, mode="clip")
+        x[:N_TABLES] *= np.where(bits.bit, np.float32(1), np.float32(-1))
         x[N_TABLES], run = bits.run_input()
-        return x, (run * np.uint8(4) + longer) * np.uint8(2) + (_SEEN[state] > 0)
+        return x, (run * np.uint8(4) + longer) * np.uint8(2) + (_SEEN.take(state, mode="clip") > 0)
 
 
 class Weights:
@@ -348,29 +351,40 @@ def code_cost(model: Model, symbols: np.ndarray, off: np.ndarray, weights: Weigh
     """Natural log of each row's probability. weights: of the one row, whose earlier symbols were coded before."""
     n = len(off) - 1
     weights = weights or Weights(model, n)
-    n_bits = np.add.reduceat(model.codes.len[model.codes.pairs(symbols, off)], off[:-1])
+    pair = model.codes.pairs(symbols, off)
+    n_bits = np.add.reduceat(model.codes.len[pair], off[:-1])
     # longer rows first, so that the rows that still go on are the first ones
     rank = np.argsort(-n_bits, kind="stable")
     lens = np.diff(off)[rank]
-    bits = Bits(symbols[tk.ranges(off[:-1][rank], lens)], np.concatenate([[0], np.cumsum(lens)]), model.codes, weights.bits)
+    at = tk.ranges(off[:-1][rank], lens)
+    bits = Bits(symbols[at], np.concatenate([[0], np.cumsum(lens)]), model.codes, weights.bits, pair=pair[at])
     x, gate = model.inputs(bits)
-    row = bits.rows[bits.symbol]
+    row = bits.rows[bits.symbol].astype(np.int64)
     cell = row * GATES + gate
-    cost = np.zeros(n)
+    squares = np.einsum("kn,kn->n", x, x)
+    inverse = np.empty(len(row), dtype=np.float32)  # 1 / probability
+    most = int(np.diff(bits.steps).max(initial=0))
+    weighted, slopes = np.empty(N_INPUTS * most, dtype=np.float32), np.empty(N_INPUTS * most)
     for a, b in zip(bits.steps[:-1].tolist(), bits.steps[1:].tolist(), strict=True):
         if a == b:
             continue
-        xs, c, one = x[:, a:b], cell[a:b], bits.bit[a:b]
-        live = int(row[b - 1]) + 1
-        cells = live * GATES
-        z = (xs * weights.w[:, c]).sum(axis=0)
-        np.clip(z, -16, 16, out=z)
-        p = 1 / (1 + np.exp(-z))
-        cost[:live] += np.bincount(row[a:b], weights=np.log(np.where(one, p, 1 - p)), minlength=live)
-        miss = one - p
-        weights.curvature[:cells] += np.bincount(c, weights=p * (1 - p) * (xs * xs).sum(axis=0), minlength=cells)
+        xs, c = x[:, a:b], cell[a:b]
+        cells = (int(row[b - 1]) + 1) * GATES
+        wx = weighted[: N_INPUTS * (b - a)].reshape(N_INPUTS, b - a)
+        np.take(weights.w, c, axis=1, out=wx, mode="clip")
+        z = np.einsum("kn,kn->n", wx, xs)
+        np.negative(z, out=z)
+        np.maximum(z, -16, out=z)
+        np.minimum(z, 16, out=z)
+        np.exp(z, out=z)
+        inv = np.add(z, 1, out=inverse[a:b])
+        miss = np.divide(z, inv, out=z)
+        slope = np.multiply(xs, miss, out=slopes[: N_INPUTS * (b - a)].reshape(N_INPUTS, b - a))
+        curvature = weights.curvature[:cells]
+        curvature += np.bincount(c, weights=(1 - miss) * miss * squares[a:b], minlength=cells)
         for k in range(N_INPUTS):
-            weights.w[k, :cells] += RATE * np.bincount(c, weights=miss * xs[k], minlength=cells) / weights.curvature[:cells]
+            weights.w[k, :cells] += RATE * np.bincount(c, weights=slope[k], minlength=cells) / curvature
+    cost = -np.bincount(row, weights=np.log(inverse), minlength=n)
     weights.bits += int(n_bits[0])
     out = np.empty(n)
     out[rank] = cost
@@ -443,9 +457,12 @@ def count_bits(total: np.ndarray, model: Model, w: Stream) -> None:
         one = bits.step & 1
         for t, n in enumerate(model.bits[1:], 1):
             # sorted first: slots are met at random, and each is then added to once
-            slot = np.sort(bits.slots(t, n) << 1 | one)
-            first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            total[slot[first] + 2 * int(model.offsets[t])] += np.diff(np.append(first, len(slot))).astype(np.int32)
+            slot = bits.slots(t, n)
+            slot <<= 1
+            slot |= one
+            slot.sort()
+            first = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1])
+            total[2 * int(model.offsets[t]) : 2 * int(model.offsets[t + 1])][slot[first]] += np.diff(first, append=len(slot)).astype(np.int32)
 
 
 def _count_tables(texts: DataFrame, model: Model) -> DataFrame:

@@ -192,3 +192,12 @@ def test_edges(spark):
     assert m.score_documents(df.limit(0), F.lit(True)).count() == 0
     long = spark.createDataFrame([(1, "word other " * 150_000)], "doc_id long, text string")
     assert m.score_documents(long, F.lit(True)).first()["n_tokens"] == 300_001
+
+
+def test_wrong_bits_that_were_held_for_sure():
+    """A bit that was held for all but impossible costs its whole surprise: 1 - p of a rounded p would miss some of it."""
+    model = small_model(["the cat sat on the mat"])
+    model.start[:] = 40  # predictions end at the bounds
+    for text in (b"the", b"txq \n", b"qqq"):
+        assert len(m.Bits(np.frombuffer(text, np.uint8), np.array([0, len(text)]), model.codes).bit) < m.BLOCK
+        assert math.isclose(ln_of(model, text), brute_force(model, list(text)), rel_tol=1e-4, abs_tol=1e-5)
