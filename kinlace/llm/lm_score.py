@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -60,6 +61,8 @@ RATE, CURVATURE = 2.0, 24.0
 BLOCK, GROWTH = 64, 32
 #: Training text that a task counts, if tasks are few.
 COUNT_BYTES = 48 << 20
+#: Text whose symbols are counted at once, and symbols whose predictors are looked up at once.
+COUNT_SLICE, NEAR = 2 << 20, 1 << 15
 #: Least counts of the 16 levels that a count is kept as, and what a level counts as.
 _LEVELS = np.array([0, 1, 2, 3, 4, 5, 6, 8, 12, 20, 40, 100, 400, 2_000, 20_000, 200_000])
 _MIDDLE = np.array([0, 1, 2, 3, 4, 5, 6.9, 9.5, 15, 28, 63, 200, 900, 6_300, 63_000, 500_000])
@@ -67,7 +70,8 @@ _MIDDLE = np.array([0, 1, 2, 3, 4, 5, 6.9, 9.5, 15, 28, 63, 200, 900, 6_300, 63_
 _ODDS = np.log((np.tile(_MIDDLE, 16) + 0.4) / (np.repeat(_MIDDLE, 16) + 0.4)).astype(np.float32)
 _SEEN = np.digitize(np.repeat(_MIDDLE, 16) + np.tile(_MIDDLE, 16), [0.5, 2.5, 15]).astype(np.uint8)
 _RUN_ODDS = np.log((np.arange(16) + 0.4) / 0.4).astype(np.float32)
-_RUN_ODDS = np.concatenate([_RUN_ODDS, -_RUN_ODDS])  # from 16 on: of a bit that was not expected
+#: Bits of a number that holds a tree and a symbol, and of one that holds a bit's place among those coded side by side.
+_PAIR, _PLACE = (TREES << 8).bit_length() - 1, 25
 _C1, _C2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -95,7 +99,14 @@ class Words(Stream):
     def __init__(self, s: tk.Slice) -> None:
         super().__init__(s)
         starts, ends, rows = self.spans
-        hashes, first, which = np.unique(tk.span_hashes(s.data, starts, ends), return_index=True, return_inverse=True)
+        hashes = tk.span_hashes(s.data, starts, ends)
+        order = np.argsort(hashes)  # equal hashes are one word, so any of a word's places will do
+        hashes = hashes[order]
+        fresh = np.ones(len(hashes), dtype=bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        first, hashes = order[fresh], hashes[fresh]
+        which = np.empty(len(order), dtype=np.int64)
+        which[order] = np.cumsum(fresh)
         self.hashes = np.concatenate([[END_HASH], hashes])
         self.starts, self.ends, self.data = starts[first], ends[first], s.data
         self.n_words = np.bincount(rows, minlength=s.n).astype(np.int64)
@@ -103,7 +114,7 @@ class Words(Stream):
         self.tokens = np.zeros(int(self.off[-1]), dtype=np.int64)
         inner = np.ones(len(self.tokens), dtype=bool)
         inner[self.off[1:] - 1] = False
-        self.tokens[inner] = which + 1
+        self.tokens[inner] = which
         self.rows = np.repeat(np.arange(s.n), self.n_words + 1)
 
 
@@ -193,7 +204,11 @@ def last_followers(contexts: np.ndarray, symbols: np.ndarray, rows: np.ndarray)
     end (0: never before). Contexts are compared by 43 bits, beside which the place fits in a word, so that words sort alone."""
     bits = _U(21)
     at = np.arange(len(symbols), dtype=np.uint64)
-    key = np.sort((tk.by_row(contexts, rows) >> bits << bits) | at)
+    key = contexts + (rows.astype(np.uint64) + _U(1)) * tk._STEP  # differ between rows
+    _mix(key)
+    key &= ~((_U(1) << bits) - _U(1))
+    key |= at
+    key.sort()
     order = (key & ((_U(1) << bits) - _U(1))).astype(np.int32)
     k, s = key >> bits, symbols[order]
     fresh = np.concatenate([[True], k[1:] != k[:-1]])
@@ -214,47 +229,33 @@ def block_cuts(n_bits: int) -> np.ndarray:
     return np.array(cuts, dtype=np.int64)
 
 
-class Bits:
-    """All bits of some rows' symbols; if ordered, in the order of the steps: blocks, and rows in a block."""
+class Contexts:
+    """What the predictors of some rows' symbols look at, by symbol."""
 
-    def __init__(self, symbols: np.ndarray, off: np.ndarray, codes: Codes, begun: int = 0, ordered: bool = True, pair: np.ndarray | None = None) -> None:
-        """begun: bits of the (one) row that were before. pair: what codes.pairs gives for these symbols, if it is known."""
+    def __init__(self, symbols: np.ndarray, off: np.ndarray, codes: Codes) -> None:
         n = len(symbols)
-        self.symbols, self.codes = symbols, codes
-        self.pair = codes.pairs(symbols, off) if pair is None else pair
-        lens = codes.len[self.pair]
-        total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
-        n_bits = np.diff(total[off])  # of rows
-        every = np.arange(int(total[-1]), dtype=np.int32)
-        symbol = np.repeat(np.arange(n, dtype=np.int32), lens)
-        at = np.repeat((codes.off[self.pair] - total[:-1]).astype(np.int32), lens) + every
-        self.rows = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
-        if ordered:
-            cuts = block_cuts(int(n_bits.max(initial=0)) + begun)
-            block_of = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint16), np.diff(cuts))
-            block = block_of[every - np.repeat((total[off[:-1]] - begun).astype(np.int32), n_bits)]
-            if begun:
-                block -= block[0]
-            self.steps = np.concatenate([[0], np.cumsum(np.bincount(block))])
-            order = np.argsort(block, kind="stable")
-            symbol, at = symbol[order], at[order]
-        self.symbol, self.at = symbol, at
-        self.step = codes.step[at]
-        self.bit = (self.step & 1).astype(bool)
-        self._node = (self.step >> 1).astype(np.uint32) * _C1
-        # contexts of a symbol
-        wide = symbols.astype(np.uint64) + _U(1)
+        self.symbols, self.off, self.codes = symbols, off, codes
+        self.pair = codes.pairs(symbols, off)
+        wide = symbols.astype(np.uint64)
+        wide += _U(1)
         self.contexts = []
         most = max(ORDERS)
-        here = np.arange(n, dtype=np.int32) + most * (self.rows + 1)  # zeros before each row
-        padded = np.zeros(n + most * len(off), dtype=np.uint64)
-        padded[here] = wide
+        # a row's first symbols have zeros before them: they stand behind the others once more, each row's with its zeros
+        lens = np.minimum(np.diff(off), most)
+        head = tk.ranges(off[:-1], lens)
+        beside = n + tk.ranges(np.arange(1, len(off), dtype=np.int64) * 2 * most - most, lens)
+        padded = np.zeros(n + 2 * most * (len(off) - 1), dtype=np.uint64)
+        padded[:n] = wide
+        padded[beside] = wide[head]
         h = np.zeros(len(padded), dtype=np.uint64)
         for k in range(1, most + 1):
             h *= _U(0x100000001B3)
             h[k:] += padded[:-k]
             if k in ORDERS:
-                self.contexts.append((tk.mix(h[here] + _U(k)) >> _U(32)).astype(np.uint32))
+                mixed = h + _U(k)
+                mixed[head] = mixed[beside]
+                self.contexts.append(_high(mixed[:n]))
+        del padded, h, mixed
         # the word so far; a word begins behind a blank
         begins = np.zeros(n, dtype=bool)
         begins[1:] = symbols[:-1] == BLANK
@@ -262,40 +263,88 @@ class Bits:
         first = np.flatnonzero(begins)
         size = np.diff(np.append(first, n))
         inside = np.arange(n) - np.repeat(first, size)
-        power = tk._POWERS.upto(int(inside.max(initial=0)))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * power[inside], dtype=np.uint64)])
-        self.word = tk.mix(sums[:-1] - np.repeat(sums[first], size) + inside.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        wide *= tk._POWERS.upto(int(inside.max(initial=0))).take(inside, mode="clip")
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(wide, out=sums[1:])
+        self.word = inside.view(np.uint64)
+        self.word *= _U(0x9E3779B97F4A7C15)
+        self.word += sums[:-1]
+        self.word -= np.repeat(sums[first], size)
+        _mix(self.word)
         before = np.zeros(len(first), dtype=np.uint64)  # the word before each: the context of its blank
-        if len(first) > 1:
-            before[1:] = self.word[first[1:] - 1]
-        before[np.isin(first, off[:-1])] = 0
-        pair = tk.mix(self.word ^ np.repeat(before * _U(0xD6E8FEB86659FD93), size) + _U(3))
-        self.contexts.append((pair >> _U(32)).astype(np.uint32))
+        before[1:] = self.word[first[1:] - 1]
+        before[np.searchsorted(first, off[:-1])] = 0
+        pair = np.repeat(before * _U(0xD6E8FEB86659FD93), size)
+        pair += _U(3)
+        pair ^= self.word
+        self.contexts.append(_high(pair))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """tk.mix in place."""
+    high = h >> _U(32)
+    for _ in range(2):
+        h ^= high
+        h *= _U(0xD6E8FEB86659FD93)
+        np.right_shift(h, _U(32), out=high)
+    h ^= high
+    return h
+
+
+def _high(h: np.ndarray) -> np.ndarray:
+    """The high halves of tk.mix, which takes the place of h."""
+    return _mix(h).view(np.uint32)[1 if sys.byteorder == "little" else 0 :: 2].copy()
+
+
+def slots(contexts: np.ndarray, steps: np.ndarray, bits: int) -> np.ndarray:
+    """Slots, in a table of 2**bits, of steps with contexts; takes the place of contexts."""
+    node = (steps >> 1).view(np.uint32)
+    node *= _C1
+    contexts ^= node
+    contexts *= _C2
+    contexts >>= np.uint32(32 - bits)
+    return contexts.view(np.int32)
+
+
+class Bits(Contexts):
+    """Also all bits of these symbols, one after the other."""
+
+    def __init__(self, symbols: np.ndarray, off: np.ndarray, codes: Codes) -> None:
+        super().__init__(symbols, off, codes)
+        lens = codes.len[self.pair]
+        total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        self.n_bits = np.diff(total[off])  # of rows
+        self.symbol = np.repeat(np.arange(len(symbols)), lens)
+        self.at = (codes.off[self.pair] - total[:-1]).take(self.symbol, mode="clip")
+        self.at += np.arange(int(total[-1]))
+        self.step = codes.step.take(self.at, mode="clip")
+        self.bit = (self.step & 1).astype(bool)
 
     def slots(self, t: int, bits: int) -> np.ndarray:
         """Slot in table t of 2**bits slots."""
-        if t == 0:
-            return self.step >> 1
-        h = self.contexts[t - 1][self.symbol]
-        h ^= self._node
-        h *= _C2
-        h >>= np.uint32(32 - bits)
-        return h.view(np.int32)
+        return slots(self.contexts[t - 1].take(self.symbol, mode="clip"), self.step, bits) if t else self.step >> 1
 
     def run_input(self) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of each bit's own value by the predictor that looks at the document, and how sure it is: 0, 1, 2."""
-        expected, often = last_followers(self.word, self.symbols, self.rows)
-        other = self.pair & ~0xFF | expected
-        apart = (self.codes.path[self.pair] ^ self.codes.path[other]).astype(np.float64)
-        # bits up to the first that differs: the exponent of a float is its highest bit
-        alike = (np.int64(1086) - (np.maximum(apart, 1).view(np.int64) >> 52)).astype(np.int8)
-        alike[expected == self.symbols] = 100
+        expected, often = last_followers(self.word, self.symbols, np.repeat(np.arange(len(self.off) - 1), np.diff(self.off)))
+        # bits up to the first that differs
+        alike = np.full(len(often), 100, dtype=np.int8)
+        apart = np.flatnonzero(expected != self.symbols)
+        own = self.pair[apart]
+        path = self.codes.path
+        differ = (path[own] ^ path[own & ~0xFF | expected[apart]]).astype(np.float64)
+        # the exponent of a float is its highest bit
+        alike[apart] = np.int64(1086) - (np.maximum(differ, 1).view(np.int64) >> 52)
         alike[often == 0] = -1
-        known = (alike.astype(np.int16) << 8 | often)[self.symbol]  # both in one look-up
-        alike, often, depth = (known >> 8).astype(np.int8), known.astype(np.uint8), self.codes.depth[self.at]
-        often *= depth <= alike
-        x = _RUN_ODDS.take(often | (depth == alike).view(np.uint8) << np.uint8(4), mode="clip")
-        return x, np.minimum(often, 2)
+        ahead = alike.take(self.symbol, mode="clip")
+        ahead -= self.codes.depth.take(self.at, mode="clip")
+        side = (ahead >= 0).view(np.int8)
+        run = np.minimum(often, 2).take(self.symbol, mode="clip")
+        run *= side.view(np.uint8)
+        side -= (ahead == 0).view(np.int8) << np.int8(1)
+        x = _RUN_ODDS.take(often).take(self.symbol, mode="clip")
+        x *= side
+        return x, run
 
 
 def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -329,9 +378,13 @@ class Model:
             np.take(_ODDS, state, out=x[t], mode="clip")
             if t == N_TABLES - 2:
                 longer = _SEEN.take(state, mode="clip")
-        x[:N_TABLES] *= np.where(bits.bit, np.float32(1), np.float32(-1))
-        x[N_TABLES], run = bits.run_input()
-        return x, (run * np.uint8(4) + longer) * np.uint8(2) + (_SEEN.take(state, mode="clip") > 0)
+        x[:N_TABLES].view(np.uint32)[:] ^= (~bits.step).view(np.uint32) << np.uint32(31)  # the sign, of zeros
+        x[N_TABLES], gate = bits.run_input()
+        gate *= np.uint8(4)
+        gate += longer
+        gate *= np.uint8(2)
+        gate += (_SEEN > 0).view(np.uint8).take(state, mode="clip")
+        return x, gate
 
 
 class Weights:
@@ -351,44 +404,60 @@ def code_cost(model: Model, symbols: np.ndarray, off: np.ndarray, weights: Weigh
     """Natural log of each row's probability. weights: of the one row, whose earlier symbols were coded before."""
     n = len(off) - 1
     weights = weights or Weights(model, n)
-    pair = model.codes.pairs(symbols, off)
-    n_bits = np.add.reduceat(model.codes.len[pair], off[:-1])
-    # longer rows first, so that the rows that still go on are the first ones
-    rank = np.argsort(-n_bits, kind="stable")
-    lens = np.diff(off)[rank]
-    at = tk.ranges(off[:-1][rank], lens)
-    bits = Bits(symbols[at], np.concatenate([[0], np.cumsum(lens)]), model.codes, weights.bits, pair=pair[at])
-    x, gate = model.inputs(bits)
-    row = bits.rows[bits.symbol].astype(np.int64)
-    cell = row * GATES + gate
-    squares = np.einsum("kn,kn->n", x, x)
-    inverse = np.empty(len(row), dtype=np.float32)  # 1 / probability
-    most = int(np.diff(bits.steps).max(initial=0))
-    weighted, slopes = np.empty(N_INPUTS * most, dtype=np.float32), np.empty(N_INPUTS * most)
-    for a, b in zip(bits.steps[:-1].tolist(), bits.steps[1:].tolist(), strict=True):
-        if a == b:
-            continue
-        xs, c = x[:, a:b], cell[a:b]
-        cells = (int(row[b - 1]) + 1) * GATES
-        wx = weighted[: N_INPUTS * (b - a)].reshape(N_INPUTS, b - a)
-        np.take(weights.w, c, axis=1, out=wx, mode="clip")
-        z = np.einsum("kn,kn->n", wx, xs)
+    parts, n_bits, at = [], [], 0
+    while at < n:  # a few rows at a time, so that what is worked on stays near the core
+        to = max(at + 1, int(np.searchsorted(off, off[at] + NEAR, side="right")) - 1)
+        bits = Bits(symbols[off[at] : off[to]], off[at : to + 1] - off[at], model.codes)
+        parts.append(model.inputs(bits))
+        n_bits.append(bits.n_bits)
+        at = to
+    x = [np.concatenate([part[0][k] for part in parts]) for k in range(N_INPUTS)]
+    gate, n_bits = np.concatenate([part[1] for part in parts]), np.concatenate(n_bits)
+    del parts, bits
+    # in the order of the steps: blocks, and rows in a block, and gates of a row, so that what is added up stands together
+    begun = weights.bits
+    cuts = block_cuts(int(n_bits.max(initial=0)) + begun)
+    block = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint64) * _U(n << 5 << _PLACE), np.diff(cuts))
+    key = np.concatenate([block[begun : begun + k] for k in n_bits.tolist()])
+    key += np.repeat(np.arange(n, dtype=np.uint64) << _U(5 + _PLACE), n_bits)
+    key += gate.astype(np.uint64) << _U(_PLACE)
+    key += np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    order = (key & _U((1 << _PLACE) - 1)).view(np.int64)
+    key >>= _U(_PLACE)
+    first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])  # of each run: a row's bits with a gate in a block
+    lens = np.diff(first, append=len(key))
+    run = key[first].view(np.int64)
+    block, row = np.divmod(run >> 5, n)
+    cell = row * GATES + (run & 31)
+    xs = np.empty((N_INPUTS + 1, len(key)), dtype=np.float32)
+    for k in range(N_INPUTS):
+        np.take(x[k], order, out=xs[k], mode="clip")
+    xs[N_INPUTS] = np.einsum("kn,kn->n", xs[:N_INPUTS], xs[:N_INPUTS])
+    inverse = np.empty(len(key), dtype=np.float32)  # 1 / probability
+    ends = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(run)]])
+    places = np.append(first, len(key))[ends]
+    for r, q, a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), places[:-1].tolist(), places[1:].tolist(), strict=True):
+        mine, c = xs[:, a:b], cell[r:q]
+        w = weights.w.take(c, axis=1)
+        wx = np.repeat(w, lens[r:q], axis=1)
+        wx *= mine[:N_INPUTS]
+        z = np.add.reduce(wx, axis=0)
         np.negative(z, out=z)
         np.maximum(z, -16, out=z)
         np.minimum(z, 16, out=z)
         np.exp(z, out=z)
         inv = np.add(z, 1, out=inverse[a:b])
         miss = np.divide(z, inv, out=z)
-        slope = np.multiply(xs, miss, out=slopes[: N_INPUTS * (b - a)].reshape(N_INPUTS, b - a))
-        curvature = weights.curvature[:cells]
-        curvature += np.bincount(c, weights=(1 - miss) * miss * squares[a:b], minlength=cells)
-        for k in range(N_INPUTS):
-            weights.w[k, :cells] += RATE * np.bincount(c, weights=slope[k], minlength=cells) / curvature
-    cost = -np.bincount(row, weights=np.log(inverse), minlength=n)
+        mine *= miss  # slopes
+        mine[N_INPUTS] *= 1 - miss
+        sums = np.add.reduceat(mine, first[r:q] - a, axis=1)
+        curvature = weights.curvature[c] + sums[N_INPUTS]
+        weights.curvature[c] = curvature
+        weights.w[:, c] = w + RATE * sums[:N_INPUTS] / curvature
     weights.bits += int(n_bits[0])
-    out = np.empty(n)
-    out[rank] = cost
-    return out
+    np.log(inverse, out=inverse)
+    return -np.bincount(row, weights=np.add.reduceat(inverse, first, dtype=np.float64), minlength=n)
 
 
 def text_costs(model: Model, w: Words) -> np.ndarray:
@@ -448,21 +517,39 @@ def _symbol_counts(vocab: DataFrame, trees: np.ndarray | None = None) -> np.ndar
 
 def count_bits(total: np.ndarray, model: Model, w: Stream) -> None:
     """Add a slice's bits to total: zeros and ones of each slot of the model's tables, side by side."""
-    off = w.stream_off
-    step = SEGMENT if len(off) == 2 else int(off[-1])  # a long text is a slice of its own
-    for a in range(0, int(off[-1]), step):
-        b = min(a + step, int(off[-1]))
-        bits = Bits(w.symbols[a:b], off if len(off) > 2 else np.array([0, b - a]), model.codes, ordered=False)
-        total[: 2 << model.bits[0]] += np.bincount(bits.step, minlength=2 << model.bits[0]).astype(np.int32)
-        one = bits.step & 1
-        for t, n in enumerate(model.bits[1:], 1):
-            # sorted first: slots are met at random, and each is then added to once
-            slot = bits.slots(t, n)
-            slot <<= 1
-            slot |= one
-            slot.sort()
-            first = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1])
-            total[2 * int(model.offsets[t]) : 2 * int(model.offsets[t + 1])][slot[first]] += np.diff(first, append=len(slot)).astype(np.int32)
+    off, codes = w.stream_off, model.codes
+    if np.diff(off).max(initial=0) > SEGMENT:  # a long text's segments are rows of their own
+        off = np.concatenate([*(np.arange(a, b, SEGMENT) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), off[-1:]])
+    x = Contexts(w.symbols, off, codes)
+
+    def add(t: int, contexts: np.ndarray | None, pair: np.ndarray, often: np.ndarray) -> None:
+        """Of symbols that occur so often with their contexts, all bits."""
+        lens = codes.len[pair]
+        step = codes.step.take(tk.ranges(codes.off[pair].astype(np.int64), lens), mode="clip")
+        key = (step >> 1 if contexts is None else slots(np.repeat(contexts, lens), step, model.bits[t])).astype(np.uint64)
+        # sorted: slots are met at random, and each is then added to once
+        key <<= _U(1)
+        key |= (step & 1).view(np.uint32)
+        key <<= _U(32)
+        key |= np.repeat(often.astype(np.uint32), lens)
+        key.sort()
+        parts = key.view(np.uint32).reshape(-1, 2)
+        often, slot = (parts if sys.byteorder == "little" else parts[:, ::-1]).T
+        first = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1])
+        total[2 * int(model.offsets[t]) : 2 * int(model.offsets[t + 1])][slot[first]] += np.add.reduceat(often.view(np.int32), first, dtype=np.int32)
+
+    often = np.bincount(x.pair)
+    pair = np.flatnonzero(often)
+    add(0, None, pair, often[pair])
+    for t, contexts in enumerate(x.contexts, 1):
+        # equal symbols in equal contexts have the same bits: each is gone through once
+        key = contexts.astype(np.uint64)
+        key <<= _U(_PAIR)
+        key |= x.pair.view(np.uint32)
+        key.sort()
+        first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        often, key = np.diff(first, append=len(key)), key[first]
+        add(t, (key >> _U(_PAIR)).astype(np.uint32), (key & _U((1 << _PAIR) - 1)).astype(np.int32), often)
 
 
 def _count_tables(texts: DataFrame, model: Model) -> DataFrame:
@@ -474,8 +561,9 @@ def _count_tables(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Model(*shared.value)
         total = np.zeros(2 * int(mine.offsets[-1]), dtype=np.int32)
+        tk.keep()
         for batch in batches:
-            for s in tk.slices(batch.column(0), lower=True, limit=SEGMENT):
+            for s in tk.slices(batch.column(0), lower=True, limit=COUNT_SLICE):
                 count_bits(total, mine, Stream(s))
         pack = zstandard.ZstdCompressor(level=1).compress
         for chunk, part in enumerate(total.reshape(-1, 2 * CHUNK)):
@@ -576,6 +664,7 @@ def score_documents(documents: DataFrame, is_training: Column, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
+        tk.keep()
         for batch in batches:
             for s in tk.slices(batch.column(1), lower=True, limit=SEGMENT):
                 x = scorer.score(s, n, v)

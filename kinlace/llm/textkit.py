@@ -142,6 +142,14 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int |
         at = to
 
 
+def keep() -> None:
+    """Keep free memory for the arrays to come, until release(): fresh pages cost as much as many a pass over them."""
+    with suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD: the most there is
+        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+
+
 def release() -> None:
     """Give free memory back at a task's end: a worker is kept for later tasks, and beside it others wait for theirs."""
     pa.default_memory_pool().release_unused()

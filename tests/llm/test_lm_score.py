@@ -201,3 +201,34 @@ def test_wrong_bits_that_were_held_for_sure():
     for text in (b"the", b"txq \n", b"qqq"):
         assert len(m.Bits(np.frombuffer(text, np.uint8), np.array([0, len(text)]), model.codes).bit) < m.BLOCK
         assert math.isclose(ln_of(model, text), brute_force(model, list(text)), rel_tol=1e-4, abs_tol=1e-5)
+
+
+def counted(model, texts):
+    total = np.zeros(2 * int(model.offsets[-1]), dtype=np.int32)
+    for s in tk.slices(pa.array(texts), lower=True):
+        m.count_bits(total, model, m.Stream(s))
+    return total
+
+
+def test_equal_symbols_in_equal_contexts_are_counted_at_once(monkeypatch):
+    """A slice is counted by what is distinct in it, not bit by bit; the counts are those of all bits."""
+    model = small_model(["the cat sat on the mat"])
+    looked_up, slots = [], m.slots
+    monkeypatch.setattr(m, "slots", lambda contexts, steps, bits: looked_up.append(len(steps)) or slots(contexts, steps, bits))
+    once = counted(model, ["the cat sat " * 2])
+    few = sum(looked_up)
+    looked_up.clear()
+    many = counted(model, ["the cat sat " * 1000])
+    assert sum(looked_up) <= few
+    n_bits = lambda total: total[: 2 << model.bits[0]].sum()
+    assert n_bits(many) > 400 * n_bits(once)
+    for t in range(1, m.N_TABLES):
+        assert many[2 * model.offsets[t] : 2 * model.offsets[t + 1]].sum() == n_bits(many)
+
+
+def test_counts_of_long_texts_do_not_depend_on_other_rows(monkeypatch):
+    """Contexts begin anew with each segment also where a slice holds more rows than the long one."""
+    monkeypatch.setattr(m, "SEGMENT", 100)
+    model = small_model(["the cat sat on the mat"])
+    texts = ["the cat sat " * 40, "a mat", "x" * 300]
+    assert (counted(model, texts) == sum(counted(model, [t]) for t in texts)).all()
